@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, near_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op7_mix_sources, op10_line_dedup)
+    f.__name__: f for f in (op1_near_dedup, op4_exact_dedup, op7_mix_sources, op10_line_dedup)
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -70,10 +74,10 @@ ORACLE_SQL: dict[str, str] = {
         l AS (
             SELECT *, (total - cap_before)::DOUBLE / weight_left::DOUBLE AS level FROM f),
         a AS (
-            SELECT arg_min(level, cap_before) AS at FROM l WHERE cap > level * weight),
+            SELECT arg_min(level, cap_before) AS lvl FROM l WHERE cap > level * weight),
         t AS (
             SELECT source, source_size,
-                   CASE WHEN at IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, at * weight) END AS target,
+                   CASE WHEN lvl IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, lvl * weight) END AS target,
                    ('0x' || md5('7:' || coalesce(source, ''))[1:8])::BIGINT / 4294967296.0::DOUBLE AS u
             FROM l LEFT JOIN a ON true),
         n AS (
