@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, near_dedup
+from . import exact_dedup, html_text, language, line_dedup, mixing, near_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,18 +22,36 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.train_folds(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    learn = docs.where(toxicity.fold("doc_id", 5) != 0).select(F.col("doc_id").alias("id"), "text", "lang")
+    found = language.language(docs, language.fit(learn))
+    return found.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op4_exact_dedup, op7_mix_sources, op10_line_dedup)
+    f.__name__: f for f in (op1_near_dedup, op4_exact_dedup, op5_toxicity, op6_language, op7_mix_sources, op8_html_text, op10_line_dedup)
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
