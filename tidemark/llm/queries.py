@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language, line_dedup, mixing, near_dedup, toxicity
+from . import ann, bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_read(spark, sf_dir, "documents"))
 
@@ -50,8 +57,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(ann.build(vectors), vectors.where("vec_id % 100 = 0"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op4_exact_dedup, op5_toxicity, op6_language, op7_mix_sources, op8_html_text, op10_line_dedup)
+    f.__name__: f for f in (op1_near_dedup, op2_ann, op3_bpe, op4_exact_dedup, op5_toxicity, op6_language, op7_mix_sources, op8_html_text, op10_line_dedup)
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
