@@ -114,8 +114,10 @@ class Encoder:
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
-#: A worker keeps its encoder, and the words that it remembers, from task to task.
-encoder_of = lru_cache(maxsize=2)(Encoder)
+@lru_cache(maxsize=2)
+def encoder_of(spec: str) -> Encoder:
+    """A worker keeps its encoder, and the words that it remembers, from task to task."""
+    return Encoder(spec)
 
 
 def inside(chunk: bytes) -> tuple[int, int]:

@@ -26,8 +26,10 @@ def gram_ids(word: str, least: int, most: int, buckets: int) -> set[int]:
     }
 
 
-#: The same with a bounded memory of recent words, for the passes over training rows.
-known_gram_ids = lru_cache(maxsize=100_000)(gram_ids)
+@lru_cache(maxsize=100_000)
+def known_gram_ids(word: str, least: int, most: int, buckets: int) -> set[int]:
+    """The same with a bounded memory of recent words, for the passes over training rows."""
+    return gram_ids(word, least, most, buckets)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int, rate: float, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,9 @@ SIMILAR = (75, 100)
 #: 32 bands of 4: a pair at the threshold shares no band with probability 5e-6.
 HASHES, ROWS = 128, 4
 BATCH, MISS = 32, 1e-6
-STARS = 2
+#: Rounds in which a bucket's members are compared with one of them; rows and bytes of a block of
+#: the round that compares what is left.
+STARS, BLOCK_ROWS, BLOCK_BYTES = 2, 2048, 32 << 20
 
 _rng = np.random.default_rng(20240101)
 _MULT = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -150,6 +152,52 @@ def _linked(similar: tuple[int, int]):
     return run
 
 
+def _across(similar: tuple[int, int], limits: list[int]):
+    """Links between components within a bucket's block, or between two blocks of it.
+
+    A document is compared with those of other components whose signatures are plausible, most
+    alike first; a link found merges two components here, so theirs are not compared again. A pair
+    is left to the first band that it shares.
+    """
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        one, two = int(b["one"].iloc[0]), int(b["two"].iloc[0])
+        sig = np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(len(b), -1)
+        items = [np.frombuffer(x, np.uint64) for x in b["items"]]
+        n, part = np.array([len(x) for x in items]), b["mine"].to_numpy()
+        names = {c: i for i, c in enumerate(dict.fromkeys(b["component"]))}
+        comp = np.array([names[c] for c in b["component"]])
+        # The band of this bucket: the one in which the first two members agree that all share.
+        same = (sig == sig[0]).reshape(len(b), -1, ROWS).all(2).all(0)
+        first = int(same.argmax())
+        sizes = np.bincount(comp)
+        out = []
+        # Members of the largest component are only ever compared with the others.
+        for i in np.flatnonzero(comp != sizes.argmax()):
+            others = np.flatnonzero((comp != comp[i]) & ((part == one + two - part[i]) | (one == two)))
+            matches = np.zeros(len(others), np.int64)
+            for k, least in enumerate(limits):
+                cols = slice(k * BATCH, (k + 1) * BATCH)
+                matches += (sig[others, cols] == sig[i, cols]).sum(1)
+                keep = matches >= least
+                others, matches = others[keep], matches[keep]
+            keep = (n[others] * similar[1] >= n[i] * similar[0]) & (n[i] * similar[1] >= n[others] * similar[0])
+            earlier = sig[others, : first * ROWS] == sig[i, : first * ROWS]
+            keep &= ~earlier.reshape(len(others), first, ROWS).all(2).any(1)
+            others, matches = others[keep], matches[keep]
+            for j in others[np.argsort(-matches, kind="stable")]:
+                if comp[j] == comp[i]:
+                    continue
+                both = np.sort(np.concatenate((items[i], items[j])))
+                shared = int((both[1:] == both[:-1]).sum())
+                if similar[1] * shared >= similar[0] * (n[i] + n[j] - shared):
+                    out.append((b["node"].iloc[i], b["node"].iloc[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR, miss: float = MISS
 ) -> DataFrame:
@@ -163,9 +211,9 @@ def near_dedup(
     share their result. Other columns of docs are not read.
 
     Rows of equal shingle sets are one class and only its smallest id goes on. Within a bucket of
-    equal bands, members are first compared with one centre each round, not with each other;
-    then pairs that still lie in different components are compared, so that no link
-    between different texts is lost and a group of n copies costs about n comparisons.
+    equal bands, members are first compared with one of them each round, not with each other.
+    Then members that still lie in different components are compared block by block within tasks,
+    so no link between different texts is lost; only links leave a task, never all pairs.
     """
     share = similar[0] / similar[1]
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -202,39 +250,42 @@ def near_dedup(
         likely = both(pairs, sigs, "sig").mapInPandas(_plausible(limits), "a binary, b binary")
         return both(stage(likely, "survivors"), sets, "items").mapInPandas(_linked(similar), "a binary, b binary")
 
-    def turn(found: DataFrame | None, last: bool) -> DataFrame:
-        """The pairs to compare, given the components so far."""
+    def placed(found: DataFrame | None) -> DataFrame:
+        """The members of the buckets that hold several components still, with their component."""
         if found is None:
-            now = members.withColumn("component", F.col("node"))
-        else:
-            now = stage(
-                members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members"
-            )
-        split = (
-            now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .where("lo < hi").select("bucket", F.col("lo" if found is None else "hi").alias("pick"))
-        )
-        now = now.join(split, "bucket")
-        one, two = (
-            now.select("bucket", "pick", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"comp_{x}"))
-            for x in "ab"
-        )
-        if last:
-            pairs = one.join(two.drop("pick"), "bucket").where("comp_a < comp_b")
-        else:
-            centre = (
-                one.where("comp_a = pick").groupBy("bucket").agg(F.min(F.struct("a", "n_a", "comp_a")).alias("c"))
-                .select("bucket", "c.*")
-            )
-            pairs = two.drop("pick").join(centre, "bucket").where("comp_a <> comp_b")
-        close = (F.col("n_a") * similar[1] >= F.col("n_b") * similar[0]) & (F.col("n_b") * similar[1] >= F.col("n_a") * similar[0])
-        return pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            return members.withColumn("component", F.col("node"))
+        now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = stage(now, "members")
+        split = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        return now.join(split.select("bucket"), "bucket")
+
+    def stars(now: DataFrame, turn: int) -> DataFrame:
+        """Each bucket's members against one of them, drawn by a hash, unless they are connected."""
+        drawn = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("comp_a"))
+        centre = now.groupBy("bucket").agg(F.min(drawn).alias("c")).select("bucket", "c.*")
+        pairs = now.join(centre, "bucket").where("component <> comp_a")
+        pairs = pairs.where((F.col("n_a") * similar[1] >= F.col("n") * similar[0]) & (F.col("n") * similar[1] >= F.col("n_a") * similar[0]))
+        return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
     links = found = None
-    for i in range(STARS + 1):
-        new = stage(verify(turn(found, last=i == STARS)), "links")
+    for i in range(STARS):
+        new = stage(verify(stars(placed(found), i)), "links")
         links = new if links is None else links.union(new)
         found = stage(components(links), "components")
+    now = stage(placed(found), "open")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("int")
+    now = now.join(now.groupBy("bucket").agg(parts.alias("parts")), "bucket")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    blocks = now.select("node", "bucket", "component", mine.alias("mine"), other.alias("other"))
+    blocks = blocks.select(
+        "node", "bucket", "component", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two")
+    )
+    sigs = candidates.select(F.col("set_key").alias("node"), "sig")
+    blocks = blocks.join(sigs, "node").join(sets, "node")
+    rest = blocks.groupBy("bucket", "one", "two").applyInPandas(_across(similar, limits), "a binary, b binary")
+    links = links.union(stage(rest, "links"))
+    found = stage(components(links), "components")
     smallest = classes.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "set_key", "rep", F.coalesce("component", "set_key").alias("component")
     )
