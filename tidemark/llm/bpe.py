@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_texts
+
 #: Chunk sizes in bytes: the least, the mean distance of cuts and the most.
 SMALLEST, MEAN_BITS, LARGEST = 256, 10, 8192
 #: Chunks whose ids are encoded once for all tasks and broadcast: the most frequent ones. 20,000
@@ -237,30 +239,25 @@ def shared_chunks(docs: DataFrame, spec: str, most: int = SHARED) -> dict[bytes,
     return {bytes(r["key"]): (r["first"], r["last"], bytes(r["ids"])) for r in rows}
 
 
-def _encode(spec: str, shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encode(spec: str, shared, digests: bool):
+    def start():
         encoder = ChunkEncoder(encoder_of(spec), shared.value)
-        for b in batches:
-            ids, text = [], []
-            for t in b["text"]:
+
+        def make(texts: list) -> dict[str, list]:
+            n, ids, decoded = [], [], []
+            for t in texts:
                 x = np.frombuffer(encoder.encode(t), encoder.encoder.dtype)
+                n.append(len(x))
                 ids.append(x.astype("<u4").tobytes())
-                text.append(encoder.encoder.decode(x))
-            b["ids"], b["decoded"] = ids, text
-            yield b.drop(columns="text")
-
-    return run
-
+                decoded.append(encoder.encoder.decode(x))
+                if digests:
+                    ids[-1] = hashlib.sha256(ids[-1]).hexdigest()
+                    decoded[-1] = hashlib.sha256(decoded[-1].encode()).hexdigest()
+            return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded, "ids": ids, "decoded": decoded}
 
-def _digest_columns(run):
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in run(batches):
-            b["n_tokens"] = [len(x) // 4 for x in b["ids"]]
-            b["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in b.pop("ids")]
-            b["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in b.pop("decoded")]
-            yield b
+        return make
 
-    return digests
+    return start
 
 
 def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), digests: bool = False, most_shared: int = SHARED) -> DataFrame:
@@ -273,10 +270,9 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     """
     d = docs.select(F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(d, spec, most_shared))
-    names = [id_col, *keep]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    d = docs.select(*names, F.col(text_col).alias("text")) if "text" not in names else docs.select(*names)
-    run = _encode(spec, shared)
+    d = docs.select(id_col, *keep, F.col(text_col).alias("_bpe_text"))
     if digests:
-        return d.mapInPandas(_digest_columns(run), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return d.mapInPandas(run, f"{fields}, ids binary, decoded string")
+        fields = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    else:
+        fields = {"ids": "binary", "decoded": "string"}
+    return map_texts(d, "_bpe_text", _encode(spec, shared, digests), fields)

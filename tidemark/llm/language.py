@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grams import fit_logistic, gram_ids, known_gram_ids, words
-from .shared import stage
+from .shared import map_texts, stage
 
 #: Rows that are fitted on at most, in all and for each language; those of least id hash are taken.
 MAX_ROWS, MAX_PER_LANGUAGE = 4000, 600
@@ -107,12 +107,14 @@ def _predict(model: Model):
             self.table[i, -1] = len(ids)
             return i
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         known = Words()
         names, code = [*model.languages], model.code.astype(np.float32)
-        for b in batches:
+
+        def make(texts: list) -> dict[str, list]:
+            nonlocal known
             pred, score, doubt = [], [], []
-            for text in b["text"]:
+            for text in texts:
                 if len(known) > 300_000:
                     known = Words()
                 found = words(text)
@@ -128,14 +130,15 @@ def _predict(model: Model):
                 rest = np.delete(loss, best)
                 pred.append(names[best]), score.append(float(near[best] / near.sum()))
                 doubt.append(bool(len(rest) and (rest.min() - loss[best]) / code.shape[1] < AMBIGUOUS))
-            b["lang_pred"], b["score"], b["ambiguous"] = pred, score, doubt
-            yield b.drop(columns="text")
+            return {"lang_pred": pred, "score": score, "ambiguous": doubt}
+
+        return make
 
     def known_rows(known: Words, found: list[str]) -> np.ndarray:
         at = [known[w] for w in found]
         return known.table[at].sum(0, dtype=np.float64)
 
-    return run
+    return start
 
 
 def language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +149,5 @@ def language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     letter, and for all texts if no language was learnt. Whole texts are read; ties go to the first
     language by name; repeated rows are predicted alike; other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = d.mapInPandas(_predict(model), f"id {kind}, lang_pred string, score double, ambiguous boolean")
-    return out.withColumnRenamed("id", id_col)
+    fields = {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}
+    return map_texts(docs.select(id_col, F.col(text_col).alias("_lid_text")), "_lid_text", _predict(model), fields)

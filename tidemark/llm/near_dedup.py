@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import stage
+from .shared import map_texts, stage
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -102,15 +102,14 @@ def _set_key(x: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        n, key, sig = [], [], []
-        for text in b["text"]:
-            x = shingles(text)
-            n.append(len(x))
-            key.append(_set_key(x) if len(x) else None)
-            sig.append(signature(x).tobytes() if len(x) else None)
-        yield pd.DataFrame({"id": b["id"], "n": n, "set_key": key, "sig": sig})
+def _sign(texts: list) -> dict[str, list]:
+    n, key, sig = [], [], []
+    for text in texts:
+        x = shingles(text)
+        n.append(len(x))
+        key.append(_set_key(x) if len(x) else None)
+        sig.append(signature(x).tobytes() if len(x) else None)
+    return {"n": n, "set_key": key, "sig": sig}
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,8 +216,8 @@ def near_dedup(
     """
     share = similar[0] / similar[1]
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    signed = stage(docs.mapInPandas(_sign, f"id {kind}, n bigint, set_key binary, sig binary"), "signed")
+    signed = map_texts(docs, "text", lambda: _sign, {"n": "bigint", "set_key": "binary", "sig": "binary"})
+    signed = stage(signed, "signed")
     classes = stage(
         signed.where("n > 0 and id is not null").groupBy("set_key")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")),

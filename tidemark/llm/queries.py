@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, toxicity
+from . import ann, bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, token_file, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
@@ -63,11 +63,15 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), digests=True)
+    return bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digests=True)
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_ann, op3_bpe, op4_exact_dedup, op5_toxicity, op6_language, op7_mix_sources, op8_html_text, op10_line_dedup)
+    f.__name__: f for f in (op1_near_dedup, op2_ann, op3_bpe, op4_exact_dedup, op5_toxicity, op6_language, op7_mix_sources, op8_html_text, op9_token_file, op10_line_dedup)
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,5 +37,41 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ARROW = {
+    "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+}
+
+
+def map_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list], dict[str, list]]], fields: dict[str, str]) -> DataFrame:
+    """The columns of df but `text`, and those that a function makes of a batch's texts.
+
+    start() is called in each task and gives the function, so that it can keep state. The other
+    columns pass through as Arrow arrays, nulls and large integers included.
+    """
+    kept = [f for f in df.schema if f.name != text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{c}` {t}" for c, t in fields.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for b in batches:
+            made = make(b.column(b.schema.get_field_index(text)).to_pylist())
+            columns = [b.column(b.schema.get_field_index(f.name)) for f in kept]
+            columns += [pa.array(made[c], _ARROW[t]) for c, t in fields.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *fields])
+
+    return df.mapInArrow(run, schema)
+
+
+def filter_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns, for whose text the function that start() gives is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(b.schema.get_field_index(text)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grams import fit_logistic, gram_ids, known_gram_ids, words
-from .shared import stage
+from .shared import filter_texts, map_texts, stage
 
 #: Labelled rows that are fitted on at most; the rows of least id hash are taken.
 MAX_ROWS = 12_000
@@ -103,14 +103,16 @@ def _score(weights: dict[int, float], bias: float):
             s = self[word] = sum(weights.get(g, 0.0) for g in gram_ids(word, LEAST, MOST, BUCKETS))
             return s
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         known = Words()
-        for b in batches:
-            z = [bias + sum(sorted(map(known.__getitem__, set(words(t))))) for t in b["text"]]
-            b["score"] = [1 / (1 + exp(-min(max(x, -30.0), 30.0))) for x in z]
-            yield b.drop(columns="text")
 
-    return run
+        def make(texts: list) -> list[float]:
+            z = [bias + sum(sorted(map(known.__getitem__, set(words(t))))) for t in texts]
+            return [1 / (1 + exp(-min(max(x, -30.0), 30.0))) for x in z]
+
+        return make
+
+    return start
 
 
 def toxicity(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -120,10 +122,22 @@ def toxicity(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str
     summed. A null or empty text, or one without letters, gets the score of the bias alone.
     Repeated rows are scored alike; other columns of docs are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = d.mapInPandas(_score(*model), f"id {kind}, score double")
-    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    def start():
+        score = _score(*model)()
+        return lambda texts: {"score": score(texts)}
+
+    out = map_texts(docs.select(id_col, F.col(text_col).alias("_tox_text")), "_tox_text", start, {"score": "double"})
+    return out.select(id_col, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below threshold, with all their columns and in one pass."""
+
+    def start():
+        score = _score(*model)()
+        return lambda texts: [s < threshold for s in score(texts)]
+
+    return filter_texts(docs, text_col, start)
 
 
 def train_folds(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
