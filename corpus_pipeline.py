@@ -1,8 +1,68 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, mixing and tokenising, in this order.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, line_dedup, mixing, near_dedup, toxicity
+from tidemark.llm.queries import tokenizer
+from tidemark.llm.shared import stage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the threshold. The model learns from the labels of the
+    documents at hand. A document is scored by its own row; null ids pass the join by null-safe equality."""
+    model = toxicity.train_folds(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sources share. A document of which no line is left goes;
+    one that had no text to begin with stays. n_chars follows the text."""
+    out = line_dedup.line_dedup(docs).where(~((F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id."""
+    kept = near_dedup.near_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target asks."""
+    mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"))
+    return mixing.emit(mixed).select(*COLUMNS)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every text, and digests of ids and decoded text."""
+    out = bpe.encode_decode(docs, tokenizer("word_bpe_49k.json"), keep=("source",), digests=True)
+    return out.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_boilerplate),
+    ("near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("tokenising", tokenise),
+]
+
+#: SQL cannot express the classifier, the near-dedup or the tokeniser.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
