@@ -118,7 +118,7 @@ def _dates(spark, sf_dir):
     return spark.range(1).select(F.explode(per.spine(START, END, Period.HOURLY)).alias("bucket_start"))
 
 
-@query("slice_floor", "SELECT event_id, epoch_ms(epoch_ms(ts) - epoch_ms(ts) % 120000) AS slice FROM events")
+@query("slice_floor", "SELECT event_id, epoch_ms(epoch_ms(date_trunc('millisecond', ts)) - epoch_ms(date_trunc('millisecond', ts)) % 120000) AS slice FROM events")
 def _slice(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", per.slice_floor(F.col("ts")).alias("slice"))
 
@@ -660,7 +660,7 @@ def _proto(spark, sf_dir):
     return messages.from_protobuf(messages.to_protobuf(_daily(spark, sf_dir)))
 
 
-@query("record_files", f"SELECT entity_id, epoch_ms(epoch_ms(ts)) AS ts, name, record_type, value FROM ({FACTS})")
+@query("record_files", f"SELECT entity_id, date_trunc('millisecond', ts) AS ts, name, record_type, value FROM ({FACTS})")
 def _record_files(spark, sf_dir):
     """Facts written as record files and decoded again."""
     made = records.in_files(event_facts(spark, sf_dir)).select(F.col("file").alias("path"), "content")
@@ -688,7 +688,7 @@ def _ready(spark, sf_dir):
 
 # Buffers and streams
 
-_SLICES = f"SELECT entity_id, epoch_ms(epoch_ms(ts) - epoch_ms(ts) % 120000) AS ts, name, record_type, CASE WHEN record_type = 'aggregate' THEN sum(value)::BIGINT ELSE arg_max(value, arrival_seq) END AS value, max(arrival_seq) AS arrival_seq FROM ({FACTS}) GROUP BY 1, 2, 3, 4"
+_SLICES = f"SELECT entity_id, epoch_ms(epoch_ms(date_trunc('millisecond', ts)) - epoch_ms(date_trunc('millisecond', ts)) % 120000) AS ts, name, record_type, CASE WHEN record_type = 'aggregate' THEN sum(value)::BIGINT ELSE arg_max(value, arrival_seq) END AS value, max(arrival_seq) AS arrival_seq FROM ({FACTS}) GROUP BY 1, 2, 3, 4"
 
 
 @query("slice_buffer_120s", _SLICES)
