@@ -29,7 +29,7 @@ SMALLEST, MEAN_BITS, LARGEST = 256, 10, 8192
 #: while it remembers it.
 SHARED = 20_000
 #: Words and chunks that a task remembers before it forgets all.
-KNOWN_WORDS, KNOWN_CHUNKS = 800_000, 20_000
+KNOWN_WORDS, KNOWN_CHUNKS = 400_000, 10_000
 
 _GEAR = np.random.default_rng(97).integers(0, 2**32, 256, dtype=np.uint32)
 #: A place where no pre-token crosses: before one space between printable ASCII characters.
@@ -116,7 +116,7 @@ class Encoder:
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder_of(spec: str) -> Encoder:
     """A worker keeps its encoder, and the words that it remembers, from task to task."""
     return Encoder(spec)

@@ -26,7 +26,7 @@ def gram_ids(word: str, least: int, most: int, buckets: int) -> set[int]:
     }
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def known_gram_ids(word: str, least: int, most: int, buckets: int) -> set[int]:
     """The same with a bounded memory of recent words, for the passes over training rows."""
     return gram_ids(word, least, most, buckets)

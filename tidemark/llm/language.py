@@ -54,6 +54,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             idx.append(some.astype(np.uint16).tobytes())
             val.append((x[some] / max(x.sum(), 1)).astype(np.float32).tobytes())
         yield pd.DataFrame({"lang": b["lang"], "idx": idx, "val": val})
+    known_gram_ids.cache_clear()
 
 
 class Model:
@@ -115,7 +116,7 @@ def _predict(model: Model):
             nonlocal known
             pred, score, doubt = [], [], []
             for text in texts:
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known = Words()
                 found = words(text)
                 if not names or not found or not (found[0].isalpha() or any(map(str.isalpha, text))):

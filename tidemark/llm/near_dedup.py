@@ -39,7 +39,7 @@ class _Words(dict):
     """Word -> 64-bit hash, emptied when full so that its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

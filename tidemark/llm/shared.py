@@ -42,6 +42,13 @@ _ARROW = {
 }
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a task holds few texts as Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def map_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list], dict[str, list]]], fields: dict[str, str]) -> DataFrame:
     """The columns of df but `text`, and those that a function makes of a batch's texts.
 
@@ -53,7 +60,7 @@ def map_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
-        for b in batches:
+        for b in _slices(batches):
             made = make(b.column(b.schema.get_field_index(text)).to_pylist())
             columns = [b.column(b.schema.get_field_index(f.name)) for f in kept]
             columns += [pa.array(made[c], _ARROW[t]) for c, t in fields.items()]
@@ -67,7 +74,7 @@ def filter_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = start()
-        for b in batches:
+        for b in _slices(batches):
             yield b.filter(pa.array(keep(b.column(b.schema.get_field_index(text)).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -40,6 +40,7 @@ def _present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for text, y in zip(b["text"], b["label"], strict=True):
             rows[int(y)][list(_counts(text))] += 1
+    known_gram_ids.cache_clear()
     some = np.flatnonzero(rows[0] + rows[1])
     yield pd.DataFrame({"bucket": some, "clean": rows[0][some], "toxic": rows[1][some]})
 
@@ -53,6 +54,7 @@ def _features(place: dict[int, int]):
                 cols.append(np.array([c for c, _ in got], np.uint16).tobytes())
                 vals.append(np.array([n for _, n in got], np.uint8).tobytes())
             yield pd.DataFrame({"label": b["label"], "cols": cols, "vals": vals})
+        known_gram_ids.cache_clear()
 
     return run
 
@@ -98,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows: in
 def _score(weights: dict[int, float], bias: float):
     class Words(dict):
         def __missing__(self, word: str) -> float:
-            if len(self) > 400_000:
+            if len(self) > 200_000:
                 self.clear()
             s = self[word] = sum(weights.get(g, 0.0) for g in gram_ids(word, LEAST, MOST, BUCKETS))
             return s
