@@ -261,7 +261,7 @@ def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             p1[:n] = x
         counts += moved
         shares.freeze()
-    out: list[np.ndarray] = [ids[:0, 0]] * rows
+    out = [np.empty(0, np.uint16)] * rows
     for r, b in enumerate(order):
         out[b] = ids[r, : size[r]].copy()
     return out
