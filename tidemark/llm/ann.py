@@ -19,9 +19,8 @@ from .shared import stage
 SAMPLE, CELLS = 20_000, (1, 1024)
 PARTS, CODES = 16, 256
 #: The share of true neighbours that the visited cells must hold, among TUNE rows of the sample
-#: searched by brute force; rows kept for exact reranking; rows of a cell that one task takes at
-#: a time.
-TARGET, TUNE, RERANK, BLOCK = 0.97, 256, 400, 8192
+#: searched by brute force; rows kept for exact reranking; rows of a shard, which one task takes.
+TARGET, TUNE, RERANK, SHARD = 0.97, 256, 200, 16_384
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -132,15 +131,27 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return Index(rows, v, counts, quantiser)
 
 
+def shards(counts: dict[int, int], size: int = SHARD) -> dict[int, tuple[int, int]]:
+    """cell -> (first shard, shards): small cells share a shard, a large one is split over several."""
+    out, shard, held = {}, 0, 0
+    for cell, n in sorted(counts.items()):
+        if held and held + n > size:
+            shard, held = shard + 1, 0
+        parts = max(1, -(-n // size))
+        out[cell] = (shard, parts)
+        shard, held = (shard + parts, 0) if parts > 1 else (shard, held + n)
+    return out
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """Per query its k nearest candidates found: query_id, rank (from 1), vec_id, score.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the
     smaller id; a query is no candidate of its own. Queries must be usable as rows are. A query
     visits the nearest cells, `probes` at least (by default as many as the index was tuned to) and
-    as many as hold `rerank` rows, so it gets k neighbours (or all candidates). A cell is searched in blocks of about BLOCK rows by as many
-    tasks, each query against a block through its distance table; the best `rerank` of all
-    blocks are ranked again exactly.
+    as many as hold `rerank` rows, so it gets k neighbours (or all candidates). Cells are searched in shards of about SHARD
+    rows; a task sends the best `rerank` of a query's cells in its shard, and the best of all shards
+    are ranked again exactly.
     """
     spark, quantiser, counts = queries.sparkSession, index.quantiser, index.sizes
     kind = index.vectors.schema["id"].dataType.simpleString()
@@ -149,7 +160,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
     q = usable(queries, id_col, vec_col).dropDuplicates(["id"])
     q = q.where(F.size("v") == quantiser.value.dim)
     probes = probes or quantiser.value.probes
-    blocks = {c: -(-n // BLOCK) for c, n in counts.items()}
+    where = shards(counts)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coarse = quantiser.value.coarse
@@ -158,29 +169,36 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
             out = []
             for i, v in zip(b["id"], b["v"], strict=True):
                 order = np.argsort(((coarse - v.astype(np.float32)) ** 2).sum(1), kind="stable")
-                total = np.cumsum(held[order])
-                enough = max(probes, int(np.searchsorted(total, rerank + 1)) + 1)
-                out += [(i, v, int(c), j) for c in order[:enough] for j in range(blocks.get(int(c), 0))]
-            yield pd.DataFrame(out, columns=["query_id", "v", "cell", "block"])
+                enough = max(probes, int(np.searchsorted(np.cumsum(held[order]), rerank + 1)) + 1)
+                asked: dict[int, list[int]] = {}
+                for c in order[:enough].tolist():
+                    first, parts = where.get(c, (0, 0))
+                    for s in range(first, first + parts):
+                        asked.setdefault(s, []).append(c)
+                out += [(i, v, s, cells) for s, cells in asked.items()]
+            yield pd.DataFrame(out, columns=["query_id", "v", "shard", "cells"])
 
     def scan(key, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asked) and len(rows):
+            rows = rows.sort_values("cell", kind="stable")
             codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            ids, at = rows["id"].to_numpy(), np.arange(codes.shape[1])
-            for i, v in zip(asked["query_id"], asked["v"], strict=True):
-                d = quantiser.value.table(v.astype(np.float32), int(key[0]))[at, codes].sum(1)
-                best = np.lexsort((ids, d))[: rerank + 1] if len(d) <= 4 * rerank else _least(d, ids, rerank + 1)
-                best = best[ids[best] != i]
-                found.append(pd.DataFrame({"query_id": i, "id": ids[best], "d": d[best].astype(np.float64)}))
+            ids, cell, at = rows["id"].to_numpy(), rows["cell"].to_numpy(), np.arange(codes.shape[1])
+            for i, v, cells in zip(asked["query_id"], asked["v"], asked["cells"], strict=True):
+                spans = [slice(*np.searchsorted(cell, [c, c + 1])) for c in cells]
+                d = [quantiser.value.table(v.astype(np.float32), c)[at, codes[s]].sum(1) for c, s in zip(cells, spans, strict=True)]
+                d, own = np.concatenate(d), np.concatenate([ids[s] for s in spans])
+                best = np.lexsort((own, d))[: rerank + 1] if len(d) <= 4 * rerank else _least(d, own, rerank + 1)
+                best = best[own[best] != i]
+                found.append(pd.DataFrame({"query_id": i, "id": own[best], "d": d[best].astype(np.float64)}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "d": []})
 
-    asked = q.mapInPandas(probe, f"query_id {kind}, v array<double>, cell int, block int")
-    # How many blocks a cell has, as a table of at most CELLS rows.
-    split = F.broadcast(spark.createDataFrame(list(blocks.items()), "cell int, blocks int"))
-    rows = index.rows.join(split, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    asked = q.mapInPandas(probe, f"query_id {kind}, v array<double>, shard int, cells array<int>")
+    # Where each cell's rows are: a table of at most CELLS rows.
+    split = F.broadcast(spark.createDataFrame([(c, *w) for c, w in where.items()], "cell int, first int, parts int"))
+    rows = index.rows.join(split, "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     near = (
-        asked.groupBy("cell", "block").cogroup(rows.select("id", "cell", "block", "code").groupBy("cell", "block"))
+        asked.groupBy("shard").cogroup(rows.select("id", "cell", "shard", "code").groupBy("shard"))
         .applyInPandas(scan, f"query_id {kind}, id {kind}, d double")
     )
     top = Window.partitionBy("query_id").orderBy("d", "id")
