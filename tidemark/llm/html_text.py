@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_texts
 
-#: Lines in a sliding window; the characters in a window that make a surge; the share of the
-#: longest stretch's text that makes another stretch count.
-WINDOW, SURGE, SHARE = 3, 1, 0.1
+#: Lines in a sliding window; the weight in a window that makes a surge, and the one below which it
+#: dives; the share of the longest stretch's text that makes another stretch count.
+WINDOW, SURGE, DIVE, SHARE = 3, 86, 1, 0.1
+#: How many times its characters a line in <article> or <main> weighs: what the page names as its
+#: text surges however short it is.
+ARTICLE = SURGE
 
 # HTML element names by what they are.
 BLOCKS = frozenset(
@@ -120,37 +124,41 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> list[tuple[int, int]]:
-    """The [first, last) stretches of lines that hold the text.
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[tuple[int, int, bool]]:
+    """The [first, last) stretches of lines that hold text, and whether each surges.
 
-    The distribution is the text length summed over `window` lines from each line on. A stretch
-    begins where it surges, at the first line whose window holds text, and ends where it dives
-    and a whole window holds none. The longest stretch counts, and those with `share` of its text.
+    The distribution is the weight summed over `window` lines from each line on. A stretch
+    reaches from where it rises to `dive` to where it falls below; it surges if a window in it
+    holds `surge`.
     """
     sums = [sum(weights[i : i + window]) for i in range(len(weights))] + [0]
     found, first = [], None
     for i, s in enumerate(sums):
-        if s >= surge and first is None:
+        if s >= dive and first is None:
             first = i
-        elif s < surge and first is not None:
-            found.append((first, i))
+        elif s < dive and first is not None:
+            found.append((first, i, max(sums[first:i]) >= surge))
             first = None
-    most = max((sum(weights[a:b]) for a, b in found), default=0)
-    return [(a, b) for a, b in found if sum(weights[a:b]) >= share * most]
+    return found
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page, a block a line; empty if there is none."""
+    """The main text of a page, a block a line; empty if there is none."""
     found = lines(page or "")
-    if any(inside and not boiler for _, _, boiler, inside in found):
-        found = [(t, k, boiler or not inside, inside) for t, k, boiler, inside in found]
     # A block that is mostly links weighs nothing, and neither does boilerplate.
-    weights = [0 if boiler or (not inside and 2 * k > len(t)) else len(t) for t, k, boiler, inside in found]
-    if any(inside and w for (_, _, _, inside), w in zip(found, weights, strict=True)):
-        kept = [(0, len(found))]  # the page itself says where the text surges and dives
-    else:
-        kept = stretches(weights)
-    return "\n".join(found[i][0] for a, b in kept for i in range(a, b) if weights[i])
+    weights = [
+        0 if boiler or (not inside and 2 * k > len(t)) else len(t) * (ARTICLE if inside else 1) for t, k, boiler, inside in found
+    ]
+    # No stretch crosses the edge of an article.
+    parts, at = [], 0
+    for _, run in groupby(inside for _, _, _, inside in found):
+        n = len(list(run))
+        parts += [(at + a, at + b, surges) for a, b, surges in stretches(weights[at : at + n])]
+        at += n
+    if any(surges for _, _, surges in parts):
+        most = max(sum(weights[a:b]) for a, b, _ in parts)
+        parts = [(a, b, s) for a, b, s in parts if s or sum(weights[a:b]) >= SHARE * most]
+    return "\n".join(found[i][0] for a, b, _ in parts for i in range(a, b) if weights[i])
 
 
 def _extract(pages: list) -> dict[str, list]:
@@ -163,8 +171,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
 
     Markup is stripped into lines (block elements end a line, character references are decoded,
     white space within a line becomes one space). Lines of menus, headers, footers, sidebars,
-    notices, adverts, forms and comments, and lines that are mostly links, weigh nothing; text lengths
-    are summed over sliding windows of lines, and the text from the surge to the dive is kept.
+    notices, adverts, forms and comments, and lines that are mostly links, weigh nothing, lines in
+    an article SURGE times their length; weights are summed over sliding windows of lines on every
+    page, and the text around each surge is kept up to the dives. Weaker text is kept on a page
+    without any surge, and with SHARE of the text of the heaviest stretch.
     A null or empty page, or one without text, gives an empty text. Whole pages are read; repeated
     rows give equal results.
     """
