@@ -20,3 +20,20 @@ def test_text_without_a_surge_is_left_out():
     assert main_text(page) == "\n".join([LONG.strip()] * 2)
     assert main_text(f"<body><div>{p('We are here')}</div><section>{p('Short', 'text')}</section></body>") == "We are here\nShort\ntext"
     assert stretches([0, 90, 0, 0, 0, 5]) == [(0, 2, True), (3, 6, False)]
+
+
+ADVERTS = '<ul class="promo"><li>Buy</li><li>Buy</li><li>Buy</li></ul>'
+
+
+def test_short_tail_of_a_long_page():
+    page = f"<body><div>{p(*[LONG] * 500)}{ADVERTS}{p('The end.')}</div></body>"
+    assert main_text(page).split("\n")[-2:] == [LONG.strip(), "The end."]
+    page = f"<body><div><section>{p(*[LONG] * 500)}</section>{ADVERTS}<section>{p('The end.')}</section></div></body>"
+    assert main_text(page).split("\n")[-1] == "The end."
+
+
+def test_paragraphs_of_links():
+    references = ", ".join(f"Author {i}, <a href=x>{LONG}</a>" for i in range(9))
+    page = f"<body><div>{p(LONG, LONG, '<a>Read this as well</a>', LONG, references)}</div><ul><li><a>Home</a><li><a>News</a></ul></body>"
+    got = main_text(page).split("\n")
+    assert len(got) == 5 and got[2] == "Read this as well" and got[4].startswith("Author 0, Words")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from itertools import groupby
 
 from pyspark.sql import DataFrame
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 from .shared import map_texts
 
 #: Lines in a sliding window; the weight in a window that makes a surge, and the one below which it
-#: dives; the share of the longest stretch's text that makes another stretch count.
-WINDOW, SURGE, DIVE, SHARE = 3, 86, 1, 0.1
+#: dives.
+WINDOW, SURGE, DIVE = 3, 86, 1
 #: How many times its characters a line in <article> or <main> weighs: what the page names as its
-#: text surges however short it is.
-ARTICLE = SURGE
+#: text surges however short it is. The characters beside the links that a line of mostly links needs
+#: to weigh anything.
+ARTICLE, BESIDE = SURGE, 20
 
 # HTML element names by what they are.
 BLOCKS = frozenset(
@@ -25,6 +27,7 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HOLDERS = frozenset("html body main article div".split())
 RAW = frozenset("script style textarea noscript template iframe svg canvas object title head".split())
 BOILER = frozenset("nav footer aside form button select menu dialog fieldset label legend search".split())
 #: A class, id or role with such a word marks what is not the article.
@@ -67,18 +70,20 @@ def _marked(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The text blocks of a page in order: (text, characters in links, boilerplate, in the article)."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]:
+    """The text blocks of a page in order: (text, characters in links, boilerplate, in the article,
+    holder); and the holder of each holder. Holders are numbered as they open; 0 is the page."""
+    out: list[tuple[str, int, bool, bool, int]] = []
+    up = [0]
     buf: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    stack: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, article, holder
     linked = anchors = 0
 
     def flush() -> None:
         nonlocal linked
         text = SPACES.sub(" ", html.unescape("".join(buf))).strip()
         if text:
-            out.append((text, min(linked, len(text)), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+            out.append((text, min(linked, len(text)), *(stack[-1][1:] if stack else (False, False, 0))))
         buf.clear()
         linked = 0
 
@@ -113,15 +118,18 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         elif name not in VOID and not m["self"]:
             if name in CLOSES and stack and stack[-1][0] in CLOSES[name]:
                 stack.pop()
-            boiler, inside = stack[-1][1:] if stack else (False, False)
+            boiler, inside, holder = stack[-1][1:] if stack else (False, False, 0)
             inside = inside or name in ("article", "main")
             if name in BLOCKS or name in BOILER or not boiler:
                 boiler = boiler or _marked(name, m["attrs"], inside)
-            stack.append((name, boiler, inside))
+            if name in HOLDERS:
+                up.append(holder)
+                holder = len(up) - 1
+            stack.append((name, boiler, inside, holder))
         if name in BLOCKS:
             anchors = 0 if m["close"] and name in ("li", "td", "p", "div", "nav") else anchors
     flush()
-    return out
+    return out, up
 
 
 def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[tuple[int, int, bool]]:
@@ -142,23 +150,63 @@ def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE, dive
     return found
 
 
+def weight(text: str, linked: int, boiler: bool, inside: bool) -> int:
+    """What a line adds to the distribution: its characters, more in an article; those beside the
+    links if it is mostly links, unless they are few; nothing for boilerplate."""
+    if boiler:
+        return 0
+    if inside:
+        return len(text) * ARTICLE
+    beside = len(text) - linked
+    return len(text) if beside >= linked else beside if beside >= BESIDE else 0
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, a block a line; empty if there is none."""
-    found = lines(page or "")
-    # A block that is mostly links weighs nothing, and neither does boilerplate.
-    weights = [
-        0 if boiler or (not inside and 2 * k > len(t)) else len(t) * (ARTICLE if inside else 1) for t, k, boiler, inside in found
-    ]
+    found, up = lines(page or "")
+    weights = [weight(*line[:4]) for line in found]
     # No stretch crosses the edge of an article.
     parts, at = [], 0
-    for _, run in groupby(inside for _, _, _, inside in found):
+    for _, run in groupby(line[3] for line in found):
         n = len(list(run))
         parts += [(at + a, at + b, surges) for a, b, surges in stretches(weights[at : at + n])]
         at += n
     if any(surges for _, _, surges in parts):
-        most = max(sum(weights[a:b]) for a, b, _ in parts)
-        parts = [(a, b, s) for a, b, s in parts if s or sum(weights[a:b]) >= SHARE * most]
-    return "\n".join(found[i][0] for a, b, _ in parts for i in range(a, b) if weights[i])
+        spans = _spans([[found[i][4] for i in range(a, b) if weights[i]] for a, b, surges in parts if surges], up)
+        parts = [
+            (a, b, surges) for a, b, surges in parts
+            if surges or any(_within(found[i][4], spans) for i in range(a, b) if weights[i])
+        ]
+    out = []
+    for a, b, _ in parts:
+        some = [i for i in range(a, b) if weights[i]]
+        # Lines of links between others of the text are part of it.
+        out += [found[i][0] for i in range(some[0], some[-1] + 1) if not found[i][2]]
+    return "\n".join(out)
+
+
+def _spans(stretches: list[list[int]], up: list[int]) -> list[tuple[int, int]]:
+    """The first and last holder in the innermost one around each stretch, given as its lines'
+    holders, in order and apart. A holder's inner ones are numbered right after it."""
+    last = list(range(len(up)))
+    for i in range(len(up) - 1, 0, -1):
+        last[up[i]] = max(last[up[i]], last[i])
+    spans: list[tuple[int, int]] = []
+    for holders in stretches:
+        h, most = min(holders), max(holders)
+        while last[h] < most:
+            h = up[h]
+        spans.append((h, last[h]))
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if not out or lo > out[-1][1]:
+            out.append((lo, hi))
+    return out
+
+
+def _within(holder: int, spans: list[tuple[int, int]]) -> bool:
+    i = bisect_right(spans, (holder, float("inf"))) - 1
+    return i >= 0 and spans[i][0] <= holder <= spans[i][1]
 
 
 def _extract(pages: list) -> dict[str, list]:
@@ -171,10 +219,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
 
     Markup is stripped into lines (block elements end a line, character references are decoded,
     white space within a line becomes one space). Lines of menus, headers, footers, sidebars,
-    notices, adverts, forms and comments, and lines that are mostly links, weigh nothing, lines in
-    an article SURGE times their length; weights are summed over sliding windows of lines on every
-    page, and the text around each surge is kept up to the dives. Weaker text is kept on a page
-    without any surge, and with SHARE of the text of the heaviest stretch.
+    notices, adverts, forms and comments weigh nothing, lines of mostly links what stands beside the
+    links, lines in an article SURGE times their length; weights are summed over sliding windows of
+    lines on every page, and the text around each surge is kept up to the dives, lines of links within
+    it too. Weaker text is kept in the element that holds a surging stretch and on a page without
+    any surge, whatever the length of the rest.
     A null or empty page, or one without text, gives an empty text. Whole pages are read; repeated
     rows give equal results.
     """
