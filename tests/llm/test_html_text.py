@@ -37,3 +37,16 @@ def test_paragraphs_of_links():
     page = f"<body><div>{p(LONG, LONG, '<a>Read this as well</a>', LONG, references)}</div><ul><li><a>Home</a><li><a>News</a></ul></body>"
     got = main_text(page).split("\n")
     assert len(got) == 5 and got[2] == "Read this as well" and got[4].startswith("Author 0, Words")
+
+
+def test_marks_within_the_article():
+    page = f'<article><h2 id="related-work">Related work</h2><p id="notice-to-readers">{LONG}</p><table class="share-prices"><tr><td>12</table><div class="share">Tweet</div></article>'
+    assert main_text(page).split("\n") == ["Related work", LONG.strip(), "12"]
+    assert main_text(f'<body><h2 id="related-work">Related work</h2><p id="legal">{LONG}</p></body>').split("\n") == ["Related work", LONG.strip()]
+
+
+def test_head_without_an_end():
+    for start in ("<html><head><title>T</title>", "<head><meta charset=utf-8><style>p{}</style><script>'<p>no</p>'</script>"):
+        assert main_text(f"{start}<p>{LONG}</p>") == LONG.strip()
+        assert main_text(f"{start}{LONG}") == LONG.strip()
+        assert main_text(f"{start}<body><p>{LONG}</p>") == LONG.strip()

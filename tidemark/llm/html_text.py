@@ -30,6 +30,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HOLDERS = frozenset("html body main article div".split())
 RAW = frozenset("script style textarea noscript template iframe svg canvas object title head".split())
 BOILER = frozenset("nav footer aside form button select menu dialog fieldset label legend search".split())
+#: Elements that hold other blocks: within the article only their classes, ids and roles count.
+OUTER = frozenset("address center details dialog dir div dl fieldset footer form header hgroup menu nav ol search section ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: What a head may hold.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: A class, id or role with such a word marks what is not the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bars?|footer\w*|"
@@ -65,11 +70,28 @@ def _marked(name: str, attrs: str, inside: bool) -> bool:
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif key != "aria-hidden" and name not in ("html", "body", "article", "main") and MARKS.search(value):
+        elif key == "aria-hidden" or name in ("html", "body", "article", "main"):
+            continue
+        elif (name in OUTER or not inside) and not (key == "id" and name in HEADINGS) and MARKS.search(value):
             return True
     return False
 
 
+def _head_end(page: str, at: int) -> int:
+    """Where a head without an end tag ends: at text, or at an element that cannot be in a head."""
+    while m := TOKEN.search(page, at):
+        name = (m["name"] or "").lower()
+        if page[at : m.start()].strip():
+            return at
+        if name and name not in IN_HEAD:
+            return m.start()
+        at = m.end()
+        if name in RAW and name != "head" and not m["close"] and not m["self"]:
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = close.end() if close else len(page)
+    return at
+
+
 def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]:
     """The text blocks of a page in order: (text, characters in links, boilerplate, in the article,
     holder); and the holder of each holder. Holders are numbered as they open; 0 is the page."""
@@ -103,8 +125,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]
             if name in BLOCKS:
                 flush()
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            body = None if close or name != "head" else re.compile(r"<body\b", re.I).search(page, at)
-            at = close.end() if close else body.start() if body else end
+            at = close.end() if close else _head_end(page, at) if name == "head" else end
             continue
         if name in BLOCKS:
             flush()
