@@ -9,7 +9,7 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -19,8 +19,9 @@ from .shared import stage
 SAMPLE, CELLS = 20_000, (1, 1024)
 PARTS, CODES = 16, 256
 #: The share of true neighbours that the visited cells must hold, among TUNE rows of the sample
-#: searched by brute force; rows kept for exact reranking; rows of a shard, which one task takes.
-TARGET, TUNE, RERANK, SHARD = 0.97, 256, 200, 16_384
+#: searched by brute force; rows kept for exact reranking; rows of a shard and about the queries of a
+#: block, which one task takes.
+TARGET, TUNE, RERANK, SHARD, BLOCK = 0.97, 256, 200, 16_384, 2048
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -143,14 +144,15 @@ def shards(counts: dict[int, int], size: int = SHARD) -> dict[int, tuple[int, in
     return out
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None, rerank: int = RERANK) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """Per query its k nearest candidates found: query_id, rank (from 1), vec_id, score.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the
     smaller id; a query is no candidate of its own. Queries must be usable as rows are. A query
     visits the nearest cells, `probes` at least (by default as many as the index was tuned to) and
     as many as hold `rerank` rows, so it gets k neighbours (or all candidates). Cells are searched in shards of about SHARD
-    rows; a task sends the best `rerank` of a query's cells in its shard, and the best of all shards
+    rows for blocks of about `block` queries, so neither side of a group grows with the input; a shard's codes are
+    repeated for each block. A task sends the best `rerank` of a query's cells in its shard, and the best of all shards
     are ranked again exactly.
     """
     spark, quantiser, counts = queries.sparkSession, index.quantiser, index.sizes
@@ -190,15 +192,18 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
                 d, own = np.concatenate(d), np.concatenate([ids[s] for s in spans])
                 best = np.lexsort((own, d))[: rerank + 1] if len(d) <= 4 * rerank else _least(d, own, rerank + 1)
                 best = best[own[best] != i]
-                found.append(pd.DataFrame({"query_id": i, "id": own[best], "d": d[best].astype(np.float64)}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "d": []})
+                found.append((np.full(len(best), i), own[best], d[best].astype(np.float64)))
+        query, own, d = map(np.concatenate, zip(*found, strict=True)) if found else ([], [], [])
+        return pd.DataFrame({"query_id": query, "id": own, "d": d})
 
+    blocks = max(1, -(-q.count() // block))
     asked = q.mapInPandas(probe, f"query_id {kind}, v array<double>, shard int, cells array<int>")
+    asked = asked.withColumn("block", block_of("query_id", blocks))
     # Where each cell's rows are: a table of at most CELLS rows.
     split = F.broadcast(spark.createDataFrame([(c, *w) for c, w in where.items()], "cell int, first int, parts int"))
     rows = index.rows.join(split, "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     near = (
-        asked.groupBy("shard").cogroup(rows.select("id", "cell", "shard", "code").groupBy("shard"))
+        asked.groupBy("shard", "block").cogroup(repeated(rows.select("id", "cell", "shard", "code"), blocks).groupBy("shard", "block"))
         .applyInPandas(scan, f"query_id {kind}, id {kind}, d double")
     )
     top = Window.partitionBy("query_id").orderBy("d", "id")
@@ -211,6 +216,16 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def block_of(query: str, blocks: int) -> Column:
+    """The block of a query, by its id's hash."""
+    return F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")
+
+
+def repeated(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows once for each block of queries."""
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
 def _least(d: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     """The n least by (d, id), without sorting all."""
     some = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
