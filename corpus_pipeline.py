@@ -6,7 +6,7 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, line_dedup, mixing, near_dedup, toxicity
@@ -32,9 +32,20 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
-    kept = near_dedup.near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """One row of each group of near copies, that of the smallest id; rows without an id come last.
+
+    Rows are told apart by id and text, so those without an id are compared too, and of rows that
+    repeat both one stays. Rows with neither an id nor words are copies of nothing and stay.
+    """
+    row = F.struct(
+        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"),
+    )
+    docs = docs.withColumn("row", row)
+    kept = near_dedup.near_dedup(docs, id_col="row").where("kept").groupBy("row").agg(F.max("n_shingles").alias("n"))
+    first = F.row_number().over(Window.partitionBy("row").orderBy("lang", "source", "n_chars"))
+    out = docs.join(kept, "row").withColumn("first", first == 1)
+    return out.where(F.col("first") | (F.col("row.none") & (F.col("n") == 0))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
