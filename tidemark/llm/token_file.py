@@ -102,6 +102,8 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, np.nd
             codes, lengths, crcs = [], [], []
             for r in group.itertuples():
                 ends = np.cumsum(r.block_bytes)
+                if sum(r.block_bytes) != len(r.codes) or not r.tokens == sum(r.block_tokens) == sum(r.doc_tokens):
+                    raise ValueError("a block's checksum does not match: its segment is cut")
                 codes += [r.codes[e - n : e] for e, n in zip(ends, r.block_bytes, strict=True)]
                 lengths += list(r.block_tokens)
                 crcs += list(r.block_crc32)
