@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections import Counter
 from itertools import groupby
 
 from pyspark.sql import DataFrame
@@ -44,11 +45,11 @@ MARKS = re.compile(
     re.I,
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/?)>",
-    re.S,
-)
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>", re.S)
+TAG = r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>%s)>"
+QUOTED = re.compile(TAG % r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+#: For pages with a quotation mark that nothing ends.
+UNQUOTED = re.compile(TAG % "[^>]*+")
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 SPACES = re.compile(r"\s+")
 #: Elements whose end tag may be left out: an opening one closes an open one of its group.
@@ -77,19 +78,57 @@ def _marked(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def _head_end(page: str, at: int) -> int:
-    """Where a head without an end tag ends: at text, or at an element that cannot be in a head."""
-    while m := TOKEN.search(page, at):
-        name = (m["name"] or "").lower()
-        if page[at : m.start()].strip():
-            return at
-        if name and name not in IN_HEAD:
-            return m.start()
-        at = m.end()
-        if name in RAW and name != "head" and not m["close"] and not m["self"]:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-    return at
+class Markup:
+    """A page's tags, comments and declarations in order. Each place is read once or twice, however
+    broken the page is: what nothing ends is text."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.tag = page, page.rfind(">"), QUOTED
+        self.unended: set[str] = set()
+
+    def next(self, at: int) -> re.Match | None:
+        """The first one from `at` on."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), at):
+                m = OTHER.match(page, at) if at < self.last or page.startswith(("<!--", "<![CDATA["), at) else None
+            elif at > self.last:
+                m = None
+            else:
+                m = self.tag.match(page, at)
+                if not m and self.tag is QUOTED and UNQUOTED.match(page, at):
+                    self.tag = UNQUOTED
+                    m = self.tag.match(page, at)
+            if m:
+                return m
+            at += 1
+        return None
+
+    def end_of(self, name: str, at: int) -> int | None:
+        """Where the first end tag of a name from `at` on ends."""
+        close = None if name in self.unended else re.compile(rf"</{name}\s*>", re.I).search(self.page, at)
+        if not close:
+            self.unended.add(name)
+        return close.end() if close else None
+
+    def head_end(self, at: int) -> int:
+        """Where a head without an end tag ends: at text, or at an element that cannot be in a head."""
+        while m := self.next(at):
+            name = _name(m)
+            if self.page[at : m.start()].strip():
+                return at
+            if name and name not in IN_HEAD:
+                return m.start()
+            at = m.end()
+            if name in RAW and name != "head" and not m["close"] and not m["attrs"].endswith("/"):
+                end = self.end_of(name, at)
+                at = len(self.page) if end is None else end
+        return at
+
+
+def _name(m: re.Match) -> str:
+    """The name of a tag; empty for a comment or declaration."""
+    return m["name"].lower() if "name" in m.re.groupindex else ""
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]:
@@ -109,36 +148,37 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]
         buf.clear()
         linked = 0
 
-    at, end = 0, len(page)
+    at, end, markup, open_ = 0, len(page), Markup(page), Counter()
     while at < end:
-        m = TOKEN.search(page, at)
+        m = markup.next(at)
         text = page[at : m.start() if m else end]
         if text:
             buf.append(text)
             linked += len(text) if anchors else 0
         if not m:
             break
-        at, name = m.end(), (m["name"] or "").lower()
+        at, name = m.end(), _name(m)
         if not name:
             continue
-        if not m["close"] and name in RAW and not m["self"]:
+        closed = m["attrs"].endswith("/")
+        if not m["close"] and name in RAW and not closed:
             if name in BLOCKS:
                 flush()
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else _head_end(page, at) if name == "head" else end
+            after = markup.end_of(name, at)
+            at = after if after is not None else markup.head_end(at) if name == "head" else end
             continue
         if name in BLOCKS:
             flush()
         if name == "a":
             anchors = max(0, anchors + (-1 if m["close"] else 1))
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while open_[name]:
+                open_[top := stack.pop()[0]] -= 1
+                if top == name:
                     break
-        elif name not in VOID and not m["self"]:
+        elif name not in VOID and not closed:
             if name in CLOSES and stack and stack[-1][0] in CLOSES[name]:
-                stack.pop()
+                open_[stack.pop()[0]] -= 1
             boiler, inside, holder = stack[-1][1:] if stack else (False, False, 0)
             inside = inside or name in ("article", "main")
             if name in BLOCKS or name in BOILER or not boiler:
@@ -147,6 +187,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]
                 up.append(holder)
                 holder = len(up) - 1
             stack.append((name, boiler, inside, holder))
+            open_[name] += 1
         if name in BLOCKS:
             anchors = 0 if m["close"] and name in ("li", "td", "p", "div", "nav") else anchors
     flush()
