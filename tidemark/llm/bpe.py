@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts
+from .shared import map_texts, small_batches
 
 #: Chunk sizes in bytes: the least, the mean distance of cuts and the most.
 SMALLEST, MEAN_BITS, LARGEST = 256, 10, 8192
@@ -28,8 +28,8 @@ SMALLEST, MEAN_BITS, LARGEST = 256, 10, 8192
 #: chunks of at most 8 KiB bound that; a chunk beyond it is encoded once by each task that meets it
 #: while it remembers it.
 SHARED = 20_000
-#: Words and chunks that a task remembers before it forgets all.
-KNOWN_WORDS, KNOWN_CHUNKS = 400_000, 10_000
+#: Words that a worker remembers, and as many before them, and chunks that a task does.
+KNOWN_WORDS, KNOWN_CHUNKS = 200_000, 10_000
 
 _GEAR = np.random.default_rng(97).integers(0, 2**32, 256, dtype=np.uint32)
 #: A place where no pre-token crosses: before one space between printable ASCII characters.
@@ -84,7 +84,9 @@ class Encoder:
         self.added = [t["content"].encode() for t in json.loads(spec)["added_tokens"]]
         self.drops_space = not self.tok.encode(" ", add_special_tokens=False).ids
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 65536 else "<u4"
+        #: The words met lately, and those before them.
         self.known: dict = {}
+        self.old: dict = {}
         self.names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
 
     def direct(self, data: bytes) -> bytes:
@@ -97,12 +99,12 @@ class Encoder:
     def encode(self, data: bytes) -> bytes:
         """The ids of data, which holds no added token, as packed integers."""
         units = data.split() if self.drops_space else UNIT.findall(data.decode("utf-8", "replace"))
-        known = self.known
-        new = list({u for u in units if u not in known})
-        if new:
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = list(set(units))
+        known, missing = self.known, set(units).difference(self.known)
+        if len(known) + len(missing) > KNOWN_WORDS:
+            self.old, known, missing = known, {}, set(units)
+            self.known = known
+        if missing:
+            new = [u for u in missing if known.setdefault(u, self.old.get(u)) is None]
             texts = [u.decode("utf-8", "replace") for u in new] if self.drops_space else new
             for u, e in zip(new, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 known[u] = np.array(e.ids, self.dtype).tobytes()
@@ -154,21 +156,17 @@ class ChunkEncoder:
             self.known[key] = got
         return got
 
-    def join(self, data: bytes, left: int, right: int) -> bytes | None:
-        """The ids of data[left:right], encoded again with a word more on each side until both
-        agree; None if they don't, however wide."""
-        text, width = data[left:right], 32
-        ids = self.encoder.direct(text)
-        before = [m.start() for m in SAFE.finditer(data, max(0, left - width), left)][-1:]
-        after = SAFE.search(data, right + 1, right + width)
+    def agrees(self, data: bytes, left: int, right: int, ids: bytes) -> bool:
+        """Whether data[left:right] has these ids within a window that is a word wider on each side."""
+        before = [m.start() for m in SAFE.finditer(data, max(0, left - 32), left)][-1:]
+        after = SAFE.search(data, right + 1, right + 32)
         a, b = before[0] if before else left, after.start() if after else right
         key = data[a:b]
         if key not in self.joins:
             if len(self.joins) >= KNOWN_CHUNKS:
                 self.joins.clear()
             self.joins[key] = self.encoder.direct(key)
-        wider = self.encoder.encode(data[a:left]) + ids + self.encoder.encode(data[right:b])
-        return ids if wider == self.joins[key] else None
+        return self.encoder.encode(data[a:left]) + ids + self.encoder.encode(data[right:b]) == self.joins[key]
 
     def encode(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
@@ -179,19 +177,34 @@ class ChunkEncoder:
         ends = cuts(data)
         if not ends:
             return self.encoder.encode(data)
-        out, done, at = [], 0, 0
+        done: list[tuple[int, bytes]] = []  # where a stretch ends, and its ids
+        upto = at = 0
         for end in [*ends, len(data)]:
             a, b, ids = self.body(data[at:end])
             if b:
                 # From what is done to this chunk's inside lies the join (or the text's head).
-                joined = self.join(data, done, at + a) if at else self.encoder.encode(data[:a])
-                if joined is None:
+                left, right = upto, at + a
+                joined = self.encoder.direct(data[left:right]) if at else self.encoder.encode(data[:a])
+                if not at or self.agrees(data, left, right, joined):
+                    done += [(right, joined), (at + b, ids)]
+                elif not self.repaired(data, done, at + b):
                     return self.encoder.direct(data)
-                out += [joined, ids]
-                done = at + b
+                upto = at + b
             at = end
-        out.append(self.encoder.encode(data[done:]))
-        return b"".join(out)
+        done.append((len(data), self.encoder.encode(data[upto:])))
+        return b"".join(ids for _, ids in done)
+
+    def repaired(self, data: bytes, done: list[tuple[int, bytes]], right: int) -> bool:
+        """Encode again up to `right`, from one stretch further back each time, until that agrees with a
+        wider window; False if it does not even from the text's start, which leaves the whole text."""
+        while done:
+            done.pop()
+            left = done[-1][0] if done else 0
+            ids = self.encoder.direct(data[left:right])
+            if self.agrees(data, left, right, ids):
+                done.append((right, ids))
+                return True
+        return False
 
 
 def _chunks(text: str | None) -> Iterator[bytes]:
@@ -268,6 +281,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     an empty one: no ids, an empty decoded text. Whole texts of any length are encoded as the library
     does without special tokens, and decoded with them; repeated rows give equal results.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(d, spec, most_shared))
     d = docs.select(id_col, *keep, F.col(text_col).alias("_bpe_text"))

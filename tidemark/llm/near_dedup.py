@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import map_texts, stage
+from .shared import map_texts, small_batches, stage
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -27,7 +27,9 @@ HASHES, ROWS = 128, 4
 BATCH, MISS = 32, 1e-6
 #: Rounds in which a bucket's members are compared with one of them; rows and bytes of a block of
 #: the round that compares what is left.
-STARS, BLOCK_ROWS, BLOCK_BYTES = 2, 2048, 32 << 20
+STARS, BLOCK_ROWS, BLOCK_BYTES = 2, 2048, 16 << 20
+#: Words whose hashes a worker remembers.
+KNOWN_WORDS = 50_000
 
 _rng = np.random.default_rng(20240101)
 _MULT = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -39,7 +41,7 @@ class _Words(dict):
     """Word -> 64-bit hash, emptied when full so that its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -203,7 +205,8 @@ def near_dedup(
     """One row per row of docs: id, n_shingles, component_id, kept.
 
     Texts link when 100 * |intersection| >= 75 * |union| of their sets of distinct five-word
-    shingles (the whole sequence for fewer words). component_id is the smallest id reachable over
+    shingles (the whole sequence for fewer words). A shingle stands in the sets as a 64-bit hash, here and where
+    links are confirmed. component_id is the smallest id reachable over
     links; the document of that id is kept. A null text, or one without words, has no shingles and
     links with nothing: it is its own component. A null id never names a component: such a row
     has the component of its text, or null if there is none, and is kept only then. Repeated rows
@@ -215,6 +218,7 @@ def near_dedup(
     so no link between different texts is lost; only links leave a task, never all pairs.
     """
     share = similar[0] / similar[1]
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = map_texts(docs, "text", lambda: _sign, {"n": "bigint", "set_key": "binary", "sig": "binary"})
     signed = stage(signed, "signed")

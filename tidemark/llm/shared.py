@@ -37,6 +37,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes that Spark sends to a Python worker at once, at most.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a worker and its executor hold of long texts: lowers the session's limits of an
+    Arrow batch, where they are higher."""
+    for key, most in BATCH_LIMITS.items():
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))
+
+
 _ARROW = {
     "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
 }
@@ -55,6 +68,7 @@ def map_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list], dic
     start() is called in each task and gives the function, so that it can keep state. The other
     columns pass through as Arrow arrays, nulls and large integers included.
     """
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema if f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{c}` {t}" for c, t in fields.items()])
 
@@ -71,6 +85,7 @@ def map_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list], dic
 
 def filter_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """The rows of df, all columns, for whose text the function that start() gives is true."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = start()
