@@ -5,36 +5,35 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from ..functions.periods import DEFAULT_TIERS, MILLI, Period, coarser, end_of, most_granular, on_boundary, start_of
+from ..functions.periods import DEFAULT_TIERS, MILLI, Period, next_start, start_of
 
 Interval = tuple[Period, datetime, datetime]
 
 
+def aligned(start: datetime, end: datetime, p: Period) -> tuple[datetime, datetime]:
+    """[first, last) of the whole buckets of p within [start, end); at `start` and empty if there is none."""
+    first = start if start == start_of(start, p) else next_start(start, p)
+    last = start_of(end, p)
+    return (first, last) if first < last else (start, start)
+
+
 def cover(start: datetime, end: datetime, tiers: Sequence[Period] = DEFAULT_TIERS) -> list[Interval]:
     """(period, start, inclusive end) intervals, finest period first, without overlap.
 
-    The range is widened to whole buckets of the finest tier, that of its end included. At each
-    tier what is not on the next tier's boundary is taken at either end, and the aligned middle
-    goes up.
+    The buckets of a tier nest in those of the coarser ones, and so do the spans that whole buckets of
+    each tier fill within the range: a tier answers its own span less that of the next coarser
+    tier, which leaves up to two intervals, or one where that tier fills nothing. The finest tier's
+    span is the range widened to its buckets, that of the range's end included. Weeks nest in
+    nothing and take no part.
     """
+    if start > end:
+        return []
+    kept = sorted((t for t in tiers if t not in (Period.FOREVER, Period.WEEKLY)), reverse=True)
+    kept = kept or [max(tiers)]
+    whole = (start_of(start, kept[0]), next_start(end, kept[0]))
+    spans = [whole, *(aligned(*whole, p) for p in kept[1:])]
     out: list[Interval] = []
-    tier: Period | None = most_granular(tiers)
-    while tier is not None and tier is not Period.FOREVER and start <= end:
-        start, end = start_of(start, tier), end_of(end, tier)
-        up = coarser(tier, tiers)
-        if up is None or up is Period.FOREVER:
-            out.append((tier, start, end))
-            break
-        head = tail = None
-        if not on_boundary(start, up):
-            head = (start, min(end_of(start, up), end))
-            start = head[1] + MILLI
-        if start <= end and not on_boundary(end, up):
-            tail = (max(start_of(end, up), start), end)
-            end = tail[0] - MILLI
-        if head and tail and head[1] + MILLI == tail[0]:
-            out.append((tier, head[0], tail[1]))
-        else:
-            out += [(tier, *x) for x in (head, tail) if x]
-        tier = up
+    for p, (a, b), (x, y) in zip(kept, spans, [*spans[1:], (whole[0], whole[0])], strict=True):
+        rest = [(a, x), (y, b)] if x < y else [(a, b)]
+        out += [(p, lo, hi - MILLI) for lo, hi in rest if lo < hi]
     return out
