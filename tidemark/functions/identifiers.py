@@ -49,14 +49,19 @@ def parse_date(text: Column) -> Column:
 
 
 def parse_value(text: Column) -> Column:
-    """A value's text as BIGINT: integers as they are, other numbers cut toward zero, null for `null`
-    and for what is no number."""
+    """A value's text as BIGINT: integers as they are, other numbers cut toward zero, null for `null`,
+    for what is no number, and for numbers that are not finite or beyond 64 bits."""
     whole = F.regexp_like(text, F.lit(r"\A-?[0-9]+\z"))
     return F.when(F.lower(text) == "null", None).when(whole, text.try_cast("bigint")).otherwise(
-        text.try_cast("double").cast("bigint")
+        text.try_cast("double").try_cast("bigint")
     )
 
 
+def is_value(text: Column) -> Column:
+    """Whether a value's text is `null` or a number that a BIGINT holds once it is cut."""
+    return F.coalesce((F.lower(text) == "null") | parse_value(text).isNotNull(), F.lit(False))
+
+
 def full_match(text: Column, pattern: str) -> Column:
     """Whether the whole text matches a Java regular expression."""
     return F.regexp_like(text, F.lit(rf"\A(?:{pattern})\z"))

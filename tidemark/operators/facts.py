@@ -13,7 +13,7 @@ COLUMNS = ["entity_id", "ts", "name", "record_type", "value", "arrival_seq"]
 
 def metric(entity: Column, name: Column, value: Column, record_type: str = AGGREGATE) -> Column:
     return F.struct(
-        entity.cast("string").alias("entity_id"), name.alias("name"), F.lit(record_type).alias("record_type"), value.cast("bigint").alias("value")
+        entity.cast("string").alias("entity_id"), name.alias("name"), F.lit(record_type).alias("record_type"), value.try_cast("bigint").alias("value")
     )
 
 
@@ -26,9 +26,10 @@ def fan_out(df: DataFrame, metrics: Sequence[Column], ts: str = "ts", seq: str =
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    """Per event: a count and the truncated value as sums, the value as a last value."""
+    """Per event: a count and the truncated value as sums, the value as a last value. A value that is no
+    64-bit number once cut (not finite, too large) is null, and null values are left out when stored."""
     user = F.concat(F.lit("user-"), F.col("user_id"))
-    kind, whole = F.col("event_type"), F.col("value").cast("bigint")
+    kind, whole = F.col("event_type"), F.col("value").try_cast("bigint")
     made = [
         metric(user, kind, F.lit(1)),
         metric(user, F.concat(kind, F.lit("-value")), whole),
@@ -42,7 +43,7 @@ def from_orders(orders: DataFrame) -> DataFrame:
     customer = F.concat(F.lit("cust-"), F.col("o_custkey"))
     made = [
         metric(customer, F.col("o_orderpriority"), F.lit(1)),
-        metric(customer, F.lit("last-price"), F.col("o_totalprice").cast("bigint"), ABSOLUTE),
+        metric(customer, F.lit("last-price"), F.col("o_totalprice").try_cast("bigint"), ABSOLUTE),
     ]
     return fan_out(orders.withColumn("ts", F.col("o_orderdate").cast("timestamp_ntz")), made, seq="o_orderkey")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import parse_value
+from ..functions.identifiers import is_value, parse_value
 from ..functions.periods import from_millis, millis
+from ..operators.tiers import Store
+from .files import BROKEN
+from .files import ready as found_ready
 
 PER_FILE = 20_000
 
@@ -16,46 +19,45 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+#: What a file's records are once decoded.
+RECORD = "error string, pos int, entity_id string, ts timestamp_ntz, name string, record_type string, value bigint"
+BAD_FILE = "Error decoding metric records"
+
+
 def decode(content: DataFrame) -> DataFrame:
     """path, error, and the facts of each file (in file order by `pos`).
 
     A file is good as a whole or not at all: each record must have its start byte, five ended fields,
-    a whole-number timestamp, a number or `null` as value and a known type, and nothing may follow
+    a whole-number timestamp, a finite 64-bit number or `null` as value and a known type, and nothing may follow
     the last. A bad file gives one row with an error and no fact. Null values are kept as null.
 
     Bytes are read as Latin-1, in which the two marker bytes are one character each, so the split
-    is a regular expression in the engine; text fields are decoded as UTF-8 afterwards.
+    is a regular expression in the engine; text fields are decoded as UTF-8 afterwards. A file is split
+    and judged as one array before its records become rows, so no record carries its file along.
     """
     text = F.decode("content", "ISO-8859-1")
-    record = "ÿ([0-9-]+)þ([^þ]*)þ([^þ]*)þ([^þ]*)þ([^þ]*)þ"
-    whole = F.length(F.regexp_replace(text, record, "")) == 0
-    parts = F.posexplode_outer(F.when(whole, F.split(F.regexp_replace(text, "þ\\z", ""), "þ?ÿ", -1)))
-    rows = content.select("path", whole.alias("whole"), (F.length(text) == 0).alias("empty"), parts.alias("pos", "record"))
-    rows = rows.where((F.col("pos") > 0) | ~F.col("whole"))
-    f = F.split("record", "þ", -1)
+    whole = F.length(F.regexp_replace(text, "ÿ[0-9-]+þ[^þ]*þ[^þ]*þ[^þ]*þ[^þ]*þ", "")) == 0
+    split = F.split(F.regexp_replace(text, "þ\\z", ""), "þ?ÿ", -1)
+    fields = F.transform(F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0))), lambda r: F.split(r, "þ", -1))
+
+    def bad(f: Column) -> Column:
+        return f[0].try_cast("bigint").isNull() | ~F.lower(f[4]).isin("aggregate", "absolute") | ~is_value(f[3])
 
     def utf8(c: Column) -> Column:
         return F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
 
-    rows = rows.select(
-        "path", "pos", "whole", f[0].try_cast("bigint").alias("ms"), utf8(f[1]).alias("entity_id"), utf8(f[2]).alias("name"),
-        f[3].alias("raw"), F.lower(f[4]).alias("record_type"),
-    )
-    null = F.lower("raw") == "null"
-    bad = F.col("whole") & (
-        F.col("ms").isNull() | ~F.col("record_type").isin("aggregate", "absolute") | (~null & F.col("raw").try_cast("double").isNull())
-    )
-    # One bad record spoils its file.
-    spoilt = rows.groupBy("path").agg(F.max(bad | ~F.col("whole")).alias("spoilt")).withColumnRenamed("path", "p")
-    rows = rows.join(spoilt, F.col("path") == F.col("p"))
-    good = rows.where(~F.col("spoilt")).select(
-        "path", F.lit(None).cast("string").alias("error"), "pos", "entity_id", from_millis(F.col("ms")).alias("ts"), "name", "record_type",
-        parse_value(F.col("raw")).alias("value"),
-    )
-    said = F.lit("Error decoding metric records")
-    none = {"pos": "int", "entity_id": "string", "ts": "timestamp_ntz", "name": "string", "record_type": "string", "value": "bigint"}
-    wrong = spoilt.where("spoilt").select(F.col("p").alias("path"), said.alias("error"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    return good.unionByName(wrong)
+    def fact(f: Column, i: Column) -> Column:
+        return F.struct(
+            F.lit(None).cast("string").alias("error"), (i + 1).alias("pos"), utf8(f[1]).alias("entity_id"),
+            from_millis(f[0].try_cast("bigint")).alias("ts"), utf8(f[2]).alias("name"), F.lower(f[4]).alias("record_type"),
+            parse_value(f[3]).alias("value"),
+        )
+
+    none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in RECORD.split(", ")[1:]]
+    wrong = F.array(F.struct(F.lit(BAD_FILE).alias("error"), *none))
+    rows = content.select("path", whole.alias("whole"), fields.alias("fields"))
+    read = F.when(F.col("whole") & ~F.exists("fields", bad), F.transform("fields", fact)).otherwise(wrong)
+    return rows.select("path", F.inline(read))
 
 
 def encode(facts: DataFrame) -> DataFrame:
@@ -72,10 +74,88 @@ def encode(facts: DataFrame) -> DataFrame:
 
 def in_files(facts: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """file, content: facts gathered in order of arrival into files of at most per_file records."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(F.spark_partition_id()).orderBy("arrival_seq")
     numbered = encode(facts).withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(order))
     number = F.floor((F.col("n") - 1) / per_file)
     each = numbered.groupBy("part", number.alias("file")).agg(F.array_sort(F.collect_list(F.struct("n", F.hex("content").alias("h")))).alias("r"))
-    return each.select(F.concat_ws("-", "part", "file").alias("file"), F.unhex(F.array_join("r.h", "")).alias("content"))
+    return each.select(F.concat_ws("-", F.lpad(F.col("part").cast("string"), 6, "0"), F.lpad(F.col("file").cast("string"), 6, "0")).alias("file"), F.unhex(F.array_join("r.h", "")).alias("content"))
+
+
+def _store(path: str):
+    """The file system of a path that executors reach, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def write(facts: DataFrame, folder: str, per_file: int = PER_FILE) -> None:
+    """Write facts as record files of at most per_file records below a folder.
+
+    A file grows as `.lock` and is renamed to `.data.completed` when it is whole, so that readers see whole
+    files only. Names follow from partition and number: a task that runs again replaces its files.
+    """
+
+    def put(batches):
+        store, at = _store(folder)
+        store.create_dir(at, recursive=True)
+        for b in batches:
+            for name, content in zip(b["file"], b["content"], strict=True):
+                with store.open_output_stream(f"{at}/{name}.lock") as out:
+                    out.write(content)
+                store.move(f"{at}/{name}.lock", f"{at}/{name}.data.completed")
+            yield b[["file"]]
+
+    in_files(facts, per_file).mapInPandas(put, "file string").write.format("noop").mode("overwrite").save()
+
+
+def run(spark: SparkSession, folder: str, store: Store, work: str, batch: int) -> DataFrame:
+    """One run over a folder: path, error, records of every file that was ready (files.ready).
+
+    The facts of good files are stored as one batch, in name order of a folder's files; good files are then removed
+    and bad ones renamed to `.broken`, whatever becomes of the others. What was read is staged below
+    `work` first, and files go only once the batch is stored: a run that was cut off is run again with
+    the same batch number and replaces what it wrote. Spark's reader lists no empty files; they stay.
+    """
+    found = files(spark, folder)
+    ready = found_ready(found.select("path"))
+    read = decode(found.join(ready, "path", "left_semi")).join(ready.select("path", "turn"), "path")
+    at = f"{work.rstrip('/')}/run-{batch}"
+    read.write.mode("overwrite").parquet(f"{at}/read")
+    ready.select("path").write.mode("overwrite").parquet(f"{at}/ready")
+    read, ready = spark.read.parquet(f"{at}/read"), spark.read.parquet(f"{at}/ready")
+    seq = F.shiftleft(F.col("turn").cast("bigint"), 32) + F.col("pos")
+    store.persist(read.where("error is null").withColumn("arrival_seq", seq), batch)
+    done = read.groupBy("path").agg(F.max("error").alias("error"), F.count("entity_id").alias("records"))
+    done = ready.join(done, "path", "left").select("path", "error", F.coalesce("records", F.lit(0)).alias("records"))
+
+    def settle(batches):
+        for b in batches:
+            for path, error in zip(b["path"], b["error"], strict=True):
+                files_, name = _store(_uri(path))
+                if files_.get_file_info(name).is_file:
+                    files_.delete_file(name) if error is None else files_.move(name, name + BROKEN)
+            yield b
+
+    done.mapInPandas(settle, done.schema).write.mode("overwrite").parquet(f"{at}/done")
+    return spark.read.parquet(f"{at}/done")
+
+
+def _uri(path: str) -> str:
+    """A path as Spark's reader names it (file:/a) as a URI."""
+    head, _, rest = path.partition(":/")
+    return f"{head}:///{rest.lstrip('/')}" if head == "file" else path
+
+
+def stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The record files of a folder as a stream of path, modificationTime and content: completed files that come later are later batches."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    read = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    return read.option("pathGlobFilter", "*.completed").load(folder).select("path", "modificationTime", "content")
+
+
+def to_facts(content: DataFrame) -> DataFrame:
+    """The facts of a micro-batch of record files, bad files left out. Records arrive in order of their
+    file's modification and then of their place; of two files of one millisecond either may be the later."""
+    when = content.select("path", F.unix_millis("modificationTime").alias("ms"))
+    seq = F.shiftleft(F.col("ms"), 20) + F.col("pos")
+    return decode(content).where("error is null").join(when, "path").withColumn("arrival_seq", seq).drop("ms")

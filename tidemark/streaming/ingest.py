@@ -6,7 +6,7 @@ and the store merges batches as it reads. There is no state to expire and no wat
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +31,30 @@ def buffered(facts: DataFrame, width: int = SLICE_MS) -> DataFrame:
 def ingest(
     stream: DataFrame, store: Store, checkpoint: str, to_facts: Callable[[DataFrame], DataFrame] = lambda d: d,
     buffer: bool = False, available_now: bool = True, every: str = "1 second", discard: bool = False,
+    sinks: Sequence[Callable[[DataFrame, int], None]] = (), compact_every: int = 0,
 ) -> StreamingQuery:
     """Start writing a stream into the store. A micro-batch that is replayed after a failure replaces
-    what it wrote before. `buffer` merges by slice first; `discard` reads on and writes nothing."""
+    what it wrote before. `buffer` merges by slice first; `discard` reads on and writes nothing.
+    Each of `sinks` gets the same facts and the batch's number; a sink that fails fails the batch, which is
+    then replayed to all. With `compact_every` the store is compacted after each so many batches."""
 
     def write(batch: DataFrame, number: int) -> None:
         if discard:
             batch.write.format("noop").mode("overwrite").save()
             return
         facts = to_facts(batch)
-        store.persist(buffered(facts) if buffer else facts, batch=number)
+        facts = buffered(facts) if buffer else facts
+        if sinks:
+            facts = facts.persist()
+        try:
+            store.persist(facts, batch=number)
+            for sink in sinks:
+                sink(facts, number)
+        finally:
+            if sinks:
+                facts.unpersist()
+        if compact_every and number % compact_every == compact_every - 1:
+            store.compact()
 
     out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
