@@ -65,8 +65,18 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.from_events(events(spark, sf_dir))
 
 
+#: (application, sf_dir) -> the store that its reads share.
+_STORES: dict[tuple[str, str], tiers.Store] = {}
+
+
 def event_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiers.build(event_facts(spark, sf_dir))
+    """The tiers of the events, read from a store that a session writes once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = tiers.Store(spark, scratch(spark, "event-tiers"))
+        store.persist(event_facts(spark, sf_dir))
+        _STORES[key] = store
+    return _STORES[key].read()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -154,7 +164,7 @@ for _p in DEFAULT_TIERS:
             f"SELECT entity_id, {TRUNC[_p]}::TIMESTAMP AS bucket_start, name, {_agg} AS value FROM ({FACTS}) WHERE record_type = '{_t}' GROUP BY ALL",
         )
         def _tier(spark, sf_dir, p=_p, t=_t):
-            rows = event_tiers(spark, sf_dir).where((F.col("period") == str(p)) & (F.col("record_type") == t))
+            rows = tiers.build(event_facts(spark, sf_dir)).where((F.col("period") == str(p)) & (F.col("record_type") == t))
             return rows.select("entity_id", "bucket_start", "name", "value")
 
 
@@ -190,6 +200,19 @@ def _persist(spark, sf_dir):
     return store.read()
 
 
+@query("store_compacted", f"SELECT period, record_type, entity_id, bucket_start, name, value, last_seq FROM ({ALL_TIERS})")
+def _compacted(spark, sf_dir):
+    """Batches before and after a compaction, one of them replayed after it."""
+    f = event_facts(spark, sf_dir)
+    store = tiers.Store(spark, scratch(spark, "tiers"))
+    store.persist(f.where("arrival_seq % 3 = 0"), 0)
+    store.persist(f.where("arrival_seq % 3 = 1"), 1)
+    store.compact()
+    store.persist(f.where("arrival_seq % 3 = 1"), 1)
+    store.persist(f.where("arrival_seq % 3 = 2"), 2)
+    return store.read()
+
+
 _DAY = datetime(2024, 1, 12)
 
 
@@ -422,6 +445,13 @@ def _intersect(spark, sf_dir):
     return combine.intersection(*_two_bags(spark, sf_dir))
 
 
+@query("intersect_part", f"SELECT * FROM ({A}) WHERE contains(name, '-value')")
+def _intersect_part(spark, sf_dir):
+    """A bag and a part of it."""
+    bag = verbs.point(event_tiers(spark, sf_dir), "user-3", Period.YEARLY, END)
+    return combine.intersection(bag, combine.keep_matching(bag, ".*-value"))
+
+
 @query("sum_widening", "SELECT event_type AS name, 'aggregate' AS record_type, sum(CASE WHEN event_id % 10 = 0 THEN 0 ELSE 9000000000000000000 + event_id END)::DECIMAL(38,0) AS value FROM events GROUP BY event_type")
 def _widening(spark, sf_dir):
     """Sums beyond 64 bits, with nulls as 0."""
@@ -671,6 +701,37 @@ def _proto(spark, sf_dir):
     return messages.from_protobuf(messages.to_protobuf(_daily(spark, sf_dir)))
 
 
+@query("protobuf_batches", _DAILY_FACTS)
+def _proto_batches(spark, sf_dir):
+    return messages.from_protobuf(messages.to_protobuf(_daily(spark, sf_dir), batch=50), batch=True)
+
+
+@query("bag_protobuf", ONE_RANGE)
+def _bag_protobuf(spark, sf_dir):
+    return messages.bag_from_protobuf(messages.bag_protobuf(verbs.range_(event_tiers(spark, sf_dir), USER, START, END)))
+
+
+@query("json_rejects", "SELECT CASE page_id % 3 WHEN 0 THEN '{bad' WHEN 1 THEN '{\"entityId\":\"e\",\"metrics\":{}}' ELSE '{\"entityId\":\"e\",\"timestamp\":1,\"metrics\":{\"m\":{\"value\":1,\"type\":\"sum\"}}}' END AS value, 'Error parsing a metrics message' AS error FROM pages")
+def _json_rejects(spark, sf_dir):
+    """Messages that do not parse, lack a time or have an unknown type, among whole ones."""
+    k = F.col("page_id") % 3
+    bad = F.when(k == 0, "{bad").when(k == 1, '{"entityId":"e","metrics":{}}')
+    bad = bad.otherwise('{"entityId":"e","timestamp":1,"metrics":{"m":{"value":1,"type":"sum"}}}')
+    return messages.rejected(read(spark, sf_dir, "pages").select(bad.alias("value")).unionByName(messages.to_json(_daily(spark, sf_dir))))
+
+
+@query("file_run", f"SELECT period, entity_id, bucket_start, name, value FROM ({ALL_TIERS}) WHERE record_type = 'aggregate'")
+def _file_run(spark, sf_dir):
+    """Facts written as record files, with a bad one among them, and a run over the folder into a store."""
+    folder, store = scratch(spark, "records"), tiers.Store(spark, scratch(spark, "tiers"))
+    facts_ = event_facts(spark, sf_dir).where("record_type = 'aggregate'")
+    records.write(facts_, folder)
+    bad = facts_.limit(3).withColumn("record_type", F.lit("other")).coalesce(1)
+    records.write(bad, f"{folder}/bad")
+    records.run(spark, folder, store, scratch(spark, "run"), 0)
+    return store.read().select("period", "entity_id", "bucket_start", "name", "value")
+
+
 @query("record_files", f"SELECT entity_id, date_trunc('millisecond', ts) AS ts, name, record_type, value FROM ({FACTS})")
 def _record_files(spark, sf_dir):
     """Facts written as record files and decoded again."""
@@ -678,7 +739,7 @@ def _record_files(spark, sf_dir):
     return records.decode(made).select("entity_id", "ts", "name", "record_type", "value")
 
 
-@query("bag_json")
+@query("bag_json", f"""SELECT '{{' || string_agg('"' || name || '":{{"value":' || value || ',"type":"' || record_type || '"}}', ',' ORDER BY name) || '}}' AS body FROM ({ONE_RANGE})""")
 def _bag_json(spark, sf_dir):
     return messages.bag_json(verbs.range_(event_tiers(spark, sf_dir), USER, START, END))
 
@@ -707,13 +768,13 @@ def _buffered(spark, sf_dir):
     return ingest.buffered(event_facts(spark, sf_dir)).select("entity_id", "ts", "name", "record_type", "value", "arrival_seq")
 
 
-def _stream(spark, sf_dir, buffer: bool) -> DataFrame:
+def _stream(spark, sf_dir, buffer: bool, sinks=()) -> DataFrame:
     """Events as files, out of order, through a stream into a store."""
     source, store = scratch(spark, "incoming"), tiers.Store(spark, scratch(spark, "tiers"))
     events(spark, sf_dir).withColumn("h", F.col("event_id") % 3).repartition(3, "h").drop("h").write.parquet(source)
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ingest.ingest(stream, store, scratch(spark, "progress"), facts.from_events, buffer=buffer).awaitTermination()
+    ingest.ingest(stream, store, scratch(spark, "progress"), facts.from_events, buffer=buffer, sinks=sinks, compact_every=2).awaitTermination()
     return store.read()
 
 
@@ -728,3 +789,11 @@ def _stream_ingest(spark, sf_dir):
 ))
 def _stream_buffered(spark, sf_dir):
     return _stream(spark, sf_dir, True).drop("last_seq")
+
+
+@query("stream_sinks", f"SELECT entity_id, ts, name, record_type, value, arrival_seq FROM ({FACTS})")
+def _stream_sinks(spark, sf_dir):
+    """The facts that a second sink of the stream gets."""
+    path = scratch(spark, "second")
+    _stream(spark, sf_dir, False, [lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")])
+    return spark.read.parquet(path).drop("batch")

@@ -16,7 +16,7 @@ from .combine import last, total
 from .facts import AGGREGATE, accepted
 
 COLUMNS = ["period", "record_type", "entity_id", "bucket_start", "name", "value", "last_seq"]
-SCHEMA = "entity_id string, bucket_start timestamp_ntz, name string, value bigint, last_seq bigint, batch bigint, period string, record_type string"
+SCHEMA = "entity_id string, bucket_start timestamp_ntz, name string, value bigint, last_seq bigint, period string, record_type string"
 
 
 def _fold(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
@@ -48,25 +48,75 @@ def build(facts: DataFrame, tiers: Sequence[Period] = DEFAULT_TIERS) -> DataFram
 
 class Store:
     """Tier rows under a path, partitioned by period and record type. Writes are batches: a batch
-    that is written again replaces itself, and reads merge batches, so replays change nothing."""
+    that is written again replaces itself, and reads merge batches, so replays change nothing.
+
+    Batches up to number N may be merged into one folder, `batch=to-N`. It is written beside them and counts
+    only once it is whole (Spark's _SUCCESS file), from when on the batches in it are left out; so a
+    compaction that is cut off changes nothing. One process compacts at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str, tiers: Sequence[Period] = DEFAULT_TIERS):
         self.spark, self.path, self.tiers = spark, path.rstrip("/"), tuple(tiers)
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        # By range, so that a file holds few entities of one tier and a filter on one skips most of the rest.
+        order = ["period", "record_type", "entity_id", "bucket_start"]
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.write.mode("overwrite").partitionBy("period", "record_type").parquet(f"{self.path}/{name}")
+
     def persist(self, facts: DataFrame, batch: int = 0) -> None:
-        rows = build(facts, self.tiers)
-        rows.write.mode("overwrite").partitionBy("period", "record_type").parquet(f"{self.path}/batch={batch}")
+        """Write the tiers of facts as a batch. One that a compaction holds already is left as it is:
+        it was whole before."""
+        if batch > self._upto():
+            self._write(build(facts, self.tiers), f"batch={batch}")
+
+    def _folders(self, merged: bool) -> dict[int, str]:
+        """number -> path of the whole folders, of batches or merged ones."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        root = jvm.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        start = "batch=to-" if merged else "batch="
+        numbered = {int(n[len(start) :]): n for n in names if n.startswith(start) and n[len(start) :].isdigit()}
+        return {i: f"{self.path}/{n}" for i, n in numbered.items() if fs.exists(jvm.Path(f"{self.path}/{n}/_SUCCESS"))}
+
+    def _upto(self) -> int:
+        return max(self._folders(merged=True), default=-1)
+
+    def _live(self) -> list[str]:
+        merged = self._folders(merged=True)
+        upto = max(merged, default=-1)
+        return [p for n, p in merged.items() if n == upto] + [p for n, p in sorted(self._folders(merged=False).items()) if n > upto]
 
     def read(self) -> DataFrame:
-        """The merged tiers. A filter on period, record_type, entity or bucket reaches the scan."""
-        rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(self.path)
+        """The merged tiers. A filter on period, record_type, entity or bucket reaches the scan; a store of
+        one folder is read without merging."""
+        live = self._live()
+        if not live:
+            return self.spark.createDataFrame([], SCHEMA).select(*COLUMNS)
+        rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*live).select(*COLUMNS)
         key = ["period", "record_type", "entity_id", "bucket_start", "name"]
-        return _fold(rows, key, "last_seq").select(*COLUMNS)
-
-    def compact(self, path: str) -> Store:
-        """A copy with one batch."""
-        self.read().write.partitionBy("period", "record_type").parquet(f"{path.rstrip('/')}/batch=0")
-        return Store(self.spark, path, self.tiers)
+        return rows if len(live) == 1 else _fold(rows, key, "last_seq").select(*COLUMNS)
+
+    def compact(self, path: str | None = None) -> Store:
+        """Merge the batches so far into one folder, and remove those that an earlier compaction holds.
+        With a path, leave them and write a copy of the store there, with one batch."""
+        if path:
+            copy = Store(self.spark, path, self.tiers)
+            copy._write(self.read(), "batch=0")
+            return copy
+        before, batches = self._upto(), self._folders(merged=False)
+        last_batch = max(batches, default=-1)
+        if last_batch <= before:
+            return self
+        self._write(self.read(), f"batch=to-{last_batch}")
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        # What the compaction before this one left: no reader that started lately still reads it.
+        gone = [p for n, p in batches.items() if n <= before] + [p for n, p in self._folders(merged=True).items() if n < before]
+        for p in gone:
+            old = jvm.Path(p)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self
 
 
 def fetch(tiers: DataFrame, entity: str, period: Period, bucket: datetime) -> DataFrame:

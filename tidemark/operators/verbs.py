@@ -86,7 +86,7 @@ def ranges(tiers: DataFrame, entities: Sequence[str], start: datetime, end: date
 
 def series(tiers: DataFrame, entities: Sequence[str], period: Period, start: datetime, end: datetime, supported: Sequence[Period] = DEFAULT_TIERS) -> DataFrame:
     """entity_id, bucket_start, bucket_end, name, record_type, value for every bucket that starts
-    before end, those without data with a null name. A period that is not kept is rolled up from
+    before end, those without data with a null name, in order of entity, time and name. A period that is not kept is rolled up from
     the next finer tier; its edge buckets hold only what the range holds."""
     tier = supported_granularity(period, supported)
     dates = to_dates(start, end, tier)
@@ -105,7 +105,7 @@ def series(tiers: DataFrame, entities: Sequence[str], period: Period, start: dat
     rows = rows.select("entity_id", "bucket_start", "name", "record_type", F.col("value").cast(WIDE).alias("value"))
     return frame.join(rows, ["entity_id", "bucket_start"], "left").select(
         "entity_id", "bucket_start", bucket_end(F.col("bucket_start"), period).alias("bucket_end"), "name", "record_type", "value"
-    )
+    ).orderBy("entity_id", "bucket_start", "name")
 
 
 def find(tiers: DataFrame, entity: str, period: Period, date: datetime, supported: Sequence[Period] = DEFAULT_TIERS) -> DataFrame:
@@ -165,19 +165,29 @@ def fsck(tiers: DataFrame, supported: Sequence[Period] = DEFAULT_TIERS) -> DataF
     """The buckets of each tier that differ from what the next finer tier sums up to.
 
     One row per differing metric: period, entity_id, bucket_start, name, stored, expected; null
-    where a side lacks it. Every bucket of every tier but the finest is checked.
+    where a side lacks it. Every bucket of every tier but the finest is checked. The tiers are read once:
+    a row stands for itself and, in the bucket above it, for what that should hold, and one
+    aggregation brings both together.
     """
     steps = sorted(supported)
-    out = []
-    for up, down in zip(steps, steps[1:], strict=False):
-        fine = tiers.where(F.col("period") == str(down)).withColumn("at", F.col("bucket_start"))
-        fine = fine.withColumn("bucket_start", bucket_start(F.col("bucket_start"), up))
-        fine = summarize(fine, ["entity_id", "bucket_start"], F.struct("at", "last_seq"))
-        fine = fine.select("entity_id", "bucket_start", "name", F.col("value").alias("expected"))
-        have = tiers.where(F.col("period") == str(up)).select("entity_id", "bucket_start", "name", F.col("value").cast(WIDE).alias("stored"))
-        both = have.join(fine, ["entity_id", "bucket_start", "name"], "full").where(~F.col("stored").eqNullSafe(F.col("expected")))
-        out.append(both.select(F.lit(str(up)).alias("period"), "entity_id", "bucket_start", "name", "stored", "expected"))
-    return reduce(DataFrame.unionByName, out)
+    above = {str(down): up for up, down in zip(steps, steps[1:], strict=False)}
+    row = ["period", "bucket_start", "stored"]
+    own = F.struct(F.col("period"), F.col("bucket_start"), F.lit(True).alias("stored"))
+    up = F.lit(None).cast("struct<period:string,bucket_start:timestamp_ntz,stored:boolean>")
+    for down, p in above.items():
+        at = F.struct(F.lit(str(p)).alias("period"), bucket_start(F.col("bucket_start"), p).alias("bucket_start"), F.lit(False).alias("stored"))
+        up = F.when(F.col("period") == down, at).otherwise(up)
+    rows = tiers.where(F.col("period").isin(*map(str, steps))).select(
+        "entity_id", "name", "record_type", "value", F.col("bucket_start").alias("at"), "last_seq", F.explode(F.array(own, up)).alias("t")
+    )
+    rows = rows.where(F.col("t").isNotNull() & (F.col("t.period") != str(steps[-1])))
+    rows = rows.select(*[F.col(f"t.{c}").alias(c) for c in row], "entity_id", "name", "record_type", "value", "at", "last_seq")
+    keys = ["period", "entity_id", "bucket_start"]
+    sums = summarize(rows, [*keys, "stored"], F.struct("at", "last_seq"))
+    both = sums.groupBy(*keys, "name").agg(
+        F.max(F.when(F.col("stored"), F.col("value"))).alias("stored"), F.max(F.when(~F.col("stored"), F.col("value"))).alias("expected")
+    )
+    return both.where(~F.col("stored").eqNullSafe(F.col("expected")))
 
 
 def health(spark: SparkSession) -> DataFrame:
