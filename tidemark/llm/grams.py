@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 
@@ -16,20 +15,60 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def gram_ids(word: str, least: int, most: int, buckets: int) -> set[int]:
-    """The buckets of a word's character n-grams; its ends are marked."""
-    w = f"<{word}>"
-    return {
-        crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % buckets
-        for n in range(least, most + 1)
-        for i in range(max(1, len(w) - n + 1))
-    }
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@lru_cache(maxsize=20_000)
-def known_gram_ids(word: str, least: int, most: int, buckets: int) -> set[int]:
-    """The same with a bounded memory of recent words, for the passes over training rows."""
-    return gram_ids(word, least, most, buckets)
+def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes spread over a power of two of buckets."""
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519)
+    return (h >> np.uint32(33 - buckets.bit_length())).astype(np.int64)
+
+
+def word_grams(found: list[str], least: int, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the word, bucket) of every character n-gram of the words; a word's ends are marked."""
+    x = _codes("".join([f"<{w}>" for w in found]))
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(x))  # characters to the word's end
+    owner, h = np.repeat(np.arange(len(found)), sizes), np.zeros(len(x), np.uint32)
+    who, where = [], []
+    for n in range(1, most + 1):
+        h = h[: len(x) - n + 1] * np.uint32(2654435761) + x[n - 1 :] if n <= len(x) else h[:0]
+        if n >= least:
+            whole = np.flatnonzero(left[: len(h)] >= n)
+            who.append(owner[whole])
+            where.append(_buckets(h[whole], buckets))
+    return np.concatenate(who), np.concatenate(where)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def text_grams(texts: list[str | None], buckets: int) -> np.ndarray:
+    """(texts, buckets): how often each bucket's one to three letters stand in a text, in lower case.
+
+    Whatever is no letter ends a word; two and three letters may include a word's start or end."""
+    low = [(t or "").lower() for t in texts]
+    x = _codes("\n" + "\n".join(low) + "\n")
+    sizes = np.fromiter(map(len, low), np.int64, len(low)) + 1
+    sizes[-1:] += 1
+    letter = _letters()[x]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    kept[0] = True
+    owner, letter = np.repeat(np.arange(len(low)), sizes)[kept], letter[kept]
+    x = np.where(letter, x[kept], np.uint32(1))
+    two = x[:-1] * np.uint32(2654435761) + x[1:]
+    three = two[:-1] * np.uint32(2654435761) + x[2:]
+    middle = np.flatnonzero(letter[1:-1])
+    key = np.concatenate((
+        owner[letter] * buckets + _buckets(x[letter], buckets),
+        np.where(letter[:-1], owner[:-1], owner[1:]) * buckets + _buckets(two, buckets),
+        owner[middle + 1] * buckets + _buckets(three[middle], buckets),
+    ))
+    return np.bincount(key, minlength=len(low) * buckets).reshape(len(low), buckets)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int, rate: float, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grams import fit_logistic, gram_ids, known_gram_ids, words
+from .grams import fit_logistic, text_grams
 from .shared import map_texts, stage
 
-#: Rows that are fitted on at most, in all and for each language; those of least id hash are taken.
+#: Rows that are fitted on, about, in all and for each language at most; those of least hash are taken.
 MAX_ROWS, MAX_PER_LANGUAGE = 4000, 600
-LEAST, MOST, BUCKETS = 1, 3, 1 << 13
+BUCKETS = 1 << 13
+#: Different languages at most; texts whose n-grams are counted together; the fixed point of weights.
+MOST_LANGUAGES, TEXTS, FIXED = 1000, 64, float(1 << 20)
 UNKNOWN = "und"
 #: Two languages nearer than this in mean loss per bit make a prediction ambiguous.
 AMBIGUOUS = 0.05
@@ -38,23 +39,15 @@ def codewords(classes: int, seed: int = 11) -> np.ndarray:
     return best
 
 
-def _vector(text: str | None) -> np.ndarray:
-    x = np.zeros(BUCKETS, np.float32)
-    for w in words(text):
-        x[list(known_gram_ids(w, LEAST, MOST, BUCKETS))] += 1
-    return x
-
-
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         idx, val = [], []
-        for text in b["text"]:
-            x = _vector(text)
-            some = np.flatnonzero(x)
-            idx.append(some.astype(np.uint16).tobytes())
-            val.append((x[some] / max(x.sum(), 1)).astype(np.float32).tobytes())
+        for i in range(0, len(b), TEXTS):
+            for x in text_grams(b["text"].iloc[i : i + TEXTS].tolist(), BUCKETS):
+                some = np.flatnonzero(x)
+                idx.append(some.astype(np.uint16).tobytes())
+                val.append((x[some] / max(x.sum(), 1)).astype(np.float32).tobytes())
         yield pd.DataFrame({"lang": b["lang"], "idx": idx, "val": val})
-    known_gram_ids.cache_clear()
 
 
 class Model:
@@ -65,22 +58,25 @@ class Model:
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
     """The model learnt from docs (id, text, lang). Rows with a null lang or text teach nothing.
 
-    Each language gives at most max_per_language rows, or max_rows / languages if that is fewer,
-    those whose ids hash least (the cut happens before the shuffle).
+    Each language gives about max_per_language rows, or max_rows / languages if that is fewer: those
+    whose id and text hash lowest, by a limit set from the language's count, so that no language's rows meet in
+    a task. Twice as many rows as that are taken in all at most, however often rows repeat. More than
+    MOST_LANGUAGES different values are an error.
     """
     known = docs.where("lang is not null and text is not null")
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = [r["lang"] for r in counts]
     if not languages:
         return Model([], np.zeros((0, 1), np.int8), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
     each = max(1, min(max_per_language, max_rows // len(languages)))
-    rank = Window.partitionBy("lang").orderBy("h", "id")
-    ids = (
-        known.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("r", F.row_number().over(rank))
-        .where(F.col("r") <= each).select("id", "lang")
-    )
-    # each * languages rows at most are broadcast.
-    sample = stage(known.join(F.broadcast(ids.distinct()), ["id", "lang"]).select("lang", "text"), "languages")
-    rows = sample.mapInPandas(_features, "lang string, idx binary, val binary").limit(2 * each * len(languages)).toPandas()
+    # MOST_LANGUAGES rows at most are broadcast.
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "lang string, share double")
+    spread = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = known.join(F.broadcast(limits), "lang").where(spread < F.col("share")).select("lang", "text")
+    sample = stage(chosen.limit(2 * each * len(languages)), "languages")
+    rows = sample.mapInPandas(_features, "lang string, idx binary, val binary").toPandas()
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, (k, v) in enumerate(zip(rows["idx"], rows["val"], strict=True)):
         x[i, np.frombuffer(k, np.uint16)] = np.frombuffer(v, np.float32)
@@ -94,51 +90,36 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_per_language: int = MAX_P
 
 
 def _predict(model: Model):
-    class Words(dict):
-        def __init__(self) -> None:
-            self.table = np.zeros((100_000, model.w.shape[1] + 1), np.float32)
-            self.next = count()
-
-        def __missing__(self, word: str) -> int:
-            i = self[word] = next(self.next)
-            if i >= len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            ids = list(gram_ids(word, LEAST, MOST, BUCKETS))
-            self.table[i, :-1] = model.w[ids].sum(0)
-            self.table[i, -1] = len(ids)
-            return i
-
     def start():
-        known = Words()
-        names, code = [*model.languages], model.code.astype(np.float32)
+        names, code = [*model.languages, UNKNOWN], model.code.astype(float)
+        # Whole numbers, so that a text's sums are exact wherever it stands among others.
+        w = np.round(model.w.astype(float) * FIXED)
+
+        def some(texts: list) -> tuple[list, list, list]:
+            x = text_grams(texts, BUCKETS)
+            n = x.sum(1)
+            if not model.languages:
+                return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+            margin = (x.astype(float) @ w) / FIXED / np.maximum(n, 1)[:, None] + model.b
+            # Loss-weighted decoding: the logistic loss of every bit against each codeword.
+            loss = np.logaddexp(0, -code[None] * margin[:, None]).sum(2)
+            best, least = loss.argmin(1), loss.min(1)
+            score = 1 / np.exp(least[:, None] - loss).sum(1)
+            rest = loss.copy()
+            rest[np.arange(len(loss)), best] = np.inf
+            doubt = (rest.min(1) - least) / code.shape[1] < AMBIGUOUS
+            best[n == 0], score[n == 0], doubt[n == 0] = len(names) - 1, 0.0, True
+            return [names[i] for i in best], score.tolist(), doubt.tolist()
 
         def make(texts: list) -> dict[str, list]:
-            nonlocal known
-            pred, score, doubt = [], [], []
-            for text in texts:
-                if len(known) > 150_000:
-                    known = Words()
-                found = words(text)
-                if not names or not found or not (found[0].isalpha() or any(map(str.isalpha, text))):
-                    pred.append(UNKNOWN), score.append(0.0), doubt.append(True)
-                    continue
-                v = known_rows(known, found)
-                margin = v[:-1] / max(v[-1], 1) + model.b
-                # Loss-weighted decoding: the logistic loss of every bit against each codeword.
-                loss = np.logaddexp(0, -code * margin).sum(1)
-                near = np.exp(loss.min() - loss)
-                best = int(loss.argmin())
-                rest = np.delete(loss, best)
-                pred.append(names[best]), score.append(float(near[best] / near.sum()))
-                doubt.append(bool(len(rest) and (rest.min() - loss[best]) / code.shape[1] < AMBIGUOUS))
-            return {"lang_pred": pred, "score": score, "ambiguous": doubt}
+            out: tuple[list, list, list] = ([], [], [])
+            for i in range(0, len(texts), TEXTS):
+                for all_, part in zip(out, some(texts[i : i + TEXTS]), strict=True):
+                    all_.extend(part)
+            return dict(zip(("lang_pred", "score", "ambiguous"), out, strict=True))
 
         return make
 
-    def known_rows(known: Words, found: list[str]) -> np.ndarray:
-        at = [known[w] for w in found]
-        return known.table[at].sum(0, dtype=np.float64)
-
     return start
 
 

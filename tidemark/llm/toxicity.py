@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from math import exp
+from math import exp, fsum
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grams import fit_logistic, gram_ids, known_gram_ids, words
+from .grams import fit_logistic, word_grams, words
 from .shared import filter_texts, map_texts, stage
 
 #: Labelled rows that are fitted on at most; the rows of least id hash are taken.
@@ -19,6 +18,8 @@ MAX_ROWS = 12_000
 LEAST, MOST, BUCKETS = 3, 6, 1 << 19
 #: n-grams kept for the linear model, by their log-likelihood ratio, and rows they must occur in.
 FEATURES, MIN_ROWS = 4096, 3
+#: Words whose sums of weights a task remembers before it forgets all.
+KNOWN_WORDS = 100_000
 THRESHOLD = 0.3
 
 
@@ -27,34 +28,33 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def _counts(text: str | None) -> Counter:
-    """Bucket -> the number of distinct words of the text with that n-gram."""
-    got: Counter = Counter()
-    for w in set(words(text)):
-        got.update(known_gram_ids(w, LEAST, MOST, BUCKETS))
-    return got
+def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, and how often its distinct words have each."""
+    found = list(set(words(text)))
+    return np.unique(word_grams(found, LEAST, MOST, BUCKETS)[1], return_counts=True)
 
 
 def _present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = {0: np.zeros(BUCKETS, np.int64), 1: np.zeros(BUCKETS, np.int64)}
     for b in batches:
         for text, y in zip(b["text"], b["label"], strict=True):
-            rows[int(y)][list(_counts(text))] += 1
-    known_gram_ids.cache_clear()
+            rows[int(y)][_counts(text)[0]] += 1
     some = np.flatnonzero(rows[0] + rows[1])
     yield pd.DataFrame({"bucket": some, "clean": rows[0][some], "toxic": rows[1][some]})
 
 
-def _features(place: dict[int, int]):
+def _features(buckets: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(BUCKETS, -1, np.int32)
+        place[buckets] = np.arange(len(buckets))
         for b in batches:
             cols, vals = [], []
             for text in b["text"]:
-                got = [(place[g], min(n, 255)) for g, n in _counts(text).items() if g in place]
-                cols.append(np.array([c for c, _ in got], np.uint16).tobytes())
-                vals.append(np.array([n for _, n in got], np.uint8).tobytes())
+                got, n = _counts(text)
+                known = place[got] >= 0
+                cols.append(place[got[known]].astype(np.uint16).tobytes())
+                vals.append(n[known].astype(np.uint16).tobytes())
             yield pd.DataFrame({"label": b["label"], "cols": cols, "vals": vals})
-        known_gram_ids.cache_clear()
 
     return run
 
@@ -88,28 +88,29 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows: in
     gain = term(p, one, t) + term(q, zero, t) + term(one - p, one, 1 - t) + term(zero - q, zero, 1 - t)
     best = np.lexsort((seen["bucket"].to_numpy(), -gain))[:FEATURES]
     buckets, ratio = seen["bucket"].to_numpy()[best], ratio[best].astype(np.float32)
-    place = {int(g): i for i, g in enumerate(buckets)}
-    rows = sample.mapInPandas(_features(place), "label int, cols binary, vals binary").toPandas()
-    x = np.zeros((len(rows), len(place)), np.uint8)
+    rows = sample.mapInPandas(_features(buckets), "label int, cols binary, vals binary").toPandas()
+    x = np.zeros((len(rows), len(buckets)), np.uint16)
     for i, (c, v) in enumerate(zip(rows["cols"], rows["vals"], strict=True)):
-        x[i, np.frombuffer(c, np.uint16)] = np.frombuffer(v, np.uint8)
+        x[i, np.frombuffer(c, np.uint16)] = np.frombuffer(v, np.uint16)
     w, b = fit_logistic(x, rows["label"].to_numpy(), l2=1e-4, rounds=40, rate=0.01, scale=ratio)
     return {int(g): float(k) for g, k in zip(buckets, w[:, 0] * ratio, strict=True) if k}, float(b[0])
 
 
 def _score(weights: dict[int, float], bias: float):
-    class Words(dict):
-        def __missing__(self, word: str) -> float:
-            if len(self) > 200_000:
-                self.clear()
-            s = self[word] = sum(weights.get(g, 0.0) for g in gram_ids(word, LEAST, MOST, BUCKETS))
-            return s
-
     def start():
-        known = Words()
+        table, known = np.zeros(BUCKETS), {}
+        table[list(weights)] = list(weights.values())
 
         def make(texts: list) -> list[float]:
-            z = [bias + sum(sorted(map(known.__getitem__, set(words(t))))) for t in texts]
+            found = [set(words(t)) for t in texts]
+            new = list(set().union(*found).difference(known))
+            if new:
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                    new = list(set().union(*found))
+                who, where = word_grams(new, LEAST, MOST, BUCKETS)
+                known.update(zip(new, np.bincount(who, table[where], len(new)).tolist(), strict=True))
+            z = [bias + fsum(map(known.__getitem__, w)) for w in found]
             return [1 / (1 + exp(-min(max(x, -30.0), 30.0))) for x in z]
 
         return make
