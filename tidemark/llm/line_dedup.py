@@ -69,8 +69,9 @@ def line_dedup(
                     F.posexplode(split_lines(F.col(text_col))).alias("no", "line"))
         .select("_ld_id", "_ld_digest", "site", "no", line_name(F.col("line")).alias("name"))
         .where("name is not null")
-        .select("_ld_id", "_ld_digest", "name", "site", "no", place.alias("place"))
     )
+    # Three passes follow; this one alone reads and names the texts' lines.
+    lines = stage(lines, "lines").withColumn("place", place)
     spread = spread_lines(lines, min_sites)
     goes = (
         lines.select("_ld_id", "_ld_digest", "no", "name", "place")
