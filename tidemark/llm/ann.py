@@ -12,16 +12,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import small_batches, stage
 
 #: Rows that centroids and codebooks are fitted on at most (those of least id hash); every row is
-#: indexed. Cells: about the root of the rows, within these bounds.
-SAMPLE, CELLS = 20_000, (1, 1024)
+#: indexed. Cells: about the root of the rows, within these bounds, with PER_CELL rows of the sample each at least.
+SAMPLE, CELLS, PER_CELL = 20_000, (1, 4096), 8
 PARTS, CODES = 16, 256
 #: The share of true neighbours that the visited cells must hold, among TUNE rows of the sample
 #: searched by brute force; rows kept for exact reranking; rows of a shard and about the queries of a
 #: block, which one task takes.
 TARGET, TUNE, RERANK, SHARD, BLOCK = 0.97, 256, 200, 16_384, 2048
+#: Tasks of a scan at most.
+TASKS = 8192
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -110,6 +112,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """Index every usable row. The dimension is that of most rows (the larger one if two tie);
     rows of another one take no part. Rows with one id are candidates each; a query gets the
     nearest of them under that id once."""
+    small_batches(vectors.sparkSession)
     v = usable(vectors, id_col, vec_col)
     sizes = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     if sizes is None:
@@ -117,7 +120,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         return Index(empty, v, {}, None)
     v = v.where(F.size("v") == sizes["dim"])
     cells = min(max(isqrt(sizes["n"]), CELLS[0]), CELLS[1])
-    train = v.orderBy(F.xxhash64("id"), "id", F.xxhash64("v")).limit(sample).toPandas()["v"]
+    train = v.orderBy(F.xxhash64("id"), "id", F.xxhash64("v")).limit(max(sample, PER_CELL * cells)).toPandas()["v"]
     quantiser = vectors.sparkSession.sparkContext.broadcast(Quantiser(np.stack(train).astype(np.float32), cells))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,8 +205,11 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
     # Where each cell's rows are: a table of at most CELLS rows.
     split = F.broadcast(spark.createDataFrame([(c, *w) for c, w in where.items()], "cell int, first int, parts int"))
     rows = index.rows.join(split, "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # A group is little data and much work, so the number of tasks follows the groups and not the bytes.
+    tasks = min(TASKS, 2 * blocks * max(first + parts for first, parts in where.values()))
+    rows = repeated(rows.select("id", "cell", "shard", "code"), blocks).repartition(tasks, "shard", "block")
     near = (
-        asked.groupBy("shard", "block").cogroup(repeated(rows.select("id", "cell", "shard", "code"), blocks).groupBy("shard", "block"))
+        asked.repartition(tasks, "shard", "block").groupBy("shard", "block").cogroup(rows.groupBy("shard", "block"))
         .applyInPandas(scan, f"query_id {kind}, id {kind}, d double")
     )
     top = Window.partitionBy("query_id").orderBy("d", "id")
