@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE
+from .shared import SPACE, stage
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -79,7 +79,9 @@ def mix(
     spread = F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 2)
     top = F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")
     d = d.select("*", F.struct(bits.alias("bits"), top.alias("top"), spread.alias("spread")).alias("block"))
-    by_block = d.groupBy("source", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
+    if not keep:
+        d = stage(d.drop("kept"), "mix-rows")  # so that words are counted once; with `keep` that would write the texts
+    by_block = stage(d.groupBy("source", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("words")), "mix-blocks")
     sizes = by_block.groupBy("source").agg(F.sum("words").alias("source_size"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = by_block.select(
