@@ -208,12 +208,12 @@ def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     at, span = np.full(rows, 3, np.int64), np.full(rows, int(FULL) - 1, np.uint64)
     ids = np.zeros((rows, width), np.uint16)
     # By row and slot: the last follower, and its confidence above 16 bits.
-    last2, last1 = np.zeros(rows * SLOTS, np.int64), np.zeros(rows * SLOTS, np.int64)
+    last2, last1 = np.zeros(rows * SLOTS, np.int32), np.zeros(rows * SLOTS, np.int32)
     shares, lane = _Shares(rows), np.arange(rows)
     p1, p2 = np.zeros(rows, np.uint16), np.zeros(rows, np.uint16)
     times, before = np.zeros((rows, ALPHABET), np.uint16), np.zeros((rows, ALPHABET + 1), np.uint16)
     flat = before.reshape(-1)
-    top = np.int64((SURE + 1) << 16)
+    top = np.int32((SURE + 1) << 16)
     for a, b in epochs(width):
         runs = _padded_runs(ids[: int((size > a).sum()), :a]) if a else None
         moved = np.zeros((rows * CONTEXTS, 4), np.int64)
@@ -258,7 +258,7 @@ def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
                 span[small] <<= W16
                 small = small[span[small] < SMALL]
             ids[:n, i] = x
-            once = np.int64(1 << 16)
+            once = np.int32(1 << 16)
             last2[s2] = x | np.where((l2 >= once) & (y2 == x), np.minimum((l2 & ~0xFFFF) + once, top), once)
             last1[s1] = x | np.where((l1 >= once) & (y1 == x), np.minimum((l1 & ~0xFFFF) + once, top), once)
             moved[c] += _gave([w2 * (y2 == x), w1 * (y1 == x), seen0, any_id], whole)
@@ -280,7 +280,7 @@ def _padded_runs(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     found, n = _runs(seen), seen.shape[1]
     wide = 1 << n.bit_length()
     fill = (ALPHABET, n, n)
-    s, first, end = (np.pad(x.astype(np.int64), ((0, 0), (0, wide - n)), constant_values=v).reshape(-1) for x, v in zip(found, fill, strict=True))
+    s, first, end = (np.pad(x.astype(np.int32), ((0, 0), (0, wide - n)), constant_values=v).reshape(-1) for x, v in zip(found, fill, strict=True))
     return s, first, end, wide
 
 
