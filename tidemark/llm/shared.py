@@ -50,6 +50,42 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Parts over which the rows of one key are dealt in a join; a part is a bit of a long.
+PARTS = 32
+
+
+def part_of(*columns: str) -> Column:
+    """The part of a row, by the hash of what tells the rows of a key apart."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("tinyint")
+
+
+def part_of_row() -> Column:
+    """The part of a row by its place, for tables that are staged with it: repeated rows are dealt too."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("tinyint")
+
+
+def parts_met(part: str) -> Column:
+    """An aggregate: the parts that hold a row of the key, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(part).cast("int")))
+
+
+def each_part(keys: DataFrame, met: str, part: str) -> DataFrame:
+    """A key's one row for each part that holds rows of it, so most keys stay one row."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.getbit(met, i) == 1)
+    return keys.withColumn(part, F.explode(bits.cast("array<tinyint>"))).drop(met)
+
+
+def join_back(rows: DataFrame, on: list[str], part: Column, *totals: Column, where: str = "true") -> DataFrame:
+    """rows with the totals of their key, of the keys for which `where` holds; rows of a null key go.
+
+    The totals are combined within tasks first. The rows meet them by key and part, so no task of the
+    join gets more than its share of a key's rows, however many there are.
+    """
+    rows = rows.withColumn("_part", part)
+    keys = rows.groupBy(*on).agg(*totals, parts_met("_part").alias("_met")).where(where)
+    return rows.join(each_part(keys, "_met", "_part"), [*on, "_part"]).drop("_part")
+
+
 _ARROW = {
     "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
 }
