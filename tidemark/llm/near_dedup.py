@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import map_texts, small_batches, stage
+from .shared import each_part, join_back, map_texts, part_of, part_of_row, parts_met, small_batches, stage
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -215,16 +215,18 @@ def near_dedup(
     Rows of equal shingle sets are one class and only its smallest id goes on. Within a bucket of
     equal bands, members are first compared with one of them each round, not with each other.
     Then members that still lie in different components are compared block by block within tasks,
-    so no link between different texts is lost; only links leave a task, never all pairs.
+    so no link between different texts is lost; only links leave a task, never all pairs. Rows of one bucket,
+    component or class meet what their key has in common in parts, so none of them is one task's.
     """
     share = similar[0] / similar[1]
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = map_texts(docs, "text", lambda: _sign, {"n": "bigint", "set_key": "binary", "sig": "binary"})
+    signed = map_texts(docs.withColumn("part", part_of_row()), "text", lambda: _sign, {"n": "bigint", "set_key": "binary", "sig": "binary"})
     signed = stage(signed, "signed")
     classes = stage(
-        signed.where("n > 0 and id is not null").groupBy("set_key")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")),
+        signed.where("n > 0").groupBy("set_key")
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), parts_met("part").alias("met"))
+        .where("rep is not null"),
         "classes",
     )
     width = ROWS * 4
@@ -233,8 +235,8 @@ def near_dedup(
         lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))),
     )
     banded = classes.select(F.col("set_key").alias("node"), "n", F.explode(bands).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = stage(banded.join(shared, "bucket"), "buckets")
+    own = part_of("node")
+    members = stage(join_back(banded, ["bucket"], own, F.count("*").alias("m"), where="m > 1").drop("m"), "buckets")
     nodes = members.select(F.col("node").alias("set_key")).distinct()
     candidates = stage(classes.join(nodes, "set_key", "left_semi"), "candidates")
     sets = stage(
@@ -259,14 +261,13 @@ def near_dedup(
             return members.withColumn("component", F.col("node"))
         now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         now = stage(now, "members")
-        split = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return now.join(split.select("bucket"), "bucket")
+        ends = F.min("component").alias("lo"), F.max("component").alias("hi")
+        return join_back(now, ["bucket"], own, *ends, where="lo < hi").drop("lo", "hi")
 
     def stars(now: DataFrame, turn: int) -> DataFrame:
         """Each bucket's members against one of them, drawn by a hash, unless they are connected."""
         drawn = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("comp_a"))
-        centre = now.groupBy("bucket").agg(F.min(drawn).alias("c")).select("bucket", "c.*")
-        pairs = now.join(centre, "bucket").where("component <> comp_a")
+        pairs = join_back(now, ["bucket"], own, F.min(drawn).alias("c")).select("*", "c.*").where("component <> comp_a")
         pairs = pairs.where((F.col("n_a") * similar[1] >= F.col("n") * similar[0]) & (F.col("n") * similar[1] >= F.col("n_a") * similar[0]))
         return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
@@ -277,7 +278,7 @@ def near_dedup(
         found = stage(components(links), "components")
     now = stage(placed(found), "open")
     parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("int")
-    now = now.join(now.groupBy("bucket").agg(parts.alias("parts")), "bucket")
+    now = join_back(now, ["bucket"], own, parts.alias("parts"))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocks = now.select("node", "bucket", "component", mine.alias("mine"), other.alias("other"))
@@ -290,13 +291,12 @@ def near_dedup(
     links = links.union(stage(rest, "links"))
     found = stage(components(links), "components")
     smallest = classes.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "set_key", "rep", F.coalesce("component", "set_key").alias("component")
+        "set_key", "rep", "met", F.coalesce("component", "set_key").alias("component")
     )
-    labels = smallest.join(
-        smallest.groupBy("component").agg(F.min("rep").alias("component_id")), "component"
-    ).select("set_key", "component_id")
+    labels = join_back(smallest, ["component"], part_of("set_key"), F.min("rep").alias("component_id"))
+    labels = each_part(labels.select("set_key", "component_id", "met"), "met", "part")
     component = F.coalesce("component_id", "id")
-    return signed.select("id", "n", "set_key").join(labels, "set_key", "left").select(
+    return signed.select("id", "n", "set_key", "part").join(labels, ["set_key", "part"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
