@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stage
+from .shared import ascii_lower, join_back, part_of_row, stage
 
 #: A chunk ends after such a triple of characters, once it is long enough.
 CUT = r"[ae][nrst][ ,.\n]"
@@ -43,7 +43,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts form one group. Of a group the row with the largest id stays. Rows that repeat an id
     within a group are the same document and share `kept`. A null id is never kept unless all
     ids of its group are null; then keep_id is null and the rows stay. Other columns of docs
-    are not read, so their names cannot clash.
+    are not read, so their names cannot clash. The rows of a group, empty texts too, learn its
+    totals in parts, so a group of any size is never one task's.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = ascii_lower(F.col("text"))
@@ -55,12 +56,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named.alias("recipe"),
         (F.col("norm") if doubt else F.lit("")).alias("proof"),
         F.sha2("norm", 256).alias("text_sha256"),
+        part_of_row().alias("part"),
     )
     recipes = stage(recipes, "recipes")
-    groups = recipes.groupBy("recipe", "proof").agg(
-        F.max("id").alias("keep_id"), F.count("*").alias("group_size")
-    )
-    return recipes.join(groups, ["recipe", "proof"]).select(
+    totals = F.max("id").alias("keep_id"), F.count("*").alias("group_size")
+    return join_back(recipes, ["recipe", "proof"], F.col("part"), *totals).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
