@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import each_part, part_of, parts_met, stage
 
 MIN_SITES = 4
 #: Sketch precision (2^k registers, about 1.04 / sqrt(2^k) relative error) and the share of the
@@ -24,26 +24,28 @@ def line_name(line: Column) -> Column:
 
 
 def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
-    """name, first: the lines seen on at least min_sites distinct sites and where each comes first.
+    """name, first, part: the lines seen on at least min_sites distinct sites and where each comes first,
+    a row for each part that holds rows of the line.
 
-    lines has name, site, place. One sketch of sites per line is merged by aggregation, so a line
+    lines has name, site, place, part. One sketch of sites per line is merged by aggregation, so a line
     of any frequency is a row per task in the shuffle. Lines whose estimate lies within `band`
     of the threshold are counted exactly, over their distinct (line, site) pairs.
     """
     sketches = stage(
         lines.groupBy("name").agg(
-            F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("place").alias("first")
+            F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("place").alias("first"),
+            parts_met("part").alias("met"),
         ).where(F.col("sites") >= min_sites * (1 - band)),
         "line-spread",
     )
     near = F.col("sites") < min_sites * (1 + band)
     exact = (
-        lines.join(sketches.where(near).select("name"), "name", "left_semi")
+        lines.join(each_part(sketches.where(near).select("name", "met"), "met", "part"), ["name", "part"], "left_semi")
         .select("name", "site").distinct()
         .groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     )
-    sure = sketches.where(~near).select("name", "first")
-    return sure.unionByName(sketches.join(exact, "name", "left_semi").select("name", "first"))
+    spread = sketches.where(~near).unionByName(sketches.join(exact, "name", "left_semi"))
+    return each_part(spread.select("name", "first", "met"), "met", "part")
 
 
 def line_dedup(
@@ -71,11 +73,11 @@ def line_dedup(
         .where("name is not null")
     )
     # Three passes follow; this one alone reads and names the texts' lines.
-    lines = stage(lines, "lines").withColumn("place", place)
+    lines = stage(lines, "lines").withColumns({"place": place, "part": part_of("_ld_id", "_ld_digest", "no")})
     spread = spread_lines(lines, min_sites)
     goes = (
-        lines.select("_ld_id", "_ld_digest", "no", "name", "place")
-        .join(spread, "name")
+        lines.select("_ld_id", "_ld_digest", "no", "name", "place", "part")
+        .join(spread, ["name", "part"])
         .where(F.col("place") != F.col("first"))
         .groupBy("_ld_id", "_ld_digest")
         .agg(F.collect_set("no").alias("_ld_goes"))
