@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import PARTS, each_part, join_back, part_of, part_of_row, parts_met
+from tidemark.llm.graph import components
+from tidemark.llm.shared import PARTS, dealt, each_part, join_back, part_of, part_of_row, parts_met
 
 
 def test_totals_of_a_hot_key(spark):
@@ -23,3 +24,21 @@ def test_a_hot_key_is_dealt_evenly_and_a_rare_one_stays_one_row(spark):
     lone = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "key string, id bigint").withColumn("part", part_of("id"))
     keys = each_part(lone.groupBy("key").agg(parts_met("part").alias("met")), "met", "part")
     assert {(r.key, r.part) for r in keys.collect()} == {(r.key, r.part) for r in lone.collect()}
+
+
+def test_a_table_is_dealt_to_the_parts_that_hold_its_keys(spark):
+    rows = spark.range(9000).select("id", F.when(F.col("id") < 8000, 0).otherwise(F.col("id")).alias("key"), part_of("id").alias("part"))
+    table = spark.range(8500).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    out = dealt(table, rows, "key")
+    assert {r.key: r.n for r in out.groupBy("key").agg(F.count("*").alias("n")).collect()} == {0: PARTS} | dict.fromkeys(range(8000, 8500), 1)
+    got = {r.id: r.value for r in rows.join(out, ["key", "part"]).collect()}
+    assert got == {i: 0 if i < 8000 else 2 * i for i in range(8500)}
+
+
+def test_components_of_many_stars(spark):
+    hubs = [(7, 100), (100, 9), (9, 5000)]
+    edges = [(i % 3 * 1000 + 10, 20_000 + i) for i in range(3000)] + hubs + hubs
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {n: 7 for n in (7, 9, 100, 5000)} | {20_000 + i: i % 3 * 1000 + 10 for i in range(3000)} | {n: n for n in (10, 1010, 2010)}
+    assert got == want
+    assert components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0

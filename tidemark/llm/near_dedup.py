@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import each_part, join_back, map_texts, part_of, part_of_row, parts_met, small_batches, stage
+from .shared import dealt, each_part, join_back, map_texts, part_of, part_of_row, parts_met, small_batches, stage
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -247,13 +247,16 @@ def near_dedup(
     limits = least_matches(share, miss)
 
     def both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        """pairs with the values of a and b. A node is b in one pair a bucket at most, but a in any number."""
         a, b = (table.select(F.col("node").alias(x), F.col(value).alias(f"{value}_{x}")) for x in "ab")
-        return pairs.join(b, "b").join(a, "a").select("a", "b", f"{value}_a", f"{value}_b")
+        return pairs.join(b, "b").join(dealt(a, pairs, "a"), ["a", "part"]).select("a", "b", f"{value}_a", f"{value}_b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         sigs = candidates.select(F.col("set_key").alias("node"), "sig")
+        pairs = stage(pairs.withColumn("part", part_of("b")), "pairs")
         likely = both(pairs, sigs, "sig").mapInPandas(_plausible(limits), "a binary, b binary")
-        return both(stage(likely, "survivors"), sets, "items").mapInPandas(_linked(similar), "a binary, b binary")
+        likely = stage(likely.withColumn("part", part_of("b")), "survivors")
+        return both(likely, sets, "items").mapInPandas(_linked(similar), "a binary, b binary")
 
     def placed(found: DataFrame | None) -> DataFrame:
         """The members of the buckets that hold several components still, with their component."""
@@ -265,11 +268,12 @@ def near_dedup(
         return join_back(now, ["bucket"], own, *ends, where="lo < hi").drop("lo", "hi")
 
     def stars(now: DataFrame, turn: int) -> DataFrame:
-        """Each bucket's members against one of them, drawn by a hash, unless they are connected."""
+        """Each bucket's members (b) against one of them (a), drawn by a hash, unless they are connected."""
         drawn = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("comp_a"))
         pairs = join_back(now, ["bucket"], own, F.min(drawn).alias("c")).select("*", "c.*").where("component <> comp_a")
         pairs = pairs.where((F.col("n_a") * similar[1] >= F.col("n") * similar[0]) & (F.col("n") * similar[1] >= F.col("n_a") * similar[0]))
-        return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = pairs.groupBy(F.least("a", "node").alias("lo"), F.greatest("a", "node").alias("hi")).agg(F.bool_or(F.col("a") < F.col("node")).alias("up"))
+        return pairs.select(F.when(F.col("up"), F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("up"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
     links = found = None
     for i in range(STARS):

@@ -86,6 +86,16 @@ def join_back(rows: DataFrame, on: list[str], part: Column, *totals: Column, whe
     return rows.join(each_part(keys, "_met", "_part"), [*on, "_part"]).drop("_part")
 
 
+def dealt(table: DataFrame, rows: DataFrame, key: str, part: str = "part") -> DataFrame:
+    """table, which has one row a key, with its row for each part of rows that holds the key.
+
+    rows (staged, as this reads it once more) then joins by key and part, so that no task of the join
+    gets more than its share of a key's rows.
+    """
+    met = rows.groupBy(key).agg(parts_met(part).alias("_met"))
+    return each_part(table.join(met, key), "_met", part)
+
+
 _ARROW = {
     "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
 }
