@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, token_file, toxicity
+from . import anagram, ann, bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, periodic, piecewise, token_file, toxicity
+from .shared import SPACE
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,8 +71,65 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piecewise.beside_next(_read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        piecewise.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        piecewise.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def misspelled(docs: DataFrame) -> DataFrame:
+    """word: every run of letters of the texts, in lower case (A-Z alone), of which one in 97, by the hash of id and run, loses a letter.
+    Runs too short to be counted are left out. Without an id none loses one."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"[{anagram.LETTERS}]{{{anagram.LEAST_LETTERS},}}"), F.lit(0))).alias("run"))
+    runs = runs.select("doc_id", anagram.lower_letters(F.col("run")).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
+    at = (h % F.length("run")).cast("int")
+    less = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.length("run")))
+    return runs.select(F.when(h % 97 == 0, less).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anagram.group_variants(anagram.count_words(misspelled(_read(spark, sf_dir, "documents"))))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id, text: one document in ten, by the hash of its id, repeats a stretch of words from a place in it to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.col("text"), F.lit(f"[^{SPACE}]+"), F.lit(0))
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice(words, 1, a), F.slice(again, 1, n - a)), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(repeating(_read(spark, sf_dir, "documents")))
+    none = F.lit(None).cast(periodic.RUN)
+    # Runs are in order of start and period, so of equal exponents the first stays.
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.reduce("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_ann, op3_bpe, op4_exact_dedup, op5_toxicity, op6_language, op7_mix_sources, op8_html_text, op9_token_file, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_ann, op3_bpe, op4_exact_dedup, op5_toxicity, op6_language, op7_mix_sources, op8_html_text, op9_token_file, op10_line_dedup,
+        op11_fingerprints, op12_spelling_variants, op13_periodic_runs,
+    )
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

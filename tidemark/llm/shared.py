@@ -98,6 +98,7 @@ def dealt(table: DataFrame, rows: DataFrame, key: str, part: str = "part") -> Da
 
 _ARROW = {
     "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+    "array<struct<start:bigint,length:bigint,period:bigint>>": pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")])),
 }
 
 
