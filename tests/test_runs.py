@@ -147,3 +147,90 @@ def test_fsck_names_what_a_side_lacks(spark):
     assert verbs.fsck(built).count() == 0
     lacks = built.where("not (period = 'daily' and name = 'm')")
     assert rows(verbs.fsck(lacks), "period", "name", "stored", "expected") == [("daily", "m", None, 3), ("monthly", "m", 3, None)]
+
+
+def put(folder, name, *values, kind=b"absolute"):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_bytes(b"".join((RECORD % v).replace(b"aggregate", kind) for v in values))
+
+
+def test_the_newer_run_has_the_last_word(spark, tmp_path):
+    folder, store = tmp_path / "in", tiers.Store(spark, f"file://{tmp_path}/store")
+
+    def run(batch):
+        records.run(spark, f"file://{folder}", store, f"file://{tmp_path}/work", batch)
+        return rows(store.read().where("period = 'yearly'"), "value")
+
+    for name, v in (("a", b"100"), ("b", b"101"), ("c", b"102")):
+        put(folder, f"{name}.completed", v)
+    assert run(0) == [(102,)]
+    put(folder, "a.completed", b"999", b"1000", b"999")
+    assert run(1) == [(999,)]
+    # Files of several folders come in order of their names, whatever their folders.
+    put(folder / "y", "1.completed", b"1")
+    put(folder / "x", "2.completed", b"2")
+    assert run(2) == [(2,)]
+    store.compact()
+    put(folder, "0.completed", b"5")
+    assert run(3) == [(5,)]
+
+
+def test_places_run_on_over_ranges_of_files(spark, tmp_path):
+    names = [f"f{i:03d}" for i in range(40)]
+    read = spark.createDataFrame([(n, p) for n in names for p in range(1, 4)], "path string, pos int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = records.in_order(read, spark.createDataFrame([(n,) for n in names[::-1]], "path string"), f"file://{tmp_path}/w", 1000)
+        got = [tuple(r) for r in placed.orderBy("arrival_seq").select("path", "pos", "arrival_seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r[:2] for r in got] == [(n, p) for n in names for p in range(1, 4)]
+    assert got[0][2] == 1001 and got[-1][2] == 1000 + 39 * 4 + 3
+
+
+def written(folder) -> int:
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet") if "_entities" not in str(p))
+
+
+def test_levels_write_each_row_a_logarithmic_number_of_times(spark, tmp_path):
+    store, made = tiers.Store(spark, f"file://{tmp_path}/t", (Period.DAILY, Period.YEARLY), fan=2), {}
+    for batch in range(8):
+        store.persist(spark.createDataFrame([(f"e{batch}-{i}", T, "m", "aggregate", 1, 9 * batch) for i in range(9)], FACT), batch)
+        store.compact_levels()
+        made |= {f.path: (f.level, spark.read.parquet(f.path).count()) for f in store.folders()}
+    assert [(f.first, f.last, f.level) for f in store.live()] == [(0, 7, 3)]
+    by_level = {level: sum(n for at, n in made.values() if at == level) for level in range(4)}
+    assert by_level == dict.fromkeys(range(4), 8 * 9 * 2)  # each row once a level
+    store.persist(spark.createDataFrame([("e0-0", T, "m", "aggregate", 50, 0)], FACT), 3)  # a replay of what is merged
+    assert store.read().where("period = 'daily'").agg(F.sum("value")).first()[0] == 72
+    assert store.next_seq(8) == 64 and store.next_seq(0) == 0
+
+
+def test_a_compaction_that_is_cut_off_changes_nothing(spark, tmp_path):
+    store = tiers.Store(spark, f"file://{tmp_path}/t", fan=2)
+    for batch in range(2):
+        store.persist(spark.createDataFrame([("e", T, "m", "aggregate", 1, batch)], FACT), batch)
+    before = rows(store.read(), *tiers.COLUMNS)
+    store.compact_levels()
+    for name in ("_SUCCESS", "._SUCCESS.crc"):
+        os.remove(tmp_path / "t" / "batch=l1-0-1" / name)
+    assert [f.level for f in store.live()] == [0, 0] and rows(store.read(), *tiers.COLUMNS) == before
+    store.compact_levels()
+    assert [f.level for f in store.live()] == [1] and rows(store.read(), *tiers.COLUMNS) == before
+
+
+def test_a_read_of_few_entities_opens_the_files_that_can_hold_them(spark, tmp_path):
+    store = tiers.Store(spark, f"file://{tmp_path}/a b/t", (Period.DAILY, Period.YEARLY))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for batch in range(2):
+            store.persist(spark.createDataFrame([(f"e{i:03d}", T, "m", "aggregate", i, i) for i in range(200)], FACT), batch)
+        store.compact()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    one = store.read(["e123"])
+    assert rows(one, "period", "value") == [("daily", 246), ("yearly", 246)]
+    assert len(one.inputFiles()) < len(store.read().inputFiles())
+    assert store.read(["zzz"]).count() == 0 and store.read([]).count() == 0
+    store.persist(spark.createDataFrame([("zzz", T, "m", "aggregate", 7, 900)], FACT), 2)
+    assert rows(store.read(["zzz"]), "period", "value") == [("daily", 7), ("yearly", 7)]

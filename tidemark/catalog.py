@@ -720,16 +720,17 @@ def _json_rejects(spark, sf_dir):
     return messages.rejected(read(spark, sf_dir, "pages").select(bad.alias("value")).unionByName(messages.to_json(_daily(spark, sf_dir))))
 
 
-@query("file_run", f"SELECT period, entity_id, bucket_start, name, value FROM ({ALL_TIERS}) WHERE record_type = 'aggregate'")
+@query("file_run", f"SELECT period, record_type, entity_id, bucket_start, name, value FROM ({ALL_TIERS})")
 def _file_run(spark, sf_dir):
-    """Facts written as record files, with a bad one among them, and a run over the folder into a store."""
-    folder, store = scratch(spark, "records"), tiers.Store(spark, scratch(spark, "tiers"))
-    facts_ = event_facts(spark, sf_dir).where("record_type = 'aggregate'")
-    records.write(facts_, folder)
-    bad = facts_.limit(3).withColumn("record_type", F.lit("other")).coalesce(1)
-    records.write(bad, f"{folder}/bad")
-    records.run(spark, folder, store, scratch(spark, "run"), 0)
-    return store.read().select("period", "entity_id", "bucket_start", "name", "value")
+    """Facts written as record files, half of them after a first run over the folder, with a bad file among each; both runs fill one store."""
+    folder, store, work = scratch(spark, "records"), tiers.Store(spark, scratch(spark, "tiers")), scratch(spark, "run")
+    facts_ = event_facts(spark, sf_dir)
+    half = facts_.agg(F.max("arrival_seq")).first()[0] // 2
+    for number, part in enumerate((facts_.where(F.col("arrival_seq") <= half), facts_.where(F.col("arrival_seq") > half))):
+        records.write(part.repartitionByRange("arrival_seq"), folder)
+        records.write(part.limit(3).withColumn("record_type", F.lit("other")).coalesce(1), f"{folder}/bad")
+        records.run(spark, folder, store, work, number)
+    return store.read().select("period", "record_type", "entity_id", "bucket_start", "name", "value")
 
 
 @query("record_files", f"SELECT entity_id, date_trunc('millisecond', ts) AS ts, name, record_type, value FROM ({FACTS})")

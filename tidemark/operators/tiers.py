@@ -5,13 +5,16 @@ A tier row is period, record_type, entity_id, bucket_start, name, value, last_se
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.periods import DEFAULT_TIERS, Period, bucket_start, lit_ts, most_granular
+from ..functions.periods import DEFAULT_TIERS, Period, bucket_start, least_granular, lit_ts, most_granular
 from .combine import last, total
 from .facts import AGGREGATE, accepted
 
@@ -46,17 +49,43 @@ def build(facts: DataFrame, tiers: Sequence[Period] = DEFAULT_TIERS) -> DataFram
     return fine.select(*COLUMNS).unionByName(_fold(up, ["period", *key], "last_seq").select(*COLUMNS))
 
 
+@dataclass(frozen=True)
+class Folder:
+    """A whole folder of a store: the batches that it holds, and how often its rows were merged."""
+
+    first: int
+    last: int
+    level: int
+    path: str
+
+    def holds(self, other: Folder) -> bool:
+        return self.level > other.level and self.first <= other.first and other.last <= self.last
+
+
+#: The names of folders: one batch, the batches A to B at a level, all up to a number.
+_NAME = re.compile(r"batch=(?:(?P<one>\d+)|l(?P<level>\d+)-(?P<first>\d+)-(?P<last>\d+)|to-(?P<upto>\d+))")
+#: The level of a folder of all batches: above any other's, so that the latest of them counts.
+WHOLE = 1000
+#: How many folders of a level are merged into one of the next.
+FAN = 4
+INDEX = "_entities"
+
+
 class Store:
     """Tier rows under a path, partitioned by period and record type. Writes are batches: a batch
     that is written again replaces itself, and reads merge batches, so replays change nothing.
 
-    Batches up to number N may be merged into one folder, `batch=to-N`. It is written beside them and counts
-    only once it is whole (Spark's _SUCCESS file), from when on the batches in it are left out; so a
-    compaction that is cut off changes nothing. One process compacts at a time.
+    Folders' names are the manifest. `batch=N` is one batch, `batch=lL-A-B` the batches A to B at level L, and `batch=to-N`
+    all up to N. A merged folder is written beside what it holds and counts only once it is whole (Spark's _SUCCESS
+    file), from when on what it holds is left out; so a compaction that is cut off changes nothing. Batches are
+    numbered in ascending order by one writer, and one process compacts at a time.
+
+    Merged folders carry an index of the entities that each file spans, by which a read of few entities opens those files only.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tiers: Sequence[Period] = DEFAULT_TIERS):
-        self.spark, self.path, self.tiers = spark, path.rstrip("/"), tuple(tiers)
+    def __init__(self, spark: SparkSession, path: str, tiers: Sequence[Period] = DEFAULT_TIERS, fan: int = FAN):
+        self.spark, self.path, self.tiers, self.fan = spark, path.rstrip("/"), tuple(tiers), fan
+        self._indexes: dict[tuple[str, int], list] = {}
 
     def _write(self, rows: DataFrame, name: str) -> None:
         # By range, so that a file holds few entities of one tier and a filter on one skips most of the rest.
@@ -64,60 +93,128 @@ class Store:
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         rows.write.mode("overwrite").partitionBy("period", "record_type").parquet(f"{self.path}/{name}")
 
-    def persist(self, facts: DataFrame, batch: int = 0) -> None:
-        """Write the tiers of facts as a batch. One that a compaction holds already is left as it is:
-        it was whole before."""
-        if batch > self._upto():
+    def persist(self, facts: DataFrame, batch: int = 0, index: bool = False) -> None:
+        """Write the tiers of facts as a batch, with an index if asked for. One that a compaction holds already is left
+        as it is: it was whole before."""
+        if not any(f.level and f.first <= batch <= f.last for f in self.folders()):
             self._write(build(facts, self.tiers), f"batch={batch}")
+            if index:
+                self._index(f"{self.path}/batch={batch}")
 
-    def _folders(self, merged: bool) -> dict[int, str]:
-        """number -> path of the whole folders, of batches or merged ones."""
+    def _fs(self):
         jvm = self.spark._jvm.org.apache.hadoop.fs
         root = jvm.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        start = "batch=to-" if merged else "batch="
-        numbered = {int(n[len(start) :]): n for n in names if n.startswith(start) and n[len(start) :].isdigit()}
-        return {i: f"{self.path}/{n}" for i, n in numbered.items() if fs.exists(jvm.Path(f"{self.path}/{n}/_SUCCESS"))}
-
-    def _upto(self) -> int:
-        return max(self._folders(merged=True), default=-1)
-
-    def _live(self) -> list[str]:
-        merged = self._folders(merged=True)
-        upto = max(merged, default=-1)
-        return [p for n, p in merged.items() if n == upto] + [p for n, p in sorted(self._folders(merged=False).items()) if n > upto]
-
-    def read(self) -> DataFrame:
-        """The merged tiers. A filter on period, record_type, entity or bucket reaches the scan; a store of
-        one folder is read without merging."""
-        live = self._live()
-        if not live:
+        return jvm, root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def folders(self) -> list[Folder]:
+        """The whole folders, those included that others hold."""
+        jvm, root, fs = self._fs()
+        found = []
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            m, path = _NAME.fullmatch(status.getPath().getName()), f"{self.path}/{status.getPath().getName()}"
+            if not m or not fs.exists(jvm.Path(f"{path}/_SUCCESS")):
+                continue
+            n = {k: int(v) for k, v in m.groupdict().items() if v is not None}
+            if "one" in n:
+                found.append(Folder(n["one"], n["one"], 0, path))
+            elif "upto" in n:
+                found.append(Folder(-1, n["upto"], WHOLE + n["upto"], path))
+            else:
+                found.append(Folder(n["first"], n["last"], n["level"], path))
+        return found
+
+    def live(self) -> list[Folder]:
+        """The folders that reads merge, in order of their batches: those that no other holds."""
+        found = self.folders()
+        return sorted((f for f in found if not any(g.holds(f) for g in found)), key=lambda f: f.first)
+
+    def _rows(self, folders: Sequence[Folder], entities: Sequence[str] | None = None) -> DataFrame:
+        paths = [p for f in folders for p in self._paths(f, entities)]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMA).select(*COLUMNS)
-        rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*live).select(*COLUMNS)
+        rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*paths).select(*COLUMNS)
+        rows = rows if entities is None else rows.where(F.col("entity_id").isin(*entities))
         key = ["period", "record_type", "entity_id", "bucket_start", "name"]
-        return rows if len(live) == 1 else _fold(rows, key, "last_seq").select(*COLUMNS)
+        return rows if len(folders) == 1 else _fold(rows, key, "last_seq").select(*COLUMNS)
+
+    def read(self, entities: Sequence[str] | None = None) -> DataFrame:
+        """The merged tiers. A filter on period, record_type, entity or bucket reaches the scan; a store of
+        one folder is read without merging. With entities, only their rows, from files that may hold them."""
+        return self._rows(self.live(), entities)
+
+    def next_seq(self, before: int) -> int:
+        """A place in the order of arrival above all that the batches before a number hold. Read from the coarsest
+        tier, as every tier carries the places of what it sums up."""
+        earlier = [f for f in self.live() if f.last < before]
+        coarsest = F.col("period") == str(least_granular(self.tiers))
+        last_seq = self._rows(earlier).where(coarsest).agg(F.max("last_seq")).first()[0] if earlier else None
+        return 0 if last_seq is None else last_seq + 1
 
     def compact(self, path: str | None = None) -> Store:
         """Merge the batches so far into one folder, and remove those that an earlier compaction holds.
         With a path, leave them and write a copy of the store there, with one batch."""
         if path:
-            copy = Store(self.spark, path, self.tiers)
+            copy = Store(self.spark, path, self.tiers, self.fan)
             copy._write(self.read(), "batch=0")
             return copy
-        before, batches = self._upto(), self._folders(merged=False)
-        last_batch = max(batches, default=-1)
-        if last_batch <= before:
-            return self
-        self._write(self.read(), f"batch=to-{last_batch}")
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        # What the compaction before this one left: no reader that started lately still reads it.
-        gone = [p for n, p in batches.items() if n <= before] + [p for n, p in self._folders(merged=True).items() if n < before]
-        for p in gone:
-            old = jvm.Path(p)
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        live, held = self.live(), self._held()
+        if live and live[-1].level < WHOLE:
+            self._merge(live, f"batch=to-{live[-1].last}")
+            self._drop(held)
         return self
 
+    def compact_levels(self) -> Store:
+        """Merge whatever level has `fan` folders into one of the next level, and so on upwards.
+
+        A row is written once for each level, of which there are log(batches) to the base `fan`, and no more than
+        fan - 1 folders of each are left: neither grows with the store's size as rewriting all of it would.
+        """
+        held = self._held()
+        while True:
+            runs = [(level, list(run)) for level, run in groupby(self.live(), lambda f: f.level)]
+            full = [run for level, run in runs if level < WHOLE and len(run) >= self.fan]
+            if not full:
+                self._drop(held)
+                return self
+            run = full[-1][: self.fan]
+            self._merge(run, f"batch=l{run[0].level + 1}-{run[0].first}-{run[-1].last}")
+
+    def _held(self) -> list[Folder]:
+        """The folders that others hold by now. Those that a compaction comes to hold stay until the next one, for
+        readers that have started on them."""
+        found = self.folders()
+        return [f for f in found if any(g.holds(f) for g in found)]
+
+    def _drop(self, folders: Sequence[Folder]) -> None:
+        jvm, _, fs = self._fs()
+        for f in folders:
+            fs.delete(jvm.Path(f.path), True)
+
+    def _merge(self, folders: Sequence[Folder], name: str) -> None:
+        self._write(self._rows(folders), name)
+        self._index(f"{self.path}/{name}")
+
+    def _index(self, path: str) -> None:
+        """Write which entities each file of a folder spans, files by their place in it."""
+        rows = self.spark.read.option("basePath", self.path).parquet(path)
+        file = F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+/[^/]+$", 0)
+        spans = rows.groupBy(file.alias("file")).agg(F.min("entity_id").alias("least"), F.max("entity_id").alias("most"))
+        spans.coalesce(1).write.mode("overwrite").parquet(f"{path}/{INDEX}")
+
+    def _paths(self, folder: Folder, entities: Sequence[str] | None) -> list[str]:
+        """The files of a folder that may hold some of the entities; the folder itself where all are asked for or it has no index
+        (most batches, and merges that were cut off before it). The driver keeps a row of the index for each file."""
+        jvm, _, fs = self._fs()
+        at = f"{folder.path}/{INDEX}"
+        if entities is None or not fs.exists(jvm.Path(f"{at}/_SUCCESS")):
+            return [folder.path]
+        written = fs.getFileStatus(jvm.Path(f"{at}/_SUCCESS")).getModificationTime()
+        if (folder.path, written) not in self._indexes:
+            self._indexes[folder.path, written] = self.spark.read.schema("file string, least string, most string").parquet(at).collect()
+        # Spark and Python both compare texts by code point.
+        spans = [r for r in self._indexes[folder.path, written] if r.least is not None]
+        return [f"{folder.path}/{r.file}" for r in spans if any(r.least <= e <= r.most for e in entities)]
+
 
 def fetch(tiers: DataFrame, entity: str, period: Period, bucket: datetime) -> DataFrame:
     """The rows of one bucket: absolute and aggregate."""

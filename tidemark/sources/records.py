@@ -108,23 +108,47 @@ def write(facts: DataFrame, folder: str, per_file: int = PER_FILE) -> None:
     in_files(facts, per_file).mapInPandas(put, "file string").write.format("noop").mode("overwrite").save()
 
 
+def in_order(records: DataFrame, files: DataFrame, work: str, base: int) -> DataFrame:
+    """records (path, pos, ...) with arrival_seq, from base on: by their file's place in files, then by theirs in it.
+
+    files has path and whatever comes before it in the order of files, by all its columns from the left. Files are ranged by these and numbered
+    within their range; a prefix sum over the ranges' counts, one row each, makes the numbers run on. Every file takes as
+    many places as the longest, so that the numbers of records follow from those of files.
+    """
+    order = [c for c in files.columns if c != "path"] + ["path"]
+    ranged = files.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    ranged.write.mode("overwrite").parquet(f"{work}/order")
+    placed = files.sparkSession.read.parquet(f"{work}/order").select("path", F.shiftright("id", 33).alias("part"), (F.col("id").bitwiseAND(2**33 - 1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("part").agg(F.count("*").alias("files")).select("part", F.coalesce(F.sum("files").over(before), F.lit(0)).alias("first"))
+    span = (records.agg(F.max("pos")).first()[0] or 0) + 1
+    number = placed.join(first, "part").select("path", (F.lit(base) + (F.col("first") + F.col("n")) * span).alias("start"))
+    return records.join(number, "path").withColumn("arrival_seq", F.col("start") + F.col("pos")).drop("start")
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, "[^/]*$", 0)
+
+
 def run(spark: SparkSession, folder: str, store: Store, work: str, batch: int) -> DataFrame:
     """One run over a folder: path, error, records of every file that was ready (files.ready).
 
-    The facts of good files are stored as one batch, in name order of a folder's files; good files are then removed
-    and bad ones renamed to `.broken`, whatever becomes of the others. What was read is staged below
+    The facts of good files are stored as one batch; good files are then removed
+    and bad ones renamed to `.broken`, whatever becomes of the others. Records arrive in order of their files' names, those of
+    all folders together (ties by path), and after everything that the store's earlier batches hold, so that the
+    last value is the newer run's. What was read is staged below
     `work` first, and files go only once the batch is stored: a run that was cut off is run again with
     the same batch number and replaces what it wrote. Spark's reader lists no empty files; they stay.
     """
     found = files(spark, folder)
-    ready = found_ready(found.select("path"))
-    read = decode(found.join(ready, "path", "left_semi")).join(ready.select("path", "turn"), "path")
+    ready = found_ready(found.select("path")).select("path")
+    read = decode(found.join(ready, "path", "left_semi"))
     at = f"{work.rstrip('/')}/run-{batch}"
     read.write.mode("overwrite").parquet(f"{at}/read")
-    ready.select("path").write.mode("overwrite").parquet(f"{at}/ready")
+    ready.write.mode("overwrite").parquet(f"{at}/ready")
     read, ready = spark.read.parquet(f"{at}/read"), spark.read.parquet(f"{at}/ready")
-    seq = F.shiftleft(F.col("turn").cast("bigint"), 32) + F.col("pos")
-    store.persist(read.where("error is null").withColumn("arrival_seq", seq), batch)
+    named = ready.select(file_name(F.col("path")).alias("name"), "path")
+    store.persist(in_order(read.where("error is null"), named, at, store.next_seq(batch)), batch)
     done = read.groupBy("path").agg(F.max("error").alias("error"), F.count("entity_id").alias("records"))
     done = ready.join(done, "path", "left").select("path", "error", F.coalesce("records", F.lit(0)).alias("records"))
 
