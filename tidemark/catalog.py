@@ -16,7 +16,7 @@ from .functions.periods import DEFAULT_TIERS, Period
 from .operators import combine, domain_events, facts, tiers, verbs
 from .plans.cover import cover
 from .sources import files, messages, records
-from .streaming import ingest
+from .streaming import held, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -792,6 +792,25 @@ def _stream_buffered(spark, sf_dir):
     return _stream(spark, sf_dir, True).drop("last_seq")
 
 
+_CUTS = ("2024-01-08 11:01:00", "2024-01-17 05:33:00")
+
+
+@query("stream_held", " UNION ALL ".join(
+    f"SELECT '{p}' AS period, record_type, entity_id, {TRUNC[p]}::TIMESTAMP AS bucket_start, name, CASE WHEN record_type = 'aggregate' THEN sum(value)::BIGINT ELSE arg_max(value, arrival_seq) END AS value, max(arrival_seq) AS last_seq FROM ({_SLICES}) GROUP BY record_type, entity_id, bucket_start, name"
+    for p in DEFAULT_TIERS
+))
+def _stream_held(spark, sf_dir):
+    """Events in order of time, cut amid slices into three micro-batches, through slices held as state."""
+    source, store, e = scratch(spark, "incoming"), tiers.Store(spark, scratch(spark, "tiers")), events(spark, sf_dir)
+    a, b = (F.lit(t).cast("timestamp_ntz") for t in _CUTS)
+    for part in (e.where(F.col("ts") < a), e.where((F.col("ts") >= a) & (F.col("ts") < b)), e.where(F.col("ts") >= b)):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    progress = scratch(spark, "progress")
+    held.drain(ingest.ingest(stream, store, progress, facts.from_events, available_now=False, every="100 milliseconds", hold_ms=2_000))
+    return store.read()
+
+
 @query("stream_sinks", f"SELECT entity_id, ts, name, record_type, value, arrival_seq FROM ({FACTS})")
 def _stream_sinks(spark, sf_dir):
     """The facts that a second sink of the stream gets."""

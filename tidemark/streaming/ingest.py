@@ -1,7 +1,7 @@
 """Ingest: buffers of 120 seconds and streams into the store.
 
-Late data are never dropped: each micro-batch is aggregated by itself and written as a batch of its own,
-and the store merges batches as it reads. There is no state to expire and no watermark.
+Late data are never dropped: each micro-batch is written as a batch of its own and the store merges batches as it
+reads. Slices are merged within a micro-batch (`buffer`) or over micro-batches, as keyed state (`hold_ms`).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ..functions.periods import SLICE_MS, slice_floor
 from ..operators.combine import last, total
 from ..operators.facts import AGGREGATE
 from ..operators.tiers import Store
+from .held import held, state_store
 
 
 def buffered(facts: DataFrame, width: int = SLICE_MS) -> DataFrame:
@@ -31,12 +32,17 @@ def buffered(facts: DataFrame, width: int = SLICE_MS) -> DataFrame:
 def ingest(
     stream: DataFrame, store: Store, checkpoint: str, to_facts: Callable[[DataFrame], DataFrame] = lambda d: d,
     buffer: bool = False, available_now: bool = True, every: str = "1 second", discard: bool = False,
-    sinks: Sequence[Callable[[DataFrame, int], None]] = (), compact_every: int = 0,
+    sinks: Sequence[Callable[[DataFrame, int], None]] = (), compact_every: int = 0, hold_ms: int | None = None,
 ) -> StreamingQuery:
     """Start writing a stream into the store. A micro-batch that is replayed after a failure replaces
     what it wrote before. `buffer` merges by slice first; `discard` reads on and writes nothing.
     Each of `sinks` gets the same facts and the batch's number; a sink that fails fails the batch, which is
-    then replayed to all. With `compact_every` the store is compacted after each so many batches."""
+    then replayed to all. With `compact_every` the store's levels are compacted after each so many batches. With `hold_ms` the
+    slice that a metric is in is held over micro-batches, so long at most; that takes a stream which runs on."""
+    if hold_ms is not None:
+        stream, to_facts = held(to_facts(stream), hold_ms=hold_ms), lambda d: d
+
+    once = bool(sinks) or hold_ms is not None  # whether a batch is used more than once
 
     def write(batch: DataFrame, number: int) -> None:
         if discard:
@@ -44,17 +50,23 @@ def ingest(
             return
         facts = to_facts(batch)
         facts = buffered(facts) if buffer else facts
-        if sinks:
+        if once:
             facts = facts.persist()
         try:
+            if hold_ms is not None and facts.isEmpty():
+                return  # the clock makes batches in which nothing is sent off
             store.persist(facts, batch=number)
             for sink in sinks:
                 sink(facts, number)
         finally:
-            if sinks:
+            if once:
                 facts.unpersist()
         if compact_every and number % compact_every == compact_every - 1:
-            store.compact()
+            store.compact_levels()
 
     out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
+    out = out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)
+    if hold_ms is None:
+        return out.start()
+    with state_store(stream.sparkSession):
+        return out.start()
