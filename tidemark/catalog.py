@@ -16,7 +16,7 @@ from .functions.periods import DEFAULT_TIERS, Period
 from .operators import combine, domain_events, facts, tiers, verbs
 from .plans.cover import cover
 from .sources import files, messages, records
-from .streaming import held, ingest
+from .streaming import held, ingest, progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,14 +69,14 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORES: dict[tuple[str, str], tiers.Store] = {}
 
 
-def event_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tiers of the events, read from a store that a session writes once."""
+def event_tiers(spark: SparkSession, sf_dir: str, entities: list[str] | None = None) -> DataFrame:
+    """The tiers of the events, read from a store that a session writes once; with entities, from the files that may hold them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         store = tiers.Store(spark, scratch(spark, "event-tiers"))
-        store.persist(event_facts(spark, sf_dir))
+        store.persist(event_facts(spark, sf_dir), index=True)
         _STORES[key] = store
-    return _STORES[key].read()
+    return _STORES[key].read(entities)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -221,7 +221,7 @@ _DAY = datetime(2024, 1, 12)
     f"SELECT record_type, name, value FROM ({_tier_sql(Period.DAILY)}) WHERE entity_id = '{USER}' AND bucket_start = TIMESTAMP '{_DAY}'",
 )
 def _fetch(spark, sf_dir):
-    return tiers.fetch(event_tiers(spark, sf_dir), USER, Period.DAILY, _DAY).select("record_type", "name", "value")
+    return tiers.fetch(event_tiers(spark, sf_dir, [USER]), USER, Period.DAILY, _DAY).select("record_type", "name", "value")
 
 
 @query(
@@ -229,7 +229,7 @@ def _fetch(spark, sf_dir):
     f"SELECT name, value FROM ({_tier_sql(Period.DAILY)}) WHERE record_type = 'absolute' AND entity_id = '{USER}' AND bucket_start = TIMESTAMP '{_DAY}'",
 )
 def _family(spark, sf_dir):
-    return tiers.family(event_tiers(spark, sf_dir), "absolute", USER, Period.DAILY, _DAY).select("name", "value")
+    return tiers.family(event_tiers(spark, sf_dir, [USER]), "absolute", USER, Period.DAILY, _DAY).select("name", "value")
 
 
 @query("distinct_keys", "SELECT DISTINCT 'user-' || user_id AS entity_id FROM events")
@@ -276,17 +276,17 @@ ONE_RANGE = _bag_sql(f"entity_id = '{USER}' AND {RANGE}")
 
 @query("point_daily", _bag_sql(f"entity_id = '{USER}' AND ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-13'"))
 def _point_daily(spark, sf_dir):
-    return verbs.point(event_tiers(spark, sf_dir), USER, Period.DAILY, datetime(2024, 1, 12, 17, 20))
+    return verbs.point(event_tiers(spark, sf_dir, [USER]), USER, Period.DAILY, datetime(2024, 1, 12, 17, 20))
 
 
 @query("point_yearly", _bag_sql(f"entity_id = '{USER}'"))
 def _point_yearly(spark, sf_dir):
-    return verbs.point(event_tiers(spark, sf_dir), USER, Period.YEARLY, END)
+    return verbs.point(event_tiers(spark, sf_dir, [USER]), USER, Period.YEARLY, END)
 
 
 @query("range_planned", ONE_RANGE)
 def _range(spark, sf_dir):
-    return verbs.range_(event_tiers(spark, sf_dir), USER, START, END)
+    return verbs.range_(event_tiers(spark, sf_dir, [USER]), USER, START, END)
 
 
 @query("range_raw", ONE_RANGE)
@@ -300,32 +300,50 @@ def _range_raw(spark, sf_dir):
 
 @query("range_many", _bag_sql(f"entity_id IN ('user-3', 'user-7', 'user-11', 'nobody') AND {RANGE}", "entity_id"))
 def _range_many(spark, sf_dir):
-    return verbs.ranges(event_tiers(spark, sf_dir), USERS, START, END)
+    return verbs.ranges(event_tiers(spark, sf_dir, USERS), USERS, START, END)
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.concat(F.lit("user-"), F.col("c_custkey")).alias("entity_id"))
+
+
+_CUSTOMERS = "entity_id IN (SELECT 'user-' || c_custkey FROM customer)"
+
+
+@query("range_table", _bag_sql(f"{_CUSTOMERS} AND {RANGE}", "entity_id"))
+def _range_table(spark, sf_dir):
+    """The range of every user who is a customer: the entities are a table."""
+    return verbs.ranges(event_tiers(spark, sf_dir), _customers(spark, sf_dir), START, END)
+
+
+@query("range_combine_table", f"SELECT u AS entity_id, 'result' AS name, 'aggregate' AS record_type, coalesce(sum(value), 0)::DECIMAL(38,0) AS value FROM (SELECT DISTINCT 'user-' || c_custkey AS u FROM customer) LEFT JOIN ({FACTS}) ON entity_id = u AND regexp_full_match(name, '.*-value') AND {RANGE} GROUP BY u")
+def _range_combine_table(spark, sf_dir):
+    return verbs.ranges(event_tiers(spark, sf_dir), _customers(spark, sf_dir), START, END, combine=".*-value")
 
 
 @query("range_combine", f"SELECT 'result' AS name, 'aggregate' AS record_type, coalesce(sum(value), 0)::DECIMAL(38,0) AS value FROM ({ONE_RANGE}) WHERE regexp_full_match(name, '.*-value')")
 def _range_combine(spark, sf_dir):
-    return verbs.range_(event_tiers(spark, sf_dir), USER, START, END, combine=".*-value")
+    return verbs.range_(event_tiers(spark, sf_dir, [USER]), USER, START, END, combine=".*-value")
 
 
 @query("range_combine_empty", "SELECT 'result' AS name, 'aggregate' AS record_type, 0::DECIMAL(38,0) AS value")
 def _range_combine_empty(spark, sf_dir):
-    return verbs.range_(event_tiers(spark, sf_dir), USER, START, END, combine="value")
+    return verbs.range_(event_tiers(spark, sf_dir, [USER]), USER, START, END, combine="value")
 
 
 @query("range_field", f"SELECT * FROM ({ONE_RANGE}) WHERE regexp_full_match(name, 'c.*|last-.*')")
 def _range_field(spark, sf_dir):
-    return verbs.range_(event_tiers(spark, sf_dir), USER, START, END, field="c.*|last-.*")
+    return verbs.range_(event_tiers(spark, sf_dir, [USER]), USER, START, END, field="c.*|last-.*")
 
 
 @query("range_combine_field", f"SELECT 'result' AS name, 'aggregate' AS record_type, coalesce(sum(value), 0)::DECIMAL(38,0) AS value FROM ({ONE_RANGE}) WHERE regexp_full_match(name, '.*-value')")
 def _range_combine_field(spark, sf_dir):
-    return verbs.range_(event_tiers(spark, sf_dir), USER, START, END, combine=".*-value", field="result")
+    return verbs.range_(event_tiers(spark, sf_dir, [USER]), USER, START, END, combine=".*-value", field="result")
 
 
 @query("range_combine_many", f"SELECT u AS entity_id, 'result' AS name, 'aggregate' AS record_type, coalesce(sum(value), 0)::DECIMAL(38,0) AS value FROM (SELECT unnest(['user-3', 'user-7', 'user-11', 'nobody']) AS u) LEFT JOIN ({FACTS}) ON entity_id = u AND regexp_full_match(name, '.*-value') AND {RANGE} GROUP BY u")
 def _range_combine_many(spark, sf_dir):
-    return verbs.ranges(event_tiers(spark, sf_dir), USERS, START, END, combine=".*-value")
+    return verbs.ranges(event_tiers(spark, sf_dir, USERS), USERS, START, END, combine=".*-value")
 
 
 _ORDERS = (Period.DAILY, Period.MONTHLY, Period.YEARLY)
@@ -360,27 +378,33 @@ def _series_sql(p: Period, first: str, last: str, users: str, data: str) -> str:
 
 @query("series_hourly", _series_sql(Period.HOURLY, "2024-01-10 08:00:00", "2024-01-12 17:00:00", f"'{USER}'", "true"))
 def _series_hourly(spark, sf_dir):
-    return verbs.series(event_tiers(spark, sf_dir), [USER], Period.HOURLY, START, END)
+    return verbs.series(event_tiers(spark, sf_dir, [USER]), [USER], Period.HOURLY, START, END)
 
 
 @query("series_daily_many", _series_sql(Period.DAILY, "2023-12-30", "2024-01-12", "'user-3', 'user-7', 'user-11', 'nobody'", "true"))
 def _series_daily(spark, sf_dir):
-    return verbs.series(event_tiers(spark, sf_dir), USERS, Period.DAILY, datetime(2023, 12, 30), END)
+    return verbs.series(event_tiers(spark, sf_dir, USERS), USERS, Period.DAILY, datetime(2023, 12, 30), END)
+
+
+@query("series_table", _series_sql(Period.DAILY, "2023-12-30", "2024-01-12", "'@'", "true").replace("(SELECT unnest(['@']) AS u)", "(SELECT DISTINCT 'user-' || c_custkey AS u FROM customer)"))
+def _series_table(spark, sf_dir):
+    """Dense days of every user who is a customer, with or without data."""
+    return verbs.series(event_tiers(spark, sf_dir), _customers(spark, sf_dir), Period.DAILY, datetime(2023, 12, 30), END)
 
 
 @query("series_weekly_rollup", _series_sql(Period.WEEKLY, "2023-12-31", "2024-01-21", f"'{USER}'", "ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-25'"))
 def _series_weekly(spark, sf_dir):
-    return verbs.series(event_tiers(spark, sf_dir), [USER], Period.WEEKLY, datetime(2024, 1, 2), datetime(2024, 1, 24, 5))
+    return verbs.series(event_tiers(spark, sf_dir, [USER]), [USER], Period.WEEKLY, datetime(2024, 1, 2), datetime(2024, 1, 24, 5))
 
 
 @query("find_fallback", f"SELECT period, bucket_start, name, value FROM ({_tier_sql(Period.DAILY)}) WHERE entity_id = '{USER}' AND bucket_start >= TIMESTAMP '2024-01-07' AND bucket_start < TIMESTAMP '2024-01-14'")
 def _find(spark, sf_dir):
-    return verbs.find(event_tiers(spark, sf_dir), USER, Period.WEEKLY, datetime(2024, 1, 12)).select("period", "bucket_start", "name", "value")
+    return verbs.find(event_tiers(spark, sf_dir, [USER]), USER, Period.WEEKLY, datetime(2024, 1, 12)).select("period", "bucket_start", "name", "value")
 
 
 @query("find_range", f"SELECT bucket_start, name, value FROM ({_tier_sql(Period.HOURLY)}) WHERE entity_id = '{USER}' AND bucket_start >= TIMESTAMP '2024-01-10 08:00:00' AND bucket_start < TIMESTAMP '2024-01-12 17:20:00'")
 def _find_range(spark, sf_dir):
-    return verbs.find_range(event_tiers(spark, sf_dir), USER, Period.HOURLY, START, END).select("bucket_start", "name", "value")
+    return verbs.find_range(event_tiers(spark, sf_dir, [USER]), USER, Period.HOURLY, START, END).select("bucket_start", "name", "value")
 
 
 @query("entities", "SELECT DISTINCT 'user-' || user_id AS entity_id FROM events")
@@ -480,6 +504,14 @@ def _dump(spark, sf_dir):
     return verbs.dump(event_tiers(spark, sf_dir))
 
 
+@query("dump_verified", f"SELECT entity_id, epoch_ms(bucket_start) AS timestamp, name, record_type, value FROM ({_tier_sql(Period.FIFTEEN_MINUTE)})")
+def _dump_verified(spark, sf_dir):
+    """A dump that was checked as it was written, read back."""
+    path = scratch(spark, "dump")
+    verbs.write_verified(event_tiers(spark, sf_dir), path, messages.write_dump)
+    return messages.read_dump(spark, path)
+
+
 @query("dump_filtered", f"SELECT entity_id, epoch_ms(bucket_start) AS timestamp, name, record_type, value FROM ({_tier_sql(Period.FIFTEEN_MINUTE)}) WHERE contains(entity_id, 'r-1') OR contains(entity_id, '-4')")
 def _dump_filtered(spark, sf_dir):
     return verbs.dump(event_tiers(spark, sf_dir), ["r-1", "-4"])
@@ -708,7 +740,7 @@ def _proto_batches(spark, sf_dir):
 
 @query("bag_protobuf", ONE_RANGE)
 def _bag_protobuf(spark, sf_dir):
-    return messages.bag_from_protobuf(messages.bag_protobuf(verbs.range_(event_tiers(spark, sf_dir), USER, START, END)))
+    return messages.bag_from_protobuf(messages.bag_protobuf(verbs.range_(event_tiers(spark, sf_dir, [USER]), USER, START, END)))
 
 
 @query("json_rejects", "SELECT CASE page_id % 3 WHEN 0 THEN '{bad' WHEN 1 THEN '{\"entityId\":\"e\",\"metrics\":{}}' ELSE '{\"entityId\":\"e\",\"timestamp\":1,\"metrics\":{\"m\":{\"value\":1,\"type\":\"sum\"}}}' END AS value, 'Error parsing a metrics message' AS error FROM pages")
@@ -742,7 +774,7 @@ def _record_files(spark, sf_dir):
 
 @query("bag_json", f"""SELECT '{{' || string_agg('"' || name || '":{{"value":' || value || ',"type":"' || record_type || '"}}', ',' ORDER BY name) || '}}' AS body FROM ({ONE_RANGE})""")
 def _bag_json(spark, sf_dir):
-    return messages.bag_json(verbs.range_(event_tiers(spark, sf_dir), USER, START, END))
+    return messages.bag_json(verbs.range_(event_tiers(spark, sf_dir, [USER]), USER, START, END))
 
 
 @query("ready_files", """
@@ -811,6 +843,47 @@ def _stream_held(spark, sf_dir):
     return store.read()
 
 
+@query(
+    "stream_files",
+    f"SELECT period, record_type, entity_id, bucket_start, name, value FROM ({ALL_TIERS}) UNION ALL "
+    f"SELECT 'rejected', NULL, 'bad-' || half, NULL, '{records.BAD_FILE}', 1 FROM (SELECT DISTINCT (event_id > (SELECT max(event_id) // 2 FROM events))::INT AS half FROM events)",
+)
+def _stream_files(spark, sf_dir):
+    """Record files, a bad one among each half, through a stream that is started for each half anew: the store's rows and the rejected files."""
+    folder, work, store = scratch(spark, "records"), scratch(spark, "poll"), tiers.Store(spark, scratch(spark, "tiers"))
+    f = event_facts(spark, sf_dir)
+    middle = f.agg(F.max("arrival_seq")).first()[0] // 2
+    for half, part in enumerate((f.where(F.col("arrival_seq") <= middle), f.where(F.col("arrival_seq") > middle))):
+        records.write(part.repartitionByRange("arrival_seq"), f"{folder}/good-{half}")
+        records.write(part.limit(3).withColumn("record_type", F.lit("other")).coalesce(1), f"{folder}/bad-{half}")
+        records.poll(records.stream(spark, folder), store, f"{work}/rejects", f"{work}/staged", f"{work}/progress", every=None).awaitTermination()
+    bad = spark.read.parquet(f"{work}/rejects").groupBy(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("entity_id"), F.col("error").alias("name"))
+    none = {"record_type": F.lit(None).cast("string"), "bucket_start": F.lit(None).cast("timestamp_ntz"), "period": F.lit("rejected")}
+    rejected = bad.agg(F.count("*").alias("value")).withColumns(none)
+    columns = ["period", "record_type", "entity_id", "bucket_start", "name", "value"]
+    return store.read().select(*columns).unionByName(rejected.select(*columns))
+
+
+@query("stream_metrics", "SELECT 'rows-in' AS name, count(*) AS value FROM events UNION ALL SELECT n, count(DISTINCT event_type) FROM events, (SELECT unnest(['batches', 'heartbeats']) AS n) GROUP BY n UNION ALL SELECT n, least(count(*), 1) FROM events, (SELECT unnest(['starts', 'stops']) AS n) GROUP BY n")
+def _stream_metrics(spark, sf_dir):
+    """What a stream over the events, a batch for each type, tells of itself: its sums in a store of such facts."""
+    source, store, own = scratch(spark, "incoming"), tiers.Store(spark, scratch(spark, "tiers")), tiers.Store(spark, scratch(spark, "own"))
+    e = events(spark, sf_dir)
+    e.repartition("event_type").write.partitionBy("event_type").parquet(source)
+    told = progress.ProgressFacts()
+    spark.streams.addListener(told)
+    try:
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query_ = ingest.ingest(stream, store, scratch(spark, "progress"), facts.from_events)
+        query_.awaitTermination()
+        told.wait(query_)
+    finally:
+        spark.streams.removeListener(told)
+    told.flush(own, 0)
+    sums = own.read().where("period = 'yearly' and record_type = 'aggregate'")
+    return sums.groupBy("name").agg(F.sum("value").alias("value"))
+
+
 @query("stream_sinks", f"SELECT entity_id, ts, name, record_type, value, arrival_seq FROM ({FACTS})")
 def _stream_sinks(spark, sf_dir):
     """The facts that a second sink of the stream gets."""

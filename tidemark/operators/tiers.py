@@ -23,10 +23,11 @@ SCHEMA = "entity_id string, bucket_start timestamp_ntz, name string, value bigin
 
 
 def _fold(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """Sums and last values by key. Sums add up over levels; last values carry their place."""
+    """Sums and last values by key. Sums add up over levels; last values carry their place. The columns come in an
+    order that all uses keep, so that Spark sees that the tiers of one build share an exchange."""
     out = rows.groupBy(*keys).agg(total().alias("_sum"), last(F.col(seq)).alias("_last"), F.max(seq).alias("last_seq"))
     value = F.when(F.col("record_type") == AGGREGATE, F.col("_sum")).otherwise(F.col("_last"))
-    return out.withColumn("value", value).drop("_sum", "_last")
+    return out.select(*keys, value.alias("value"), "last_seq")
 
 
 def build(facts: DataFrame, tiers: Sequence[Period] = DEFAULT_TIERS) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import (
@@ -18,7 +18,6 @@ from .combine import WIDE, combine_matching, keep_matching, overlay, summarize
 from .tiers import entity_keys, fetch, within
 
 
-
 class BadRequest(ValueError):
     """A request that cannot be answered; the message is the one a client sees."""
 
@@ -69,34 +68,50 @@ def range_(tiers: DataFrame, entity: str, start: datetime, end: datetime, combin
     return _tidy(_bags(rows), combine, field)
 
 
-def ranges(tiers: DataFrame, entities: Sequence[str], start: datetime, end: datetime, combine: str | None = None, field: str | None = None, supported: Sequence[Period] = DEFAULT_TIERS) -> DataFrame:
-    """A bag for each of many entities."""
-    rows = tiers.where(F.col("entity_id").isin(*entities) & within(cover(start, end, supported)))
+#: Up to so many entities are a literal list, which the scan filters by; more, or a table, are joined.
+FEW = 100
+
+
+def _asked(tiers: DataFrame, entities: Sequence[str] | DataFrame) -> DataFrame:
+    """entity_id, each once."""
+    if isinstance(entities, DataFrame):
+        return entities.select("entity_id").where(F.col("entity_id").isNotNull()).distinct()
+    return tiers.sparkSession.createDataFrame([(e,) for e in dict.fromkeys(entities)], "entity_id string")
+
+
+def _of(tiers: DataFrame, entities: Sequence[str] | DataFrame) -> DataFrame:
+    """The rows of the entities. A table of them is semi-joined: Spark broadcasts it where it is small, and else shuffles by entity, as the
+    aggregation that follows does anyway."""
+    if not isinstance(entities, DataFrame) and len(entities) <= FEW:
+        return tiers.where(F.col("entity_id").isin(*entities))
+    return tiers.join(_asked(tiers, entities), "entity_id", "left_semi")
+
+
+def ranges(tiers: DataFrame, entities: Sequence[str] | DataFrame, start: datetime, end: datetime, combine: str | None = None, field: str | None = None, supported: Sequence[Period] = DEFAULT_TIERS) -> DataFrame:
+    """A bag for each of many entities, given as a list or as a table with the column entity_id."""
+    rows = _of(tiers.where(within(cover(start, end, supported))), entities)
     bags = _bags(rows, ["entity_id"])
     if combine:
         keep = keep_matching(bags, combine)
         found = summarize(keep.select("entity_id", F.lit("result").alias("name"), "record_type", "value", F.col("name").alias("o")), ["entity_id"], F.col("o"))
-        asked = tiers.sparkSession.createDataFrame([(e,) for e in dict.fromkeys(entities)], "entity_id string")
-        bags = asked.join(found, "entity_id", "left").select(
+        bags = _asked(tiers, entities).join(found, "entity_id", "left").select(
             "entity_id", F.lit("result").alias("name"), F.coalesce("record_type", F.lit("aggregate")).alias("record_type"),
             F.coalesce("value", F.lit(0).cast(WIDE)).alias("value"),
         )
     return keep_matching(bags, field) if field else bags
 
 
-def series(tiers: DataFrame, entities: Sequence[str], period: Period, start: datetime, end: datetime, supported: Sequence[Period] = DEFAULT_TIERS) -> DataFrame:
+def series(tiers: DataFrame, entities: Sequence[str] | DataFrame, period: Period, start: datetime, end: datetime, supported: Sequence[Period] = DEFAULT_TIERS) -> DataFrame:
     """entity_id, bucket_start, bucket_end, name, record_type, value for every bucket that starts
     before end, those without data with a null name, in order of entity, time and name. A period that is not kept is rolled up from
     the next finer tier; its edge buckets hold only what the range holds."""
     tier = supported_granularity(period, supported)
     dates = to_dates(start, end, tier)
-    spark = tiers.sparkSession
-    asked = spark.createDataFrame([(e,) for e in dict.fromkeys(entities)], "entity_id string")
-    frame = asked.select("entity_id", F.explode(spine(start, end, tier)).alias("bucket_start"))
+    frame = _asked(tiers, entities).select("entity_id", F.explode(spine(start, end, tier)).alias("bucket_start"))
     if not dates:
         rows = tiers.where("false")
     else:
-        rows = tiers.where(F.col("entity_id").isin(*entities) & within([(tier, dates[0], dates[-1])]))
+        rows = _of(tiers.where(within([(tier, dates[0], dates[-1])])), entities)
     rows = overlay(rows, ["entity_id", "period", "bucket_start"])
     if period is not tier:
         frame = frame.select("entity_id", bucket_start(F.col("bucket_start"), period).alias("bucket_start")).distinct()
@@ -145,6 +160,35 @@ def dump(tiers: DataFrame, filters: Sequence[str] = (), supported: Sequence[Peri
     return rows.select("entity_id", millis(F.col("bucket_start")).alias("timestamp"), "name", "record_type", "value")
 
 
+class DumpMismatch(RuntimeError):
+    """The coarsest and the finest tier name different metrics, so a dump would not be whole."""
+
+
+def write_verified(tiers: DataFrame, path: str, write: Callable[[DataFrame, str], None], filters: Sequence[str] = (), supported: Sequence[Period] = DEFAULT_TIERS) -> int:
+    """Write a dump (`dump`) with write(rows, path) and return its number of rows.
+
+    In each bucket of the coarsest tier both tiers must name the same metrics. That is found while the rows are written: one scan
+    reads the two tiers, a window brings a bucket's metric together, and observed counts of what a side lacks are read
+    when the write is done. If there is any, the error names the counts; the file is then not to be used.
+    """
+    coarse, fine = least_granular(supported), most_granular(supported)
+    rows = tiers.where(F.col("period").isin(str(coarse), str(fine)))
+    if filters:
+        rows = rows.where(reduce(lambda a, b: a | b, [F.col("entity_id").contains(f) for f in filters]))
+    is_fine = F.col("period") == str(fine)
+    metric = Window.partitionBy("entity_id", bucket_start(F.col("bucket_start"), coarse), "name")
+    rows = rows.withColumn("_fine", F.max(is_fine).over(metric)).withColumn("_coarse", F.max(~is_fine).over(metric))
+    seen = Observation()
+    rows = rows.observe(
+        seen, F.count_if(is_fine).alias("rows"), F.count_if(is_fine & ~F.col("_coarse")).alias("not_coarse"), F.count_if(~is_fine & ~F.col("_fine")).alias("not_fine")
+    )
+    write(dump(rows, supported=supported), path)
+    got = seen.get
+    if got["not_coarse"] or got["not_fine"]:
+        raise DumpMismatch(f"{got['not_fine']} {coarse} metrics have no {fine} rows, {got['not_coarse']} {fine} rows have no {coarse} metric")
+    return got["rows"]
+
+
 def slice_counts(tiers: DataFrame, period: Period) -> DataFrame:
     """How many names each bucket of a tier has."""
     return tiers.where(F.col("period") == str(period)).groupBy("entity_id", "bucket_start").agg(F.countDistinct("name").alias("names"))

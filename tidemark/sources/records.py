@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.identifiers import is_value, parse_value
-from ..functions.periods import from_millis, millis
+from ..functions.periods import SLICE_MS, from_millis, millis, slice_floor
 from ..operators.tiers import Store
-from .files import BROKEN
+from .files import BROKEN, COMPLETED
 from .files import ready as found_ready
 
 PER_FILE = 20_000
@@ -130,6 +131,49 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, "[^/]*$", 0)
 
 
+def rotate(batch: DataFrame, number: int, folder: str, width: int = SLICE_MS, per_file: int = PER_FILE, parts: int = 8) -> None:
+    """Write a micro-batch of facts as record files below a folder: a file holds records of one slice of time, per_file at most.
+
+    A file is named by its slice, batch and number and stays `.data` while its slice may still grow. Once a batch brings a later slice,
+    the files of all earlier ones are completed; what comes late for a slice is completed with the batch it came in. Which file a
+    record goes to follows from the record, so that a replayed batch replaces its files, and those that were completed before stay.
+    """
+    part = F.pmod(F.xxhash64("arrival_seq", "entity_id", "name", "record_type"), F.lit(parts))
+    slices = encode(batch).select(millis(slice_floor(F.col("ts"), width)).alias("slice"), part.alias("part"), "arrival_seq", "content")
+    order = Window.partitionBy("slice", "part").orderBy("arrival_seq", "content")
+    numbered = slices.withColumn("n", F.row_number().over(order)).withColumn("file", F.floor((F.col("n") - 1) / per_file))
+    each = numbered.groupBy("slice", "part", "file").agg(F.array_sort(F.collect_list(F.struct("n", F.hex("content").alias("h")))).alias("r"))
+    # Names sort by slice (from before 1970 too), so the last is of the latest.
+    name = F.concat_ws("-", F.lpad((F.col("slice") + 2**52).cast("string"), 17, "0"), F.lpad(F.lit(str(number)), 9, "0"), F.col("part").cast("string"), F.col("file").cast("string"))
+    made = each.select(name.alias("file"), F.unhex(F.array_join("r.h", "")).alias("content"))
+
+    def put(batches):
+        store, at = _store(folder)
+        store.create_dir(at, recursive=True)
+        for b in batches:
+            for file, content in zip(b["file"], b["content"], strict=True):
+                if not store.get_file_info(f"{at}/{file}.data{COMPLETED}").is_file:
+                    with store.open_output_stream(f"{at}/{file}.lock") as out:
+                        out.write(content)
+                    store.move(f"{at}/{file}.lock", f"{at}/{file}.data")
+            yield b[["file"]]
+
+    made.mapInPandas(put, "file string").write.format("noop").mode("overwrite").save()
+    complete(folder)
+
+
+def complete(folder: str, all_: bool = False) -> None:
+    """Rename the `.data` files of every slice but the latest that the folder has to completed ones; with all_ of that too, as at a stream's end."""
+    from pyarrow import fs
+
+    store, at = _store(folder)
+    names = sorted(i.base_name for i in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if i.is_file and ".data" in i.base_name)
+    latest = names[-1].split("-")[0] if names else ""
+    for name in names:
+        if name.endswith(".data") and (all_ or name.split("-")[0] < latest):
+            store.move(f"{at}/{name}", f"{at}/{name}{COMPLETED}")
+
+
 def run(spark: SparkSession, folder: str, store: Store, work: str, batch: int) -> DataFrame:
     """One run over a folder: path, error, records of every file that was ready (files.ready).
 
@@ -170,16 +214,42 @@ def _uri(path: str) -> str:
     return f"{head}:///{rest.lstrip('/')}" if head == "file" else path
 
 
-def stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The record files of a folder as a stream of path, modificationTime and content: completed files that come later are later batches."""
+def stream(spark: SparkSession, folder: str, archive: str | None = None, **options: str | int) -> DataFrame:
+    """The record files of a folder as a stream of path, modificationTime and content: completed files that come later are later batches.
+    With archive, files that a finished batch has read are moved there. `options` are those of Spark's file source."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    read = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
-    return read.option("pathGlobFilter", "*.completed").load(folder).select("path", "modificationTime", "content")
+    read = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").options(**options)
+    if archive:
+        read = read.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return read.option("pathGlobFilter", f"*{COMPLETED}").load(folder).select("path", "modificationTime", "content")
 
 
 def to_facts(content: DataFrame) -> DataFrame:
     """The facts of a micro-batch of record files, bad files left out. Records arrive in order of their
-    file's modification and then of their place; of two files of one millisecond either may be the later."""
+    file's modification and then of their place; of two files of one millisecond either may be the later.
+    `poll` orders all files and keeps the errors."""
     when = content.select("path", F.unix_millis("modificationTime").alias("ms"))
     seq = F.shiftleft(F.col("ms"), 20) + F.col("pos")
     return decode(content).where("error is null").join(when, "path").withColumn("arrival_seq", seq).drop("ms")
+
+
+def poll(content: DataFrame, store: Store, rejects: str, work: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
+    """Start reading a stream of record files (`stream`) into a store, and its bad files into a table of rejects.
+
+    A micro-batch is decoded once and staged below `work`; the facts of its good files become a batch of the store and the bad files'
+    path and error rows of `rejects` under the same number, so a batch that is replayed after a failure replaces both. Records arrive after all earlier
+    batches', in order of their files' modification, name and path. Good and bad files alike are archived where the
+    stream says so. Without `every` the stream reads what is there and ends.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, at = batch.sparkSession, f"{work.rstrip('/')}/{number}"
+        batch.select("path", "modificationTime").write.mode("overwrite").parquet(f"{at}/files")
+        decode(batch).write.mode("overwrite").parquet(f"{at}/read")
+        read = spark.read.parquet(f"{at}/read")
+        files_ = spark.read.parquet(f"{at}/files").select("modificationTime", file_name(F.col("path")).alias("name"), "path")
+        store.persist(in_order(read.where("error is null"), files_, at, store.next_seq(number)), number)
+        read.where("error is not null").select("path", "error").write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch={number}")
+
+    out = content.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
