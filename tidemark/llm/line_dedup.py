@@ -66,9 +66,11 @@ def line_dedup(
     """
     key = {"_ld_id": F.col(id_col), "_ld_digest": F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))}
     place = F.struct(F.col("_ld_id").isNull().alias("none"), F.col("_ld_id").alias("id"), "no", F.col("_ld_digest").alias("digest"))
+    # The digest is a column before the text is split: beside the explosion it would be taken of the text for each line.
     lines = (
         docs.select(*[c.alias(n) for n, c in key.items()], F.coalesce(F.concat(F.lit("s"), F.col(site_col)), F.lit("n")).alias("site"),
-                    F.posexplode(split_lines(F.col(text_col))).alias("no", "line"))
+                    split_lines(F.col(text_col)).alias("lines"))
+        .select("_ld_id", "_ld_digest", "site", F.posexplode("lines").alias("no", "line"))
         .select("_ld_id", "_ld_digest", "site", "no", line_name(F.col("line")).alias("name"))
         .where("name is not null")
     )
@@ -89,9 +91,12 @@ def line_dedup(
         "left",
     )
     all_lines = split_lines(F.col(text_col))
-    stays = F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("_ld_goes"), i))
+    # The numbers that stay, by one pass over both arrays, then their lines: time in proportion to the lines. The lines are bound
+    # to a name, as an expression would be split anew for each number.
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_ld_goes"))
+    stays = F.transform(F.array(all_lines), lambda lines: F.array_join(F.transform(numbers, lambda i: lines[i]), "\n"))[0]
     gone = F.coalesce(F.size("_ld_goes"), F.lit(0))
-    new = F.when(F.col("_ld_goes").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    new = F.when(F.col("_ld_goes").isNull(), F.col(text_col)).otherwise(stays)
     return out.select(
         *[new.alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"),
