@@ -6,19 +6,20 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, line_dedup, mixing, near_dedup, toxicity
 from tidemark.llm.queries import tokenizer
-from tidemark.llm.shared import stage
+from tidemark.llm.shared import SPACE, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold. The model learns from the labels of the
-    documents at hand. A document is scored by its own row; null ids pass the join by null-safe equality."""
+    documents at hand. A document is scored by its own row, repeated ones and those without an id too; an empty table
+    gives an empty result."""
     model = toxicity.train_folds(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
@@ -35,27 +36,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near copies, that of the smallest id; rows without an id come last.
 
     Rows are told apart by id and text, so those without an id are compared too, and of rows that
-    repeat both one stays. Rows with neither an id nor words are copies of nothing and stay.
+    repeat both one stays (the first by lang, source and n_chars), found by an aggregation that begins within tasks. Rows with neither an
+    id nor words are copies of nothing and stay. An empty table gives an empty result.
     """
+    copies = F.col("doc_id").isNotNull() | F.coalesce("text", F.lit("")).rlike(f"[^{SPACE}]")
     row = F.struct(
         F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"),
         F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"),
     )
-    docs = docs.withColumn("row", row)
-    kept = near_dedup.near_dedup(docs, id_col="row").where("kept").groupBy("row").agg(F.max("n_shingles").alias("n"))
-    first = F.row_number().over(Window.partitionBy("row").orderBy("lang", "source", "n_chars"))
-    out = docs.join(kept, "row").withColumn("first", first == 1)
-    return out.where(F.col("first") | (F.col("row.none") & (F.col("n") == 0))).select(*COLUMNS)
+    rows = docs.where(copies).withColumn("row", row)
+    kept = near_dedup.near_dedup(rows, id_col="row").where("kept").select("row")
+    # Each row's one stands for its repeats before it meets what stays, so no key has more than a row a task.
+    first = rows.groupBy("row").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("first"))
+    out = first.join(kept, "row", "left_semi").select("first.*").select(*COLUMNS)
+    return out.unionByName(docs.where(~copies).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as its source's target asks."""
+    """The mix: each document as often as its source's target asks. Repeated rows are taken each for itself; an
+    empty table gives an empty mix."""
     mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"))
     return mixing.emit(mixed).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, and digests of ids and decoded text."""
+    """The token ids of every text, and digests of ids and decoded text: a row for each row, repeats included."""
     out = bpe.encode_decode(docs, tokenizer("word_bpe_49k.json"), keep=("source",), digests=True)
     return out.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
