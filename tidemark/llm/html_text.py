@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 
 from .shared import map_texts
 
-#: Lines in a sliding window; the weight in a window that makes a surge, and the one below which it
-#: dives.
-WINDOW, SURGE, DIVE = 3, 86, 1
-#: How many times its characters a line in <article> or <main> weighs: what the page names as its
-#: text surges however short it is. The characters beside the links that a line of mostly links needs
-#: to weigh anything.
-ARTICLE, BESIDE = SURGE, 20
+#: Lines in a sliding window; the weight in a window that makes a surge, on a page whose heaviest window holds at least SHARE times
+#: that, and the one below which it dives.
+WINDOW, SURGE, SHARE, DIVE = 3, 86, 4, 1
+#: The characters beside the links that a line of mostly links needs to weigh anything.
+BESIDE = 20
 
 # HTML element names by what they are.
 BLOCKS = frozenset(
@@ -45,6 +43,11 @@ MARKS = re.compile(
     re.I,
 )
 
+#: Words that a class within the article may have beside such a word; with any other ("related-work", "share-prices") it is the article's own.
+BESIDES = frozenset("area article articles bar block body box button buttons container content icon icons inner item items link links list post posts section slot stories thread unit wrapper".split())
+#: What a discussion, a response or a legal note is within the article: a part of it.
+OWN = frozenset("discussion responses legal main page site top header".split())
+
 OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>", re.S)
 TAG = r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>%s)>"
 QUOTED = re.compile(TAG % r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
@@ -59,9 +62,16 @@ CLOSES = {
 }
 
 
+def _added(token: str) -> bool:
+    """Whether a class within the article names something that was added to it: each of its words does, or names a box."""
+    words = [w for w in re.split(r"[-_]+", token.lower()) if w and not w.isdigit()]
+    marked = [w for w in words if w not in BESIDES]
+    return bool(marked) and all(w not in OWN and MARKS.fullmatch(w) for w in marked)
+
+
 def _marked(name: str, attrs: str, inside: bool) -> bool:
     """Whether an element is boilerplate by its name or attributes. inside: within the article,
-    where a header is the article's own."""
+    where a header is the article's own, ids say nothing and a class must name an addition as a whole. Of an inline element only what hides it counts."""
     if name in BOILER or (name == "header" and not inside):
         return True
     for m in ATTR.finditer(attrs):
@@ -71,9 +81,12 @@ def _marked(name: str, attrs: str, inside: bool) -> bool:
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif key == "aria-hidden" or name in ("html", "body", "article", "main"):
+        elif key == "aria-hidden" or name in ("html", "body", "article", "main") or name not in BLOCKS:
             continue
-        elif (name in OUTER or not inside) and not (key == "id" and name in HEADINGS) and MARKS.search(value):
+        elif inside:
+            if key != "id" and (name in OUTER or name in HEADINGS) and any(map(_added, value.split())):
+                return True
+        elif not (key == "id" and name in HEADINGS) and MARKS.search(value):
             return True
     return False
 
@@ -136,25 +149,25 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]
     holder); and the holder of each holder. Holders are numbered as they open; 0 is the page."""
     out: list[tuple[str, int, bool, bool, int]] = []
     up = [0]
-    buf: list[str] = []
+    buf: list[tuple[str, bool, bool]] = []  # text, boilerplate, in a link
     stack: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, article, holder
-    linked = anchors = 0
+    anchors = 0
 
     def flush() -> None:
-        nonlocal linked
-        text = SPACES.sub(" ", html.unescape("".join(buf))).strip()
+        """End a line. Text that an element within it marks is no part of it; a line of nothing else is boilerplate itself."""
+        runs = [r for r in buf if not r[1]] if any(t.strip() and not b for t, b, _ in buf) else buf
+        text = SPACES.sub(" ", html.unescape("".join([t for t, _, _ in runs]))).strip()
         if text:
-            out.append((text, min(linked, len(text)), *(stack[-1][1:] if stack else (False, False, 0))))
+            linked = sum(len(t) for t, _, a in runs if a)
+            out.append((text, min(linked, len(text)), any(b for _, b, _ in runs), *(stack[-1][2:] if stack else (False, 0))))
         buf.clear()
-        linked = 0
 
     at, end, markup, open_ = 0, len(page), Markup(page), Counter()
     while at < end:
         m = markup.next(at)
         text = page[at : m.start() if m else end]
         if text:
-            buf.append(text)
-            linked += len(text) if anchors else 0
+            buf.append((text, bool(stack and stack[-1][1]), anchors > 0))
         if not m:
             break
         at, name = m.end(), _name(m)
@@ -212,38 +225,39 @@ def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE, dive
     return found
 
 
-def weight(text: str, linked: int, boiler: bool, inside: bool) -> int:
-    """What a line adds to the distribution: its characters, more in an article; those beside the
+def weight(text: str, linked: int, boiler: bool) -> int:
+    """What a line adds to the distribution: its characters; those beside the
     links if it is mostly links, unless they are few; nothing for boilerplate."""
     if boiler:
         return 0
-    if inside:
-        return len(text) * ARTICLE
     beside = len(text) - linked
     return len(text) if beside >= linked else beside if beside >= BESIDE else 0
 
 
+def surge_of(weights: list[int], window: int = WINDOW) -> int:
+    """The weight of a window that surges, from the page's own: SURGE, or a SHARE-th of the heaviest window where that is less."""
+    heaviest = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
+    return max(1, min(SURGE, -(-heaviest // SHARE)))
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, a block a line; empty if there is none."""
     found, up = lines(page or "")
-    weights = [weight(*line[:4]) for line in found]
-    # No stretch crosses the edge of an article.
-    parts, at = [], 0
+    weights = [weight(*line[:3]) for line in found]
+    # The edge of an article is a dive: what stands beside it has to surge by itself.
+    surge, parts, at = surge_of(weights), [], 0
     for _, run in groupby(line[3] for line in found):
         n = len(list(run))
-        parts += [(at + a, at + b, surges) for a, b, surges in stretches(weights[at : at + n])]
+        parts += [(at + a, at + b, surges) for a, b, surges in stretches(weights[at : at + n], surge=surge)]
         at += n
-    if any(surges for _, _, surges in parts):
-        spans = _spans([[found[i][4] for i in range(a, b) if weights[i]] for a, b, surges in parts if surges], up)
-        parts = [
-            (a, b, surges) for a, b, surges in parts
-            if surges or any(_within(found[i][4], spans) for i in range(a, b) if weights[i])
-        ]
+    # Weaker stretches stay where the page says that they are its text: in the element around a surge, or in an article.
+    spans = _spans([[found[i][4] for i in range(a, b) if weights[i]] for a, b, surges in parts if surges], up)
     out = []
-    for a, b, _ in parts:
+    for a, b, surges in parts:
         some = [i for i in range(a, b) if weights[i]]
-        # Lines of links between others of the text are part of it.
-        out += [found[i][0] for i in range(some[0], some[-1] + 1) if not found[i][2]]
+        if surges or any(found[i][3] or _within(found[i][4], spans) for i in some):
+            # Lines of links between others of the text are part of it.
+            out += [found[i][0] for i in range(some[0], some[-1] + 1) if not found[i][2]]
     return "\n".join(out)
 
 
@@ -280,12 +294,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     """Per row of pages: id, the columns of `keep`, text, n_chars (code points).
 
     Markup is stripped into lines (block elements end a line, character references are decoded,
-    white space within a line becomes one space). Lines of menus, headers, footers, sidebars,
+    white space within a line becomes one space; hidden text and controls within a line are no part of it). A line weighs its characters; lines of menus, headers, footers, sidebars,
     notices, adverts, forms and comments weigh nothing, lines of mostly links what stands beside the
-    links, lines in an article SURGE times their length; weights are summed over sliding windows of
-    lines on every page, and the text around each surge is kept up to the dives, lines of links within
-    it too. Weaker text is kept in the element that holds a surging stretch and on a page without
-    any surge, whatever the length of the rest.
+    links. Weights are summed over sliding windows of lines on every page, and the text around each surge, which is measured by the page's own windows, is kept from
+    where they rise to where they dive, lines of links within it too. Between dives, weaker text is kept in the element that holds a surging
+    stretch and in an article, whatever the length of the rest.
     A null or empty page, or one without text, gives an empty text. Whole pages are read; repeated
     rows give equal results.
     """
