@@ -214,4 +214,44 @@ ORACLE_SQL: dict[str, str] = {
                     ELSE array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(goes, i - 1)], chr(10)) END AS text
         FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.digest = g.digest
     """,
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE t AS (
+            SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                                lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS crc),
+        r AS (
+            SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{5,}}')) AS run FROM documents),
+        o AS (
+            SELECT doc_id, translate(run, '{_UPPER}', '{_UPPER.lower()}') AS run, count(*) AS times FROM r GROUP BY 1, 2),
+        h AS (
+            SELECT run, times, xor(list_reduce(list_prepend(4294967295,
+                       [('0x' || b)::BIGINT FOR b IN regexp_extract_all(hex(encode(doc_id || ':' || run)), '..')]),
+                       lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h
+            FROM o, t),
+        w AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times
+            FROM h),
+        v AS MATERIALIZED (
+            SELECT word, sum(times)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+        i AS (
+            SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+        holes AS MATERIALIZED (
+            SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole,
+                   substr(word, 1, i - 1) || substr(word, i + 1) AS less
+            FROM i),
+        near AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+            UNION SELECT a.word, v.word, v.n FROM holes a JOIN v ON a.less = v.word
+            UNION SELECT v.word, a.word, a.n FROM holes a JOIN v ON a.less = v.word),
+        best AS (
+            SELECT word, count(*) AS n_near, min({{'least': -near_n, 'near': near}}) AS best FROM near GROUP BY word),
+        formed AS MATERIALIZED (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN -best.least >= 2 * n THEN best.near END AS form, CASE WHEN -best.least >= 2 * n THEN -best.least END AS form_n
+            FROM v LEFT JOIN best ON v.word = best.word),
+        walk AS (
+            SELECT word, word AS here, form AS next FROM formed
+            UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON walk.next = formed.word)
+        SELECT word, form, here AS root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
+        FROM formed JOIN walk USING (word) WHERE walk.next IS NULL
+    """,
 }
