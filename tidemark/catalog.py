@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -80,9 +81,11 @@ def event_tiers(spark: SparkSession, sf_dir: str, entities: list[str] | None = N
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share."""
+    """A new folder below the one that driver and executors share; on one machine a temporary one, where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
