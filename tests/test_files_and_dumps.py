@@ -150,3 +150,14 @@ def test_a_hundred_thousand_entities(spark):
     assert rows(verbs.ranges(built, table, a, b, supported=(Period.DAILY, Period.YEARLY)), "entity_id", "value") == rows(got, "entity_id", "value")
     dense = verbs.series(built, table, Period.DAILY, a, b, supported=(Period.DAILY, Period.YEARLY))
     assert dense.count() == 100_000 and dense.where("value is not null").count() == 50
+
+
+def test_the_form_of_messages_is_a_setting(spark):
+    f = spark.createDataFrame([("e", T, "m", "aggregate", 5, 1), ("e", T, "l", "absolute", -3, 1)], FACT)
+    cols = ["entity_id", "ts", "name", "record_type", "value"]
+    for name in ("json", "JSON ", "protobuf"):
+        form = messages.form(name)
+        assert rows(form.read(form.write(f)), *cols) == rows(f, *cols)
+        assert form.bag(verbs.range_(tiers.build(f), "e", T, T)).count() == 1
+    with pytest.raises(ValueError, match="no form of messages named xml; there are json, protobuf"):
+        messages.form("xml")

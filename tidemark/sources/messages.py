@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -225,3 +227,23 @@ def bag_from_protobuf(bodies: DataFrame) -> DataFrame:
 
     rows = bodies.mapInPandas(run, "name string, record_type string, value string")
     return rows.select("name", "record_type", F.col("value").cast("decimal(38,0)").alias("value"))
+
+
+@dataclass(frozen=True)
+class Form:
+    """A form of messages: what writes facts as messages, reads them back, and renders a bag."""
+
+    write: Callable[[DataFrame], DataFrame]
+    read: Callable[[DataFrame], DataFrame]
+    bag: Callable[[DataFrame], DataFrame]
+
+
+FORMS = {"json": Form(to_json, from_json, bag_json), "protobuf": Form(to_protobuf, from_protobuf, bag_protobuf)}
+
+
+def form(name: str) -> Form:
+    """The form of a name as a setting has it, in any case. One that there is not is an error."""
+    try:
+        return FORMS[name.strip().lower()]
+    except KeyError:
+        raise ValueError(f"no form of messages named {name}; there are {', '.join(sorted(FORMS))}") from None
