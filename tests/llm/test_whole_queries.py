@@ -109,3 +109,36 @@ def test_too_many_languages_are_an_error(spark, monkeypatch):
 def test_a_count_above_255_is_learnt_as_it_is_scored():
     got, n = toxicity._counts(" ".join("abc" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(400)))
     assert n[got.tolist().index(bucket("<ab", toxicity.BUCKETS))] == 400
+
+
+def test_every_document_finds_its_near_copies(spark):
+    import re
+
+    sets = {}
+    for i, t in texts(LARGER).items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    holds: dict[tuple, list[int]] = {}
+    for i, s in sets.items():
+        for shingle in s:
+            holds.setdefault(shingle, []).append(i)
+    common: dict[tuple[int, int], int] = {}
+    for ids in holds.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    want = {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
+    rows = QUERIES["op1_near_dedup"](spark, LARGER).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows} == want
+    assert sum(not r.kept for r in rows) > 20
