@@ -161,3 +161,16 @@ def test_the_form_of_messages_is_a_setting(spark):
         assert form.bag(verbs.range_(tiers.build(f), "e", T, T)).count() == 1
     with pytest.raises(ValueError, match="no form of messages named xml; there are json, protobuf"):
         messages.form("xml")
+
+
+def test_reads_share_a_store_until_the_events_change(spark, tmp_path):
+    from tidemark import catalog
+
+    sf = f"file://{tmp_path}/sf"
+    events = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    seen = []
+    for n in (1, 3):
+        spark.createDataFrame([(i, T, 7, "click", 1.0) for i in range(n)], events).coalesce(1).write.mode("overwrite").parquet(f"{sf}/events.parquet")
+        for _ in range(2):
+            seen.append(catalog.event_tiers(spark, sf, ["user-7"]).where("period = 'yearly' and name = 'click'").first().value)
+    assert seen == [1, 1, 3, 3]

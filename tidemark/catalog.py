@@ -66,13 +66,20 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.from_events(events(spark, sf_dir))
 
 
-#: (application, sf_dir) -> the store that its reads share.
-_STORES: dict[tuple[str, str], tiers.Store] = {}
+#: (application, sf_dir, its files) -> the store that its reads share.
+_STORES: dict[tuple, tiers.Store] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """The files at a path with their lengths and times: another one where they have changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def event_tiers(spark: SparkSession, sf_dir: str, entities: list[str] | None = None) -> DataFrame:
     """The tiers of the events, read from a store that a session writes once; with entities, from the files that may hold them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, f"{sf_dir}/events.parquet"))
     if key not in _STORES:
         store = tiers.Store(spark, scratch(spark, "event-tiers"))
         store.persist(event_facts(spark, sf_dir), index=True)
