@@ -31,10 +31,10 @@ class Feed:
             rows.append((entity, ts, name, kind, value, self.seq))
         self.spark.createDataFrame(rows, FACT).coalesce(1).write.mode("append").parquet(f"file://{self.path}/in")
 
-    def start(self, hold_ms=3_600_000):
+    def start(self, hold_ms=3_600_000, groups=4):
         stream = self.spark.readStream.schema(FACT).option("maxFilesPerTrigger", 1).parquet(f"file://{self.path}/in")
         sink = lambda batch, number: self.out.extend(tuple(r) for r in batch.collect())
-        return ingest.ingest(stream, self.store, f"file://{self.path}/progress", available_now=False, every="50 milliseconds", hold_ms=hold_ms, sinks=[sink])
+        return ingest.ingest(stream, self.store, f"file://{self.path}/progress", available_now=False, every="50 milliseconds", hold_ms=hold_ms, groups=groups, sinks=[sink])
 
     def sums(self):
         return {(r.entity_id, r.name): r.value for r in self.store.read().where("period = 'yearly'").collect()}
@@ -46,7 +46,7 @@ def feed(spark, tmp_path):
 
 
 def test_a_slice_over_three_batches_is_one_row_and_late_rows_pass(feed):
-    q = feed.start()
+    q = feed.start(groups=1)
     feed.put(("one", at(1), "m", "aggregate", 1), ("one", at(2), "l", "absolute", 10))
     feed.put(("one", at(50), "m", "aggregate", 2), ("one", at(60), "l", "absolute", 20))
     feed.put(("one", at(119), "m", "aggregate", 4), ("one", at(3), "l", "absolute", 30), ("two", at(5), "m", "aggregate", 100))
@@ -55,14 +55,13 @@ def test_a_slice_over_three_batches_is_one_row_and_late_rows_pass(feed):
     feed.put(("one", at(-500), "m", "aggregate", 8), ("one", at(-501), "m", "aggregate", 16))  # from the past: each for itself
     held.settle(q)
     assert sorted((r[1], r[4]) for r in feed.out) == [(at(-501), 16), (at(-500), 8)]
-    feed.put(("one", at(120), "m", "aggregate", 32), ("one", at(120), "l", "absolute", 40))  # a newer slice
+    feed.put(("one", at(120), "m", "aggregate", 32))  # a newer slice of one advances it for everybody
     held.settle(q)
-    assert sorted((r[1], r[2], r[4]) for r in feed.out[2:]) == [(T, "l", 30), (T, "m", 7)]
+    assert sorted((r[0], r[1], r[2], r[4]) for r in feed.out[2:]) == [("one", T, "l", 30), ("one", T, "m", 7), ("two", T, "m", 100)]
     q.stop()
-    before = feed.sums()
-    assert before == {("one", "m"): 31, ("one", "l"): 30}
+    assert feed.sums() == {("one", "m"): 31, ("one", "l"): 30, ("two", "m"): 100}
     # A restart goes on from the checkpoint with what was held.
-    q = feed.start()
+    q = feed.start(groups=1)
     feed.put(("one", at(130), "m", "aggregate", 64), ("two", at(300), "m", "aggregate", 200), ("one", at(300), "m", "aggregate", 1000))
     held.settle(q)
     q.stop()
@@ -70,6 +69,15 @@ def test_a_slice_over_three_batches_is_one_row_and_late_rows_pass(feed):
     assert (T + timedelta(seconds=120), 96) in [(r[1], r[4]) for r in feed.out]
 
 
+def test_groups_keep_slices_of_their_own(feed):
+    q = feed.start(hold_ms=1_500, groups=1_000)
+    feed.put(*[(f"e{i}", at(1), "m", "aggregate", i) for i in range(20)])
+    feed.put(("e1", at(500), "m", "aggregate", 100))
+    held.drain(q)
+    assert sorted(r[4] for r in feed.out) == [*range(20), 100]
+    assert feed.sums() == {(f"e{i}", "m"): i + (100 if i == 1 else 0) for i in range(20)}
+
+
 def test_the_clock_ends_a_slice(feed):
     q = feed.start(hold_ms=500)
     feed.put(("one", at(1), "m", "aggregate", 1), ("one", at(4), "m", "aggregate", None), ("two", at(2), "l", "absolute", 5))

@@ -849,7 +849,7 @@ def _stream_held(spark, sf_dir):
         part.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
     progress = scratch(spark, "progress")
-    held.drain(ingest.ingest(stream, store, progress, facts.from_events, available_now=False, every="100 milliseconds", hold_ms=2_000))
+    held.drain(ingest.ingest(stream, store, progress, facts.from_events, available_now=False, every="100 milliseconds", hold_ms=2_000, groups=32))
     return store.read()
 
 

@@ -15,16 +15,18 @@ from ..functions.periods import SLICE_MS, from_millis, millis, slice_floor
 from ..operators.facts import AGGREGATE
 
 KEY = ["entity_id", "name", "record_type"]
+COLUMNS = [*KEY, "ms", "value", "seq"]
+#: Groups of metrics that share a slice.
+GROUPS = 256
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Slice(StatefulProcessor):
-    """One metric's slice: its start, sum or last value, latest arrival, and when the clock ends it.
+    """The slice that a group of metrics is in: its start, when the clock ends it, and each metric's sum or last value in it.
 
-    A row of an older slice than the one held passes straight through with its own time; one of a newer slice
-    sends off what is held, stamped with its slice's start, and is held itself. What no newer slice ends is sent off
-    `hold_ms` after it was begun.
+    A row of an older slice than the group's passes straight through with its own time. One of a newer slice advances the slice for the whole
+    group: all that is held is sent off, stamped with its slice's start. What no newer slice ends is sent off `hold_ms` after it was begun.
     """
 
     def __init__(self, hold_ms: int):
@@ -32,60 +34,69 @@ class Slice(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("slice", "slice bigint, value bigint, seq bigint, due bigint")
-
-    def _rows(self, key, found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=["ms", "value", "seq"]).astype("int64")
-        for name, k in zip(reversed(KEY), reversed(key), strict=True):
-            out.insert(0, name, pd.Series([k] * len(out), dtype=object))
-        return out
+        self.now = handle.getValueState("slice", "slice bigint, due bigint")
+        self.metrics = handle.getMapState("metrics", "entity_id string, name string, record_type string", "value bigint, seq bigint")
+
+    def _sent(self, start: int) -> pd.DataFrame:
+        """What is held, as rows of the slice that began at start; nothing is held then."""
+        rows = [(*key, start, *held) for key, held in self.metrics.iterator()]
+        self.metrics.clear()
+        return _frame(rows)
+
+    def _merge(self, rows: pd.DataFrame) -> None:
+        for key, group in rows.groupby(KEY, sort=False, dropna=False):
+            top = group.loc[group["seq"].idxmax()]
+            value, seq = sum(group["value"].tolist()) if key[2] == AGGREGATE else int(top["value"]), int(top["seq"])
+            if self.metrics.containsKey(key):
+                before, last = self.metrics.getValue(key)
+                value = before + value if key[2] == AGGREGATE else value if seq > last else before
+                seq = max(seq, last)
+            self.metrics.updateValue(key, (value, seq))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, out = timerValues.getCurrentProcessingTimeInMs(), []
-        held = self.state.get() if self.state.exists() else None
+        current, due = self.now.get() if self.now.exists() else (None, None)
         for batch in rows:
-            if held is not None:
-                late = batch[batch["slice"] < held[0]]
-                yield self._rows(key, list(late[["ms", "value", "seq"]].itertuples(index=False, name=None)))
-                batch = batch[batch["slice"] >= held[0]]
+            if current is not None:
+                late = batch[batch["slice"] < current]
+                yield _frame(list(late[COLUMNS].itertuples(index=False, name=None)))
+                batch = batch[batch["slice"] >= current]
             for start, group in batch.groupby("slice", sort=True):
-                top = group.loc[group["seq"].idxmax()]
-                value, seq = sum(group["value"].tolist()) if key[2] == AGGREGATE else int(top["value"]), int(top["seq"])
-                if held is not None and held[0] == start:
-                    merged = held[1] + value if key[2] == AGGREGATE else value if seq > held[2] else held[1]
-                    held = (held[0], merged, max(seq, held[2]), held[3])
-                    continue
-                if held is not None:
-                    out.append(held[:3])
-                    self.handle.deleteTimer(held[3])
-                held = (int(start), value, seq, now + self.hold_ms)
-                self.handle.registerTimer(held[3])
-        if held is not None:
-            self.state.update(tuple(held))
-        yield self._rows(key, out)
+                if start != current:
+                    if current is not None:
+                        yield self._sent(current)
+                        self.handle.deleteTimer(due)
+                    current, due = int(start), timerValues.getCurrentProcessingTimeInMs() + self.hold_ms
+                    self.handle.registerTimer(due)
+                self._merge(group)
+        if current is not None:
+            self.now.update((current, due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            held = self.state.get()
-            self.state.clear()
-            yield self._rows(key, [tuple(held)[:3]])
+        if self.now.exists():
+            yield self._sent(self.now.get()[0])
+            self.now.clear()
 
     def close(self) -> None:
         pass
 
 
-def held(facts: DataFrame, width: int = SLICE_MS, hold_ms: int = SLICE_MS) -> DataFrame:
-    """A stream of facts, those of a metric's current slice merged over micro-batches into one.
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS).astype(dict.fromkeys(COLUMNS[3:], "int64") | dict.fromkeys(KEY, object))
+
 
-    Nothing is dropped: what comes late is a fact of its own. State is a row for each metric that is in a slice now, keyed by
-    entity, name and type, so that the metrics of a busy entity spread over tasks; it is part of the stream's checkpoint, from which a
-    restart goes on. Null values are left out, as they are when stored.
+def held(facts: DataFrame, width: int = SLICE_MS, hold_ms: int = SLICE_MS, groups: int = GROUPS) -> DataFrame:
+    """A stream of facts, those of the current slice merged over micro-batches into one a metric.
+
+    Metrics are dealt to groups by a hash of entity, name and type, so that the metrics of a busy entity spread over tasks; a group's
+    slice advances for all of it, and with one group for everybody. Nothing is dropped: what comes late is a fact of its own. State is a row for
+    each metric that has facts in its group's slice; it is part of the stream's checkpoint, from which a restart goes on. The number of groups
+    belongs to the checkpoint too. Null values are left out, as they are when stored.
     """
-    ms = millis(F.col("ts"))
     rows = facts.where(F.col("value").isNotNull()).select(
-        *KEY, millis(slice_floor(F.col("ts"), width)).alias("slice"), ms.alias("ms"), "value", F.col("arrival_seq").alias("seq")
-    )
-    merged = rows.groupBy(*KEY).transformWithStateInPandas(
+        F.pmod(F.xxhash64(*KEY), F.lit(groups)).alias("group"), *KEY, millis(slice_floor(F.col("ts"), width)).alias("slice"),
+        millis(F.col("ts")).alias("ms"), "value", F.col("arrival_seq").alias("seq"),
+    )
+    merged = rows.groupBy("group").transformWithStateInPandas(
         statefulProcessor=Slice(hold_ms), outputStructType="entity_id string, name string, record_type string, ms bigint, value bigint, seq bigint",
         outputMode="append", timeMode="ProcessingTime",
     )

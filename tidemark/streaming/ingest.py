@@ -16,7 +16,7 @@ from ..functions.periods import SLICE_MS, slice_floor
 from ..operators.combine import last, total
 from ..operators.facts import AGGREGATE
 from ..operators.tiers import Store
-from .held import held, state_store
+from .held import GROUPS, held, state_store
 
 
 def buffered(facts: DataFrame, width: int = SLICE_MS) -> DataFrame:
@@ -32,15 +32,15 @@ def buffered(facts: DataFrame, width: int = SLICE_MS) -> DataFrame:
 def ingest(
     stream: DataFrame, store: Store, checkpoint: str, to_facts: Callable[[DataFrame], DataFrame] = lambda d: d,
     buffer: bool = False, available_now: bool = True, every: str = "1 second", discard: bool = False,
-    sinks: Sequence[Callable[[DataFrame, int], None]] = (), compact_every: int = 0, hold_ms: int | None = None,
+    sinks: Sequence[Callable[[DataFrame, int], None]] = (), compact_every: int = 0, hold_ms: int | None = None, groups: int = GROUPS,
 ) -> StreamingQuery:
     """Start writing a stream into the store. A micro-batch that is replayed after a failure replaces
     what it wrote before. `buffer` merges by slice first; `discard` reads on and writes nothing.
     Each of `sinks` gets the same facts and the batch's number; a sink that fails fails the batch, which is
     then replayed to all. With `compact_every` the store's levels are compacted after each so many batches. With `hold_ms` the
-    slice that a metric is in is held over micro-batches, so long at most; that takes a stream which runs on."""
+    slice that a group of metrics is in is held over micro-batches (`held`), so long at most; that takes a stream which runs on."""
     if hold_ms is not None:
-        stream, to_facts = held(to_facts(stream), hold_ms=hold_ms), lambda d: d
+        stream, to_facts = held(to_facts(stream), hold_ms=hold_ms, groups=groups), lambda d: d
 
     once = bool(sinks) or hold_ms is not None  # whether a batch is used more than once
 
