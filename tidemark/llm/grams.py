@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -71,7 +72,26 @@ def text_grams(texts: list[str | None], buckets: int) -> np.ndarray:
     return np.bincount(key, minlength=len(low) * buckets).reshape(len(low), buckets)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int, rate: float, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+class Counts:
+    """Rows of small counts, kept as columns and counts (uint16 each, as bytes a row) and made dense a slice at a time."""
+
+    def __init__(self, cols: Sequence[bytes], counts: Sequence[bytes], width: int):
+        self.shape = (len(cols), width)
+        self.at = np.concatenate(([0], np.cumsum([len(c) // 2 for c in cols], dtype=np.int64)))
+        self.cols, self.counts = np.frombuffer(b"".join(cols), np.uint16), np.frombuffer(b"".join(counts), np.uint16)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        sizes = self.at[rows + 1] - self.at[rows]
+        take = np.repeat(self.at[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out = np.zeros((len(rows), self.shape[1]), np.float32)
+        out[np.repeat(np.arange(len(rows)), sizes), self.cols[take]] = self.counts[take]
+        return out
+
+
+def fit_logistic(x: np.ndarray | Counts, y: np.ndarray, l2: float, rounds: int, rate: float, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features, outputs) and biases by Adam on the mean log-loss, in slices of 1024 rows.
 
     x may hold small counts; `scale` multiplies its columns slice by slice.
@@ -83,7 +103,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int, rate: flo
     order = np.random.default_rng(5)
     for _ in range(rounds):
         for part in np.array_split(order.permutation(len(x)), max(1, len(x) // 1024)):
-            a = x[part].astype(np.float32)
+            a = x[part].astype(np.float32, copy=False)
             if scale is not None:
                 a *= scale
             p = 1 / (1 + np.exp(-np.clip(a @ w[:-1] + w[-1], -30, 30)))

@@ -7,10 +7,11 @@ from math import exp, fsum
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grams import fit_logistic, word_grams, words
+from .grams import Counts, fit_logistic, word_grams, words
 from .shared import filter_texts, map_texts, stage
 
 #: Labelled rows that are fitted on at most; the rows of least id hash are taken.
@@ -89,10 +90,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows: in
     best = np.lexsort((seen["bucket"].to_numpy(), -gain))[:FEATURES]
     buckets, ratio = seen["bucket"].to_numpy()[best], ratio[best].astype(np.float32)
     rows = sample.mapInPandas(_features(buckets), "label int, cols binary, vals binary").toPandas()
-    x = np.zeros((len(rows), len(buckets)), np.uint16)
-    for i, (c, v) in enumerate(zip(rows["cols"], rows["vals"], strict=True)):
-        x[i, np.frombuffer(c, np.uint16)] = np.frombuffer(v, np.uint16)
-    w, b = fit_logistic(x, rows["label"].to_numpy(), l2=1e-4, rounds=40, rate=0.01, scale=ratio)
+    x, y = Counts(rows["cols"], rows["vals"], len(buckets)), rows["label"].to_numpy(copy=True)
+    # The driver keeps what it fits on, and not also what it came in.
+    del rows, seen
+    pa.default_memory_pool().release_unused()
+    w, b = fit_logistic(x, y, l2=1e-4, rounds=40, rate=0.01, scale=ratio)
     return {int(g): float(k) for g, k in zip(buckets, w[:, 0] * ratio, strict=True) if k}, float(b[0])
 
 
