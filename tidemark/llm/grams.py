@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,13 +73,25 @@ def text_grams(texts: list[str | None], buckets: int) -> np.ndarray:
     return np.bincount(key, minlength=len(low) * buckets).reshape(len(low), buckets)
 
 
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The uint16 numbers of a binary column, one row after the other, and how many each row has, chunk by chunk."""
+    data, sizes = [np.empty(0, np.uint16)], []
+    for c in column.cast(pa.large_binary()).chunks:
+        ends = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+        raw = np.frombuffer(c.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        data.append(raw.copy().view(np.uint16))
+        sizes.append(np.diff(ends) // 2)
+    return np.concatenate(data), sizes
+
+
 class Counts:
-    """Rows of small counts, kept as columns and counts (uint16 each, as bytes a row) and made dense a slice at a time."""
+    """Rows of small counts, kept as columns and counts (binary columns of uint16) and made dense a slice at a time."""
 
-    def __init__(self, cols: Sequence[bytes], counts: Sequence[bytes], width: int):
+    def __init__(self, cols: pa.ChunkedArray, counts: pa.ChunkedArray, width: int):
         self.shape = (len(cols), width)
-        self.at = np.concatenate(([0], np.cumsum([len(c) // 2 for c in cols], dtype=np.int64)))
-        self.cols, self.counts = np.frombuffer(b"".join(cols), np.uint16), np.frombuffer(b"".join(counts), np.uint16)
+        self.cols, sizes = _joined(cols)
+        self.counts, _ = _joined(counts)
+        self.at = np.concatenate(([0], *sizes)).cumsum(dtype=np.int64)
 
     def __len__(self) -> int:
         return self.shape[0]

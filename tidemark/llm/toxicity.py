@@ -89,9 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows: in
     gain = term(p, one, t) + term(q, zero, t) + term(one - p, one, 1 - t) + term(zero - q, zero, 1 - t)
     best = np.lexsort((seen["bucket"].to_numpy(), -gain))[:FEATURES]
     buckets, ratio = seen["bucket"].to_numpy()[best], ratio[best].astype(np.float32)
-    rows = sample.mapInPandas(_features(buckets), "label int, cols binary, vals binary").toPandas()
-    x, y = Counts(rows["cols"], rows["vals"], len(buckets)), rows["label"].to_numpy(copy=True)
-    # The driver keeps what it fits on, and not also what it came in.
+    rows = sample.mapInPandas(_features(buckets), "label int, cols binary, vals binary").toArrow()
+    # The driver keeps what it fits on, in three arrays, and not also what it came in.
+    x, y = Counts(rows["cols"], rows["vals"], len(buckets)), rows["label"].to_numpy().copy()
     del rows, seen
     pa.default_memory_pool().release_unused()
     w, b = fit_logistic(x, y, l2=1e-4, rounds=40, rate=0.01, scale=ratio)
