@@ -37,43 +37,44 @@ class Slice(StatefulProcessor):
         self.now = handle.getValueState("slice", "slice bigint, due bigint")
         self.metrics = handle.getMapState("metrics", "entity_id string, name string, record_type string", "value bigint, seq bigint")
 
-    def _sent(self, start: int) -> pd.DataFrame:
-        """What is held, as rows of the slice that began at start; nothing is held then."""
-        rows = [(*key, start, *held) for key, held in self.metrics.iterator()]
-        self.metrics.clear()
-        return _frame(rows)
-
-    def _merge(self, rows: pd.DataFrame) -> None:
-        for key, group in rows.groupby(KEY, sort=False, dropna=False):
-            top = group.loc[group["seq"].idxmax()]
-            value, seq = sum(group["value"].tolist()) if key[2] == AGGREGATE else int(top["value"]), int(top["seq"])
-            if self.metrics.containsKey(key):
-                before, last = self.metrics.getValue(key)
-                value = before + value if key[2] == AGGREGATE else value if seq > last else before
-                seq = max(seq, last)
-            self.metrics.updateValue(key, (value, seq))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         current, due = self.now.get() if self.now.exists() else (None, None)
+        before = {tuple(k): tuple(v) for k, v in self.metrics.iterator()} if current is not None else {}
+        held, started = dict(before), current
         for batch in rows:
-            if current is not None:
-                late = batch[batch["slice"] < current]
-                yield _frame(list(late[COLUMNS].itertuples(index=False, name=None)))
-                batch = batch[batch["slice"] >= current]
-            for start, group in batch.groupby("slice", sort=True):
+            out = []
+            for entity, name, kind, start, ms, value, seq in batch.sort_values(["slice", "seq"])[[*KEY, "slice", "ms", "value", "seq"]].itertuples(index=False, name=None):
+                if current is not None and start < current:
+                    out.append((entity, name, kind, ms, value, seq))
+                    continue
                 if start != current:
-                    if current is not None:
-                        yield self._sent(current)
-                        self.handle.deleteTimer(due)
-                    current, due = int(start), timerValues.getCurrentProcessingTimeInMs() + self.hold_ms
-                    self.handle.registerTimer(due)
-                self._merge(group)
-        if current is not None:
+                    out += [(*k, current, *v) for k, v in held.items()]
+                    held, current = {}, start
+                metric = (entity, name, kind)
+                sum_, last = held.get(metric, (None, None))
+                if last is not None:
+                    value = sum_ + value if kind == AGGREGATE else value if seq > last else sum_
+                    seq = max(seq, last)
+                held[metric] = (value, seq)
+            yield _frame(out)
+        # State is read and written once a batch, for the slice that is current at its start and its end.
+        if current != started:
+            if started is not None:
+                self.metrics.clear()
+                self.handle.deleteTimer(due)
+                before = {}
+            due = timerValues.getCurrentProcessingTimeInMs() + self.hold_ms
+            self.handle.registerTimer(due)
             self.now.update((current, due))
+        for k, v in held.items():
+            if before.get(k) != v:
+                self.metrics.updateValue(k, v)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.now.exists():
-            yield self._sent(self.now.get()[0])
+            start = self.now.get()[0]
+            yield _frame([(*k, start, *v) for k, v in self.metrics.iterator()])
+            self.metrics.clear()
             self.now.clear()
 
     def close(self) -> None:
