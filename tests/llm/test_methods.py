@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,6 +67,46 @@ def test_near_copies_of_one_text(spark):
     assert {x.doc_id: x.component_id for x in near_dedup.near_dedup(df).collect()} == components_by_brute_force(texts)
 
 
+def test_links_between_blocks_of_a_bucket(spark, monkeypatch):
+    """Blocks of four rows, after one star round: a large group of near copies, and texts that share
+    passages with it without a link, or with a link to its rarest members only."""
+    monkeypatch.setattr(near_dedup, "STARS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4 * 8192)
+    r = random.Random(5)
+    base, texts = [f"w{i}" for i in range(200)], {}
+    for i in range(90):
+        words = list(base)
+        for _ in range(r.randrange(6)):
+            words[r.randrange(200)] = f"x{r.randrange(10_000)}"
+        cut = r.choice((0, 0, 20, 40, 60, 80))
+        texts[i] = " ".join(words[: 200 - cut] + [f"y{r.randrange(3)}z{j}" for j in range(cut)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    want = components_by_brute_force(texts)
+    assert len(set(want.values())) > 2
+    assert {x.doc_id: x.component_id for x in near_dedup.near_dedup(df).collect()} == want
+
+
+@pytest.mark.parametrize("largest", [3000, 0])
+def test_pairs_of_blocks_meet_each_plausible_pair_once(largest):
+    """Members outside the largest component (left >= 0) meet all others; members of it never meet."""
+    signs = np.random.default_rng(2).integers(0, 2**32, near_dedup.HASHES, dtype=np.uint32).tobytes()
+    n = largest + 40
+    rows = pd.DataFrame({
+        "bucket": 1, "node": [i.to_bytes(16, "big") for i in range(n)], "n": 100, "sig": [signs] * n, "one": 0, "two": 0, "right": 0,
+        "component": [b"big"] * largest + [bytes([i]) for i in range(40)], "left": [-1] * largest + [0] * 40,
+    })
+    limits = near_dedup.least_matches(0.75)
+    met = [(i, j) for i, others in near_dedup._partners(rows, (75, 100), limits, pd.factorize(rows["component"])[0]) for j in others]
+    assert len(met) == len({frozenset(p) for p in met}) == 40 * largest + 40 * 39 // 2
+    assert len(near_dedup._doubtful((75, 100), limits)(rows)) == n
+    # Without a stray that signatures leave plausible, no set of the largest component is fetched.
+    other = np.random.default_rng(3).integers(0, 2**32, near_dedup.HASHES, dtype=np.uint32).tobytes()
+    stray = rows.iloc[:largest].assign(left=-1)
+    stray = pd.concat([stray, rows.iloc[-1:].assign(sig=[other], left=0)])
+    assert len(near_dedup._doubtful((75, 100), limits)(stray)) == 0
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}

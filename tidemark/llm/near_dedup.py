@@ -14,7 +14,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -26,7 +26,7 @@ SIMILAR = (75, 100)
 HASHES, ROWS = 128, 4
 BATCH, MISS = 32, 1e-6
 #: Rounds in which a bucket's members are compared with one of them; rows and bytes of a block of
-#: the round that compares what is left.
+#: the rounds that compare what is left.
 STARS, BLOCK_ROWS, BLOCK_BYTES = 2, 2048, 16 << 20
 #: Words whose hashes a worker remembers.
 KNOWN_WORDS = 50_000
@@ -153,45 +153,61 @@ def _linked(similar: tuple[int, int]):
     return run
 
 
-def _across(similar: tuple[int, int], limits: list[int]):
-    """Links between components within a bucket's block, or between two blocks of it.
+def _partners(b: pd.DataFrame, similar: tuple[int, int], limits: list[int], comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a pair of blocks that lies in its first one: the rows of the second whose signatures
+    make a link to it plausible and that are not in its component, most alike first.
 
-    A document is compared with those of other components whose signatures are plausible, most
-    alike first; a link found merges two components here, so theirs are not compared again. A pair
-    is left to the first band that it shares.
+    comp may change between two rows. A pair of members that can both come first is left to one of
+    its two orders, and every pair to the first band that it shares.
     """
+    sig = np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(len(b), HASHES)
+    n, left, right = (b[c].to_numpy() for c in ("n", "left", "right"))
+    rank = np.empty(len(b), np.int64)
+    rank[sorted(range(len(b)), key=b["node"].tolist().__getitem__)] = np.arange(len(b))
+    # The band of this bucket: the first in which all its rows agree.
+    first = int((sig == sig[0]).reshape(len(b), -1, ROWS).all(2).all(0).argmax())
+    second = right == b["two"].iloc[0]
+    for i in np.flatnonzero(left == b["one"].iloc[0]):
+        others = np.flatnonzero(second & (comp != comp[i]) & ((left < 0) | (rank > rank[i])))
+        others = others[(n[others] * similar[1] >= n[i] * similar[0]) & (n[i] * similar[1] >= n[others] * similar[0])]
+        matches = np.zeros(len(others), np.int64)
+        for k, least in enumerate(limits):
+            cols = slice(k * BATCH, (k + 1) * BATCH)
+            matches += (sig[others, cols] == sig[i, cols]).sum(1)
+            keep = matches >= least
+            others, matches = others[keep], matches[keep]
+        earlier = sig[others, : first * ROWS] == sig[i, : first * ROWS]
+        keep = ~earlier.reshape(len(others), first, ROWS).all(2).any(1)
+        yield i, others[keep][np.argsort(-matches[keep], kind="stable")]
+
+
+def _doubtful(similar: tuple[int, int], limits: list[int]):
+    """The members of a pair of blocks to which signatures leave a plausible link; each comes once."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        comp, found = pd.factorize(b["component"])[0], np.zeros(len(b), bool)
+        for i, others in _partners(b, similar, limits, comp):
+            found[others] = True
+            found[i] |= len(others) > 0
+        return b.loc[found, ["bucket", "node", "n", "component"]]
+
+    return run
+
+
+def _across(similar: tuple[int, int], limits: list[int]):
+    """Links between components within a pair of a bucket's blocks. A link found merges two
+    components here, so theirs are not compared again."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        one, two = int(b["one"].iloc[0]), int(b["two"].iloc[0])
-        sig = np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(len(b), -1)
-        items = [np.frombuffer(x, np.uint64) for x in b["items"]]
-        n, part = np.array([len(x) for x in items]), b["mine"].to_numpy()
-        names = {c: i for i, c in enumerate(dict.fromkeys(b["component"]))}
-        comp = np.array([names[c] for c in b["component"]])
-        # The band of this bucket: the one in which the first two members agree that all share.
-        same = (sig == sig[0]).reshape(len(b), -1, ROWS).all(2).all(0)
-        first = int(same.argmax())
-        sizes = np.bincount(comp)
+        items, comp = [np.frombuffer(x, np.uint64) for x in b["items"]], pd.factorize(b["component"])[0]
         out = []
-        # Members of the largest component are only ever compared with the others.
-        for i in np.flatnonzero(comp != sizes.argmax()):
-            others = np.flatnonzero((comp != comp[i]) & ((part == one + two - part[i]) | (one == two)))
-            matches = np.zeros(len(others), np.int64)
-            for k, least in enumerate(limits):
-                cols = slice(k * BATCH, (k + 1) * BATCH)
-                matches += (sig[others, cols] == sig[i, cols]).sum(1)
-                keep = matches >= least
-                others, matches = others[keep], matches[keep]
-            keep = (n[others] * similar[1] >= n[i] * similar[0]) & (n[i] * similar[1] >= n[others] * similar[0])
-            earlier = sig[others, : first * ROWS] == sig[i, : first * ROWS]
-            keep &= ~earlier.reshape(len(others), first, ROWS).all(2).any(1)
-            others, matches = others[keep], matches[keep]
-            for j in others[np.argsort(-matches, kind="stable")]:
+        for i, others in _partners(b, similar, limits, comp):
+            for j in others:
                 if comp[j] == comp[i]:
                     continue
                 both = np.sort(np.concatenate((items[i], items[j])))
                 shared = int((both[1:] == both[:-1]).sum())
-                if similar[1] * shared >= similar[0] * (n[i] + n[j] - shared):
+                if similar[1] * shared >= similar[0] * (len(items[i]) + len(items[j]) - shared):
                     out.append((b["node"].iloc[i], b["node"].iloc[j]))
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(out, columns=["a", "b"])
@@ -214,8 +230,9 @@ def near_dedup(
 
     Rows of equal shingle sets are one class and only its smallest id goes on. Within a bucket of
     equal bands, members are first compared with one of them each round, not with each other.
-    Then members that still lie in different components are compared block by block within tasks,
-    so no link between different texts is lost; only links leave a task, never all pairs. Rows of one bucket,
+    Then members that still lie in different components are compared block by block within tasks: those
+    outside the bucket's largest component with all others, first by signature, and on their sets where that
+    leaves a link plausible. So no link between different texts is lost; only members and links leave a task, never all pairs. Rows of one bucket,
     component or class meet what their key has in common in parts, so none of them is one task's.
     """
     share = similar[0] / similar[1]
@@ -280,18 +297,41 @@ def near_dedup(
         new = stage(verify(stars(placed(found), i)), "links")
         links = new if links is None else links.union(new)
         found = stage(components(links), "components")
-    now = stage(placed(found), "open")
-    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("int")
-    now = join_back(now, ["bucket"], own, parts.alias("parts"))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    blocks = now.select("node", "bucket", "component", mine.alias("mine"), other.alias("other"))
-    blocks = blocks.select(
-        "node", "bucket", "component", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two")
-    )
     sigs = candidates.select(F.col("set_key").alias("node"), "sig")
-    blocks = blocks.join(sigs, "node").join(sets, "node")
-    rest = blocks.groupBy("bucket", "one", "two").applyInPandas(_across(similar, limits), "a binary, b binary")
+
+    def blocks(now: DataFrame, load: Column, *values: DataFrame) -> DataFrame:
+        """The rows of each pair of a bucket's blocks, with the values of their nodes: blocks of its members
+        outside its largest component (left, else -1) against blocks of all its members (right).
+
+        So the largest component is sent once for each block of the others, not once for each of its own.
+        load (long) is what a row adds to a block, which holds about BLOCK_BYTES.
+        """
+        groups = now.groupBy("bucket", "component").agg(F.sum(load).alias("load"))
+        whole, top = F.sum("load"), F.max(F.struct("load", "component"))
+        totals = groups.groupBy("bucket").agg(
+            top["component"].alias("largest"),
+            F.ceil((whole - top["load"]) / F.lit(BLOCK_BYTES)).cast("int").alias("lefts"),
+            F.ceil(whole / F.lit(BLOCK_BYTES)).cast("int").alias("rights"),
+        )
+        now = now.join(dealt(totals, now, "bucket"), ["bucket", "part"])
+        left = F.when(F.col("component") == F.col("largest"), -1).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.col("lefts"))).cast("int")
+        now = now.withColumn("left", left).withColumn("right", F.pmod(F.xxhash64("node"), F.col("rights")).cast("int"))
+        for table in values:
+            now = now.join(table, "node")
+        each = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("one"), F.col("right").alias("two")))
+        own_turns = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda i: F.struct(F.col("left").alias("one"), i.alias("two")))
+        turns = F.when(F.col("left") < 0, each).otherwise(F.array_union(each, own_turns))
+        return now.withColumn("turn", F.explode(turns)).select("*", "turn.*").drop("turn", "part", "largest", "lefts", "rights")
+
+    pair, row = ["bucket", "one", "two"], BLOCK_BYTES // BLOCK_ROWS
+    now = stage(placed(found).withColumn("part", own), "open")
+    doubtful = blocks(now, F.lit(row).cast("bigint"), sigs).groupBy(*pair).applyInPandas(
+        _doubtful(similar, limits), "bucket bigint, node binary, n bigint, component binary"
+    )
+    doubtful = stage(doubtful.distinct().withColumn("part", own), "doubtful")
+    rest = blocks(doubtful, F.greatest(F.col("n") * 8, F.lit(row)).cast("bigint"), sigs, sets).groupBy(*pair).applyInPandas(
+        _across(similar, limits), "a binary, b binary"
+    )
     links = links.union(stage(rest, "links"))
     found = stage(components(links), "components")
     smallest = classes.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select(
