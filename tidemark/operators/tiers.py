@@ -195,12 +195,17 @@ class Store:
         self._write(self._rows(folders), name)
         self._index(f"{self.path}/{name}")
 
-    def _index(self, path: str) -> None:
-        """Write which entities each file of a folder spans, files by their place in it."""
+    def _spans(self, path: str) -> DataFrame:
+        """file, least, most, rows: the entities that each file of a folder spans, files by their place in it. Rows are counted by a file's
+        entities first, by hash: the least and the most of texts take a sort, and only one row an entity of a file is left for it."""
         rows = self.spark.read.option("basePath", self.path).parquet(path)
-        file = F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+/[^/]+$", 0)
-        spans = rows.groupBy(file.alias("file")).agg(F.min("entity_id").alias("least"), F.max("entity_id").alias("most"))
-        spans.coalesce(1).write.mode("overwrite").parquet(f"{path}/{INDEX}")
+        each = rows.groupBy(F.col("_metadata.file_path").alias("at"), "entity_id").agg(F.count("*").alias("n"))
+        spans = each.groupBy("at").agg(F.min("entity_id").alias("least"), F.max("entity_id").alias("most"), F.sum("n").alias("rows"))
+        return spans.select(F.array_join(F.slice(F.split("at", "/"), -3, 3), "/").alias("file"), "least", "most", "rows")
+
+    def _index(self, path: str) -> None:
+        """Write the spans of a folder's files."""
+        self._spans(path).coalesce(1).write.mode("overwrite").parquet(f"{path}/{INDEX}")
 
     def _paths(self, folder: Folder, entities: Sequence[str] | None) -> list[str]:
         """The files of a folder that may hold some of the entities; the folder itself where all are asked for or it has no index
