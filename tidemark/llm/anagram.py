@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import UPPER, dealt, part_of, stage
+from .shared import UPPER, by_shuffle, dealt, part_of, stage
 
 #: Letters that a word may hold: a to z, and U+00C0 to U+00FF.
 LETTERS = "A-Za-zÀ-ÿ"
@@ -64,7 +64,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         l_, r_ = left.withColumnsRenamed({"word": "a", "n": "n_a"}), right.withColumnsRenamed({"word": "b", "n": "n_b"})
-        return l_.join(r_, on).where(F.levenshtein("a", "b", 1) == 1)
+        return l_.join(by_shuffle(r_), on).where(F.levenshtein("a", "b", 1) == 1)
 
     half = F.floor(F.col("m") / 2).cast("int")
     replaced = meet(exchange, exchange).where("a < b")
@@ -82,8 +82,8 @@ def roots(links: DataFrame) -> DataFrame:
     """
     now = stage(links.select("word", F.col("form").alias("root"), part_of("word").alias("part")), "variant-roots")
     while True:
-        up = dealt(now.select(F.col("word").alias("root"), F.col("root").alias("up")), now, "root")
-        moved = stage(now.join(up, ["root", "part"], "left").select("word", F.coalesce("up", "root").alias("root"), "part", F.col("up").isNotNull().alias("moved")), "variant-roots")
+        up = dealt(by_shuffle(now.select(F.col("word").alias("root"), F.col("root").alias("up"))), now, "root")
+        moved = stage(now.join(by_shuffle(up), ["root", "part"], "left").select("word", F.coalesce("up", "root").alias("root"), "part", F.col("up").isNotNull().alias("moved")), "variant-roots")
         now = moved.drop("moved")
         if moved.where("moved").isEmpty():
             return now.select("word", "root")
@@ -105,11 +105,11 @@ def group_variants(counts: DataFrame, times: int = TIMES) -> DataFrame:
     near = pairs.select(both.alias("p")).select("p.*").groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     takes = -F.col("best.least") >= times * F.col("n")
     formed = stage(
-        words.drop("key").join(near, "word", "left").select(
+        words.drop("key").join(by_shuffle(near), "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
             F.when(takes, F.col("best.near")).alias("form"), F.when(takes, -F.col("best.least")).alias("form_n"),
         ),
         "variant-forms",
     )
     last = roots(formed.where("form is not null"))
-    return formed.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(by_shuffle(last), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -89,6 +89,12 @@ def join_back(rows: DataFrame, on: list[str], part: Column, *totals: Column, whe
     return rows.join(each_part(keys, "_met", "_part"), [*on, "_part"]).drop("_part")
 
 
+def by_shuffle(table: DataFrame) -> DataFrame:
+    """table, to be joined by a shuffle of both sides whatever size Spark takes it for: a vocabulary's Parquet is a fraction of
+    what its words take once the driver has gathered and hashed them for a broadcast."""
+    return table.hint("merge")
+
+
 def dealt(table: DataFrame, rows: DataFrame, key: str, part: str = "part") -> DataFrame:
     """table, which has one row a key, with its row for each part of rows that holds the key.
 
