@@ -1,10 +1,14 @@
 """What keeps the cost of a step in proportion to its input."""
 
+import os
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.operators import tiers
+from tidemark.sources import records
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +32,19 @@ def test_index_sorts_entities_and_not_rows(spark, store):
     there = rows.groupBy(file).agg(F.min("entity_id"), F.max("entity_id"), F.count("*"))
     assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, there.collect()))
     assert store.read(["user-7"]).count() == store.read().where("entity_id = 'user-7'").count() > 0
+
+
+@pytest.mark.parametrize("by_name", [True, False])
+def test_polled_files_by_name_whatever_was_done_first(spark, tmp_path, by_name):
+    folder, at = tmp_path / "in", datetime(2024, 1, 1)
+    schema = "entity_id string, ts timestamp_ntz, name string, record_type string, value bigint, arrival_seq bigint"
+    made = [("e", at, "m", "absolute", v, v) for v in (1, 2)]
+    for number in (1, 0):
+        made_here = spark.createDataFrame([made[number]], schema).coalesce(1)
+        records.write(made_here, f"{folder}/w{number}")
+        (written,) = (folder / f"w{number}").glob("*.completed")
+        written.rename(written.with_name(f"{number}.data.completed"))
+        os.utime(folder / f"w{number}" / f"{number}.data.completed", (1_700_000_000 - number, 1_700_000_000 - number))
+    s = tiers.Store(spark, str(tmp_path / "tiers"))
+    records.poll(records.stream(spark, str(folder)), s, f"{tmp_path}/rejects", f"{tmp_path}/work", f"{tmp_path}/progress", every=None, by_name=by_name).awaitTermination()
+    assert {r.value for r in s.read().collect()} == {2 if by_name else 1}

@@ -866,7 +866,7 @@ def _stream_files(spark, sf_dir):
     for half, part in enumerate((f.where(F.col("arrival_seq") <= middle), f.where(F.col("arrival_seq") > middle))):
         records.write(part.repartitionByRange("arrival_seq"), f"{folder}/good-{half}")
         records.write(part.limit(3).withColumn("record_type", F.lit("other")).coalesce(1), f"{folder}/bad-{half}")
-        records.poll(records.stream(spark, folder), store, f"{work}/rejects", f"{work}/staged", f"{work}/progress", every=None).awaitTermination()
+        records.poll(records.stream(spark, folder), store, f"{work}/rejects", f"{work}/staged", f"{work}/progress", every=None, by_name=True).awaitTermination()
     bad = spark.read.parquet(f"{work}/rejects").groupBy(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("entity_id"), F.col("error").alias("name"))
     none = {"record_type": F.lit(None).cast("string"), "bucket_start": F.lit(None).cast("timestamp_ntz"), "period": F.lit("rejected")}
     rejected = bad.agg(F.count("*").alias("value")).withColumns(none)

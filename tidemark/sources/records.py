@@ -233,12 +233,13 @@ def to_facts(content: DataFrame) -> DataFrame:
     return decode(content).where("error is null").join(when, "path").withColumn("arrival_seq", seq).drop("ms")
 
 
-def poll(content: DataFrame, store: Store, rejects: str, work: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
+def poll(content: DataFrame, store: Store, rejects: str, work: str, checkpoint: str, every: str | None = "10 seconds", by_name: bool = False) -> StreamingQuery:
     """Start reading a stream of record files (`stream`) into a store, and its bad files into a table of rejects.
 
     A micro-batch is decoded once and staged below `work`; the facts of its good files become a batch of the store and the bad files'
     path and error rows of `rejects` under the same number, so a batch that is replayed after a failure replaces both. Records arrive after all earlier
-    batches', in order of their files' modification, name and path. Good and bad files alike are archived where the
+    batches', in order of their files' modification, name and path; with by_name in order of name and path alone, for writers that write files side
+    by side and number them in their order (`write`), of which any may be done first. Good and bad files alike are archived where the
     stream says so. Without `every` the stream reads what is there and ends.
     """
 
@@ -247,7 +248,7 @@ def poll(content: DataFrame, store: Store, rejects: str, work: str, checkpoint:
         batch.select("path", "modificationTime").write.mode("overwrite").parquet(f"{at}/files")
         decode(batch).write.mode("overwrite").parquet(f"{at}/read")
         read = spark.read.parquet(f"{at}/read")
-        files_ = spark.read.parquet(f"{at}/files").select("modificationTime", file_name(F.col("path")).alias("name"), "path")
+        files_ = spark.read.parquet(f"{at}/files").select(*([] if by_name else ["modificationTime"]), file_name(F.col("path")).alias("name"), "path")
         store.persist(in_order(read.where("error is null"), files_, at, store.next_seq(number)), number)
         read.where("error is not null").select("path", "error").write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch={number}")
 
