@@ -84,6 +84,11 @@ class Quantiser:
         codes = [_nearest(rest[:, p], book) for p, book in enumerate(self.books)]
         return cell, np.stack(codes, 1).astype(np.uint8)
 
+    def error(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each row lies from what its cell and codes stand for."""
+        held = np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], 1)[:, : self.dim]
+        return np.sqrt(((x - self.coarse[cell] - held) ** 2).sum(1))
+
     def table(self, q: np.ndarray, cell: int) -> np.ndarray:
         """(parts, codes): the squared distances of a query's residual parts to every code."""
         rest = np.pad(q - self.coarse[cell], (0, self.pad)).reshape(len(self.books), -1)
@@ -93,9 +98,21 @@ class Quantiser:
         return out
 
 
+class Frame:
+    """Vectors as the index holds them: single precision around the sample's mean and by its size, so that neither a
+    common offset nor the unit takes the digits in which neighbours differ."""
+
+    def __init__(self, x: np.ndarray):
+        self.mean = x.mean(0)
+        self.scale = float(np.abs(x - self.mean).max()) or 1.0
+
+    def put(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -1e15, 1e15).astype(np.float32)
+
+
 class Index:
-    def __init__(self, rows: DataFrame, vectors: DataFrame, sizes: dict[int, int], quantiser: Broadcast | None):
-        self.rows, self.vectors, self.sizes, self.quantiser = rows, vectors, sizes, quantiser
+    def __init__(self, rows: DataFrame, vectors: DataFrame, sizes: dict[int, int], quantiser: Broadcast | None, frame: Frame | None = None):
+        self.rows, self.vectors, self.sizes, self.quantiser, self.frame = rows, vectors, sizes, quantiser, frame
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -121,18 +138,22 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     v = v.where(F.size("v") == sizes["dim"])
     cells = min(max(isqrt(sizes["n"]), CELLS[0]), CELLS[1])
     train = v.orderBy(F.xxhash64("id"), "id", F.xxhash64("v")).limit(max(sample, PER_CELL * cells)).toPandas()["v"]
-    quantiser = vectors.sparkSession.sparkContext.broadcast(Quantiser(np.stack(train).astype(np.float32), cells))
+    train = np.stack(train)
+    frame = Frame(train)
+    quantiser = vectors.sparkSession.sparkContext.broadcast(Quantiser(frame.put(train), cells))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                cell, codes = quantiser.value.encode(np.stack(b["v"]).astype(np.float32))
-                yield pd.DataFrame({"id": b["id"], "cell": cell, "code": [c.tobytes() for c in codes]})
+                x = frame.put(np.stack(b["v"]))
+                cell, codes = quantiser.value.encode(x)
+                error = quantiser.value.error(x, cell, codes)
+                yield pd.DataFrame({"id": b["id"], "cell": cell, "code": [c.tobytes() for c in codes], "error": error, "x": [r.tobytes() for r in x]})
 
     kind = v.schema["id"].dataType.simpleString()
-    rows = stage(v.mapInPandas(encode, f"id {kind}, cell int, code binary"), "codes")
+    rows = stage(v.mapInPandas(encode, f"id {kind}, cell int, code binary, error float, x binary"), "codes")
     counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    return Index(rows, v, counts, quantiser)
+    return Index(rows, v, counts, quantiser, frame)
 
 
 def shards(counts: dict[int, int], size: int = SHARD) -> dict[int, tuple[int, int]]:
@@ -155,10 +176,12 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
     visits the nearest cells, `probes` at least (by default as many as the index was tuned to) and
     as many as hold `rerank` rows, so it gets k neighbours (or all candidates). Cells are searched in shards of about SHARD
     rows for blocks of about `block` queries, so neither side of a group grows with the input; a shard's codes are
-    repeated for each block. A task sends the best `rerank` of a query's cells in its shard, and the best of all shards
-    are ranked again exactly.
+    repeated for each block, and so are its vectors in single precision. A row is as far from a query as its code is, give or take the code's
+    error. So a task measures the `rerank` rows of least code distance, and then each other row that may yet be nearer than
+    the k nearest of them: codes lose no neighbour within the visited cells. It sends the best `rerank`, and the best
+    of all shards are ranked again exactly, in double precision.
     """
-    spark, quantiser, counts = queries.sparkSession, index.quantiser, index.sizes
+    spark, quantiser, counts, frame = queries.sparkSession, index.quantiser, index.sizes, index.frame
     kind = index.vectors.schema["id"].dataType.simpleString()
     if quantiser is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
@@ -173,7 +196,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
         for b in batches:
             out = []
             for i, v in zip(b["id"], b["v"], strict=True):
-                order = np.argsort(((coarse - v.astype(np.float32)) ** 2).sum(1), kind="stable")
+                order = np.argsort(((coarse - frame.put(v)) ** 2).sum(1), kind="stable")
                 enough = max(probes, int(np.searchsorted(np.cumsum(held[order]), rerank + 1)) + 1)
                 asked: dict[int, list[int]] = {}
                 for c in order[:enough].tolist():
@@ -189,12 +212,22 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
             rows = rows.sort_values("cell", kind="stable")
             codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
             ids, cell, at = rows["id"].to_numpy(), rows["cell"].to_numpy(), np.arange(codes.shape[1])
+            x, error = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1), rows["error"].to_numpy()
             for i, v, cells in zip(asked["query_id"], asked["v"], asked["cells"], strict=True):
+                q = frame.put(v)
                 spans = [slice(*np.searchsorted(cell, [c, c + 1])) for c in cells]
-                d = [quantiser.value.table(v.astype(np.float32), c)[at, codes[s]].sum(1) for c, s in zip(cells, spans, strict=True)]
-                d, own = np.concatenate(d), np.concatenate([ids[s] for s in spans])
-                best = np.lexsort((own, d))[: rerank + 1] if len(d) <= 4 * rerank else _least(d, own, rerank + 1)
-                best = best[own[best] != i]
+                near = np.concatenate([quantiser.value.table(q, c)[at, codes[s]].sum(1) for c, s in zip(cells, spans, strict=True)])
+                place = np.concatenate([np.arange(s.start, s.stop) for s in spans])
+                other = ids[place] != i
+                near, place = near[other], place[other]
+                first = np.argpartition(near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
+                far = np.sqrt(((x[place[first]] - q) ** 2).sum(1))
+                # The distance of the k-th nearest id among those; a row that cannot be nearer by its code and error is left out.
+                each = pd.Series(far).groupby(ids[place[first]]).min().to_numpy()
+                most = np.partition(each, k - 1)[k - 1] if len(each) >= k else np.inf
+                some = place[np.sqrt(near) - error[place] <= most * 1.001 + 1e-6]
+                d, own = ((x[some] - q) ** 2).sum(1), ids[some]
+                best = np.lexsort((own, d))[:rerank] if len(d) <= 4 * rerank else _least(d, own, rerank)
                 found.append((np.full(len(best), i), own[best], d[best].astype(np.float64)))
         query, own, d = map(np.concatenate, zip(*found, strict=True)) if found else ([], [], [])
         return pd.DataFrame({"query_id": query, "id": own, "d": d})
@@ -207,7 +240,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
     rows = index.rows.join(split, "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # A group is little data and much work, so the number of tasks follows the groups and not the bytes.
     tasks = min(TASKS, 2 * blocks * max(first + parts for first, parts in where.values()))
-    rows = repeated(rows.select("id", "cell", "shard", "code"), blocks).repartition(tasks, "shard", "block")
+    rows = repeated(rows.select("id", "cell", "shard", "code", "error", "x"), blocks).repartition(tasks, "shard", "block")
     near = (
         asked.repartition(tasks, "shard", "block").groupBy("shard", "block").cogroup(rows.groupBy("shard", "block"))
         .applyInPandas(scan, f"query_id {kind}, id {kind}, d double")
