@@ -48,3 +48,28 @@ def test_polled_files_by_name_whatever_was_done_first(spark, tmp_path, by_name):
     s = tiers.Store(spark, str(tmp_path / "tiers"))
     records.poll(records.stream(spark, str(folder)), s, f"{tmp_path}/rejects", f"{tmp_path}/work", f"{tmp_path}/progress", every=None, by_name=by_name).awaitTermination()
     assert {r.value for r in s.read().collect()} == {2 if by_name else 1}
+
+
+def test_a_part_is_a_batch_of_many_files(spark):
+    e = catalog.events(spark, SF)
+    parts = [e.where("event_id < 600"), e.where("event_id = 600"), e.where("event_id > 600")]
+    stream, seen = catalog.incoming(spark, parts, file_rows=200), []
+
+    def see(batch, number):
+        ids = [r.event_id for r in batch.select("event_id").collect()]
+        seen.append((min(ids), max(ids), len(ids), batch.rdd.getNumPartitions()))
+
+    stream.writeStream.foreachBatch(see).option("checkpointLocation", catalog.scratch(spark, "seen")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(0, 599, 600, 3), (600, 600, 1, 3), (601, 999, 399, 3)]
+
+
+def test_folders_are_merged_after_the_shuffle(spark):
+    s, f = tiers.Store(spark, catalog.scratch(spark, "tiers")), catalog.event_facts(spark, SF)
+    s.persist(f.where("arrival_seq % 2 = 0"), 0)
+    s.persist(f.where("arrival_seq % 2 = 1"), 1)
+    df = s.read().where("entity_id = 'user-7' and period = 'daily'")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+    assert "PushedFilters: [IsNotNull(entity_id), EqualTo(entity_id,user-7)]" in plan and "(period" in plan.split("PartitionFilters")[1]
+    there = tiers.build(f).where("entity_id = 'user-7' and period = 'daily'").select(*tiers.COLUMNS)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, there.collect()))

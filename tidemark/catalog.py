@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -811,12 +811,27 @@ def _buffered(spark, sf_dir):
     return ingest.buffered(event_facts(spark, sf_dir)).select("entity_id", "ts", "name", "record_type", "value", "arrival_seq")
 
 
+#: Rows of a file of a stream's source, about. Spark packs files into a task by their bytes and a charge for each, so a task gets 1.3 million rows at most.
+FILE_ROWS = 50_000
+
+
+def incoming(spark: SparkSession, parts: Sequence[DataFrame], file_rows: int = FILE_ROWS) -> DataFrame:
+    """Parts of a table, written as files and read as a stream, one part a micro-batch. All parts have as many files, which grow in number and
+    not in size, so that a batch is read by many tasks; a part that has fewer rows than files gets empty ones."""
+    source = scratch(spark, "incoming")
+    n = max(1, -(-max(part.count() for part in parts) // file_rows))
+    for number, part in enumerate(parts):
+        folder = f"{source}/{number}"
+        part.repartition(n).write.parquet(folder)
+        for _ in range(n - len(spark.read.parquet(folder).inputFiles())):
+            part.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", n).parquet(f"{source}/*")
+
+
 def _stream(spark, sf_dir, buffer: bool, sinks=()) -> DataFrame:
     """Events as files, out of order, through a stream into a store."""
-    source, store = scratch(spark, "incoming"), tiers.Store(spark, scratch(spark, "tiers"))
-    events(spark, sf_dir).withColumn("h", F.col("event_id") % 3).repartition(3, "h").drop("h").write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    store, e = tiers.Store(spark, scratch(spark, "tiers")), events(spark, sf_dir)
+    stream = incoming(spark, [e.where(F.pmod("event_id", F.lit(3)) == h) for h in (0, 1, 2)])
     ingest.ingest(stream, store, scratch(spark, "progress"), facts.from_events, buffer=buffer, sinks=sinks, compact_every=2).awaitTermination()
     return store.read()
 
@@ -843,11 +858,9 @@ _CUTS = ("2024-01-08 11:01:00", "2024-01-17 05:33:00")
 ))
 def _stream_held(spark, sf_dir):
     """Events in order of time, cut amid slices into three micro-batches, through slices held as state."""
-    source, store, e = scratch(spark, "incoming"), tiers.Store(spark, scratch(spark, "tiers")), events(spark, sf_dir)
+    store, e = tiers.Store(spark, scratch(spark, "tiers")), events(spark, sf_dir)
     a, b = (F.lit(t).cast("timestamp_ntz") for t in _CUTS)
-    for part in (e.where(F.col("ts") < a), e.where((F.col("ts") >= a) & (F.col("ts") < b)), e.where(F.col("ts") >= b)):
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = incoming(spark, [e.where(F.col("ts") < a), e.where((F.col("ts") >= a) & (F.col("ts") < b)), e.where(F.col("ts") >= b)])
     progress = scratch(spark, "progress")
     held.drain(ingest.ingest(stream, store, progress, facts.from_events, available_now=False, every="100 milliseconds", hold_ms=2_000, groups=32))
     return store.read()
@@ -877,13 +890,12 @@ def _stream_files(spark, sf_dir):
 @query("stream_metrics", "SELECT 'rows-in' AS name, count(*) AS value FROM events UNION ALL SELECT n, count(DISTINCT event_type) FROM events, (SELECT unnest(['batches', 'heartbeats']) AS n) GROUP BY n UNION ALL SELECT n, least(count(*), 1) FROM events, (SELECT unnest(['starts', 'stops']) AS n) GROUP BY n")
 def _stream_metrics(spark, sf_dir):
     """What a stream over the events, a batch for each type, tells of itself: its sums in a store of such facts."""
-    source, store, own = scratch(spark, "incoming"), tiers.Store(spark, scratch(spark, "tiers")), tiers.Store(spark, scratch(spark, "own"))
-    e = events(spark, sf_dir)
-    e.repartition("event_type").write.partitionBy("event_type").parquet(source)
+    store, own, e = tiers.Store(spark, scratch(spark, "tiers")), tiers.Store(spark, scratch(spark, "own")), events(spark, sf_dir)
+    types = [r.event_type for r in e.select("event_type").distinct().collect()]
+    stream = incoming(spark, [e.where(F.col("event_type").eqNullSafe(F.lit(t))) for t in types])
     told = progress.ProgressFacts()
     spark.streams.addListener(told)
     try:
-        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
         query_ = ingest.ingest(stream, store, scratch(spark, "progress"), facts.from_events)
         query_.awaitTermination()
         told.wait(query_)
