@@ -136,7 +136,8 @@ class Store:
         rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*paths).select(*COLUMNS)
         rows = rows if entities is None else rows.where(F.col("entity_id").isin(*entities))
         key = ["period", "record_type", "entity_id", "bucket_start", "name"]
-        return rows if len(folders) == 1 else _fold(rows, key, "last_seq").select(*COLUMNS)
+        # A folder has a key once, so merging within the tasks of the scan would keep all their rows in memory and reduce few.
+        return rows if len(folders) == 1 else _fold(rows.repartition(*key), key, "last_seq").select(*COLUMNS)
 
     def read(self, entities: Sequence[str] | None = None) -> DataFrame:
         """The merged tiers. A filter on period, record_type, entity or bucket reaches the scan; a store of
