@@ -4,6 +4,7 @@ import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark import catalog
@@ -73,3 +74,31 @@ def test_folders_are_merged_after_the_shuffle(spark):
     assert "PushedFilters: [IsNotNull(entity_id), EqualTo(entity_id,user-7)]" in plan and "(period" in plan.split("PartitionFilters")[1]
     there = tiers.build(f).where("entity_id = 'user-7' and period = 'daily'").select(*tiers.COLUMNS)
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, there.collect()))
+
+
+def test_a_write_shuffles_no_tier_but_the_finest(spark, monkeypatch):
+    plans, f = [], catalog.event_facts(spark, SF)
+    parquet = DataFrameWriter.parquet
+
+    def seen(self, path, *args, **kw):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return parquet(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    s = tiers.Store(spark, catalog.scratch(spark, "tiers"))
+    s.persist(f.where("arrival_seq % 2 = 0"), 0)
+    s.persist(f.where("arrival_seq % 2 = 1"), 1)
+    assert all(0 < p.index("Union") < p.index("Exchange") for p in plans)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s.compact()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert plans[2].count("Exchange") == 1
+    spans = s._spans(s.live()[0].path).collect()
+    assert len(s.live()) == 1 and len(spans) > 10
+    for tier in {r.file.rsplit("/", 1)[0] for r in spans}:
+        ends = sorted((r.least, r.most) for r in spans if r.file.startswith(tier + "/"))
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    there = tiers.build(f).select(*tiers.COLUMNS)
+    assert sorted(map(tuple, s.read().collect())) == sorted(map(tuple, there.collect()))

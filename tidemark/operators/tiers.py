@@ -9,6 +9,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from .combine import last, total
 from .facts import AGGREGATE, accepted
 
 COLUMNS = ["period", "record_type", "entity_id", "bucket_start", "name", "value", "last_seq"]
+#: What tells the series of a metric from others: its buckets are folded by task where rows are dealt by ranges of this.
+SERIES = ["record_type", "entity_id", "name"]
 SCHEMA = "entity_id string, bucket_start timestamp_ntz, name string, value bigint, last_seq bigint, period string, record_type string"
 
 
@@ -30,19 +33,27 @@ def _fold(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return out.select(*keys, value.alias("value"), "last_seq")
 
 
-def build(facts: DataFrame, tiers: Sequence[Period] = DEFAULT_TIERS) -> DataFrame:
+def build(facts: DataFrame, tiers: Sequence[Period] = DEFAULT_TIERS, ranged: bool = False) -> DataFrame:
     """All tiers of facts. The finest is aggregated from the facts and the others from it, so the
-    facts are shuffled once, after partial aggregation; what the second shuffle moves has been reduced."""
+    facts are shuffled once, after partial aggregation; what the second shuffle moves has been reduced.
+
+    ranged: the second shuffle moves the finest tier by ranges of SERIES, before the others are made of it. So a task has all buckets of
+    its metrics, as many as its time has at most, and the tiers come in ranges of entities without a shuffle of them all."""
     finest = most_granular(tiers)
     key = ["record_type", "entity_id", "bucket_start", "name"]
     base = accepted(facts).select(
         "record_type", "entity_id", bucket_start(F.col("ts"), finest).alias("bucket_start"), "name", "value", "arrival_seq"
     )
     base = _fold(base, key, "arrival_seq")
+    base = base.repartitionByRange(*SERIES) if ranged else base
     rest = [t for t in tiers if t is not finest and t is not Period.REALTIME]
     fine = base.withColumn("period", F.lit(str(finest)))
     if not rest:
         return fine.select(*COLUMNS)
+    if ranged:
+        # A tier is its own tasks, which read the one exchange, so that none of them holds the keys of several.
+        up = [_fold(base.withColumn("bucket_start", bucket_start(F.col("bucket_start"), t)), key, "last_seq").withColumn("period", F.lit(str(t))) for t in rest]
+        return reduce(DataFrame.unionByName, [t.select(*COLUMNS) for t in (fine, *up)])
     each = F.explode(F.array(*[F.struct(F.lit(str(t)).alias("period"), bucket_start(F.col("bucket_start"), t).alias("b")) for t in rest]))
     up = base.select("*", each.alias("t")).select(
         F.col("t.period").alias("period"), "record_type", "entity_id", F.col("t.b").alias("bucket_start"), "name", "value", "last_seq"
@@ -89,16 +100,16 @@ class Store:
         self._indexes: dict[tuple[str, int], list] = {}
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        # By range, so that a file holds few entities of one tier and a filter on one skips most of the rest.
-        order = ["period", "record_type", "entity_id", "bucket_start"]
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        """Write rows that are dealt by ranges of entities, so that a file holds few entities of one tier and a filter on one skips
+        most of the rest."""
+        rows = rows.sortWithinPartitions("period", "record_type", "entity_id", "bucket_start")
         rows.write.mode("overwrite").partitionBy("period", "record_type").parquet(f"{self.path}/{name}")
 
     def persist(self, facts: DataFrame, batch: int = 0, index: bool = False) -> None:
         """Write the tiers of facts as a batch, with an index if asked for. One that a compaction holds already is left
         as it is: it was whole before."""
         if not any(f.level and f.first <= batch <= f.last for f in self.folders()):
-            self._write(build(facts, self.tiers), f"batch={batch}")
+            self._write(build(facts, self.tiers, ranged=True), f"batch={batch}")
             if index:
                 self._index(f"{self.path}/batch={batch}")
 
@@ -129,15 +140,20 @@ class Store:
         found = self.folders()
         return sorted((f for f in found if not any(g.holds(f) for g in found)), key=lambda f: f.first)
 
-    def _rows(self, folders: Sequence[Folder], entities: Sequence[str] | None = None) -> DataFrame:
+    def _rows(self, folders: Sequence[Folder], entities: Sequence[str] | None = None, ranged: bool = False) -> DataFrame:
+        """The merged rows of folders. ranged: dealt by ranges of the tiers' entities, by the one shuffle that the merge takes."""
         paths = [p for f in folders for p in self._paths(f, entities)]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA).select(*COLUMNS)
         rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*paths).select(*COLUMNS)
         rows = rows if entities is None else rows.where(F.col("entity_id").isin(*entities))
         key = ["period", "record_type", "entity_id", "bucket_start", "name"]
-        # A folder has a key once, so merging within the tasks of the scan would keep all their rows in memory and reduce few.
-        return rows if len(folders) == 1 else _fold(rows.repartition(*key), key, "last_seq").select(*COLUMNS)
+        if ranged:
+            rows = rows.repartitionByRange("period", *SERIES)
+        elif len(folders) > 1:
+            # A folder has a key once, so merging within the tasks of the scan would keep all their rows in memory and reduce few.
+            rows = rows.repartition(*key)
+        return rows if len(folders) == 1 else _fold(rows, key, "last_seq").select(*COLUMNS)
 
     def read(self, entities: Sequence[str] | None = None) -> DataFrame:
         """The merged tiers. A filter on period, record_type, entity or bucket reaches the scan; a store of
@@ -157,7 +173,7 @@ class Store:
         With a path, leave them and write a copy of the store there, with one batch."""
         if path:
             copy = Store(self.spark, path, self.tiers, self.fan)
-            copy._write(self.read(), "batch=0")
+            copy._write(self._rows(self.live(), ranged=True), "batch=0")
             return copy
         live, held = self.live(), self._held()
         if live and live[-1].level < WHOLE:
@@ -193,7 +209,7 @@ class Store:
             fs.delete(jvm.Path(f.path), True)
 
     def _merge(self, folders: Sequence[Folder], name: str) -> None:
-        self._write(self._rows(folders), name)
+        self._write(self._rows(folders, ranged=True), name)
         self._index(f"{self.path}/{name}")
 
     def _spans(self, path: str) -> DataFrame:
