@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,24 @@ def test_dump_rows_of_another_width_are_an_error(spark, tmp_path):
 def test_slices_straddle_quarters(spark):
     f = spark.createDataFrame([("e", datetime(2020, 1, 1, 0, 15, 30), "m", "aggregate", 1, 1), ("e", datetime(2020, 1, 1, 0, 14, 5), "m", "aggregate", 1, 2)], FACT)
     assert rows(buffered(f), "ts", "value") == [(datetime(2020, 1, 1, 0, 14), 2)]
+
+
+def test_protobuf_holds_few_messages_as_objects(spark, monkeypatch):
+    bags = pd.DataFrame({"entity_id": "e", "ms": range(3000), "metrics": [f'[{{"name":"m","record_type":"aggregate","value":"{v}"}}]' for v in range(3000)]})
+    made = []
+
+    class OneBatch:
+        """Stands for a DataFrame: runs what it is mapped with on one large batch."""
+
+        def __init__(self, batch):
+            self.batch = batch
+
+        def mapInPandas(self, run, schema):
+            made.append(list(run(iter([self.batch]))))
+            return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(messages, "_bags", lambda facts: OneBatch(bags))
+    messages.to_protobuf(None)
+    messages.from_protobuf(OneBatch(pd.concat(made[0], ignore_index=True)))
+    assert all(max(map(len, out)) <= 1000 for out in made)
+    assert [int(v) for b in made[1] for v in b["value"]] == list(range(3000))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.periods import from_millis, millis
 
 MOST_METRICS = 150
+#: Messages, or metrics of messages, that a task holds as Python objects at once.
+AT_ONCE = 1000
 JSON_SCHEMA = "entityId string, timestamp bigint, metrics map<string, struct<value: decimal(38,6), type: string>>"
 DUMP_SCHEMA = "entity_id string, timestamp bigint, name string, record_type string, value decimal(38,0)"
 
@@ -152,6 +154,13 @@ def _bags(facts: DataFrame) -> DataFrame:
     return bags.select("entity_id", millis(F.col("ts")).alias("ms"), F.to_json("metrics").alias("metrics"))
 
 
+def _pieces(batches):
+    """Few rows of a batch at a time: as messages they take many times the room that they have in it."""
+    for b in batches:
+        for i in range(0, len(b), AT_ONCE):
+            yield b.iloc[i : i + AT_ONCE]
+
+
 def to_protobuf(facts: DataFrame, batch: int | None = None) -> DataFrame:
     """content: one protobuf message for each (entity, ts), or with `batch` one batch message for up to
     that many of them. Null values are left out."""
@@ -159,7 +168,7 @@ def to_protobuf(facts: DataFrame, batch: int | None = None) -> DataFrame:
 
     def run(batches):
         made = []
-        for b in batches:
+        for b in _pieces(batches):
             for entity, ms, metrics in zip(b["entity_id"], b["ms"], b["metrics"], strict=True):
                 made.append(_protobuf()["Message"](entity_id=entity, version=0, timestamp=int(ms)))
                 _add_metrics(made[-1], json.loads(metrics))
@@ -181,14 +190,16 @@ def from_protobuf(messages: DataFrame, batch: bool = False) -> DataFrame:
     import pandas as pd
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for content in b["content"]:
-                m = _protobuf()["Messages" if batch else "Message"]()
-                m.ParseFromString(bytes(content))
-                for one in m.messages if batch else [m]:
-                    rows += [(one.entity_id, one.timestamp, n, t, str(v)) for n, t, v in _metrics(one)]
-            yield pd.DataFrame(rows, columns=["entity_id", "ms", "name", "record_type", "value"])
+        columns, waiting = ["entity_id", "ms", "name", "record_type", "value"], []
+        for content in (c for b in batches for c in b["content"]):
+            m = _protobuf()["Messages" if batch else "Message"]()
+            m.ParseFromString(bytes(content))
+            waiting += [(one.entity_id, one.timestamp, n, t, str(v)) for one in (m.messages if batch else [m]) for n, t, v in _metrics(one)]
+            while len(waiting) >= AT_ONCE:
+                yield pd.DataFrame(waiting[:AT_ONCE], columns=columns)
+                del waiting[:AT_ONCE]
+        if waiting:
+            yield pd.DataFrame(waiting, columns=columns)
 
     rows = messages.mapInPandas(run, "entity_id string, ms bigint, name string, record_type string, value string")
     return rows.select("entity_id", from_millis(F.col("ms")).alias("ts"), "name", "record_type", F.col("value").try_cast("bigint").alias("value"))
