@@ -8,7 +8,7 @@ chosen miss probability; what survives is verified on the full shingle sets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import dealt, each_part, join_back, map_texts, part_of, part_of_row, parts_met, small_batches, stage
+from .shared import dealt, each_part, join_back, likely_in, map_texts, part_of, part_of_row, parts_met, small_batches, stage
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -28,8 +28,8 @@ BATCH, MISS = 32, 1e-6
 #: Rounds in which a bucket's members are compared with one of them; rows and bytes of a block of
 #: the rounds that compare what is left.
 STARS, BLOCK_ROWS, BLOCK_BYTES = 2, 2048, 16 << 20
-#: Words whose hashes a worker remembers.
-KNOWN_WORDS = 50_000
+#: Pairs of signatures compared at once.
+PAIRS = 1 << 14
 
 _rng = np.random.default_rng(20240101)
 _MULT = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -37,19 +37,6 @@ _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _PLACE = (_rng.integers(0, 2**63, WORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-class _Words(dict):
-    """Word -> 64-bit hash, emptied when full so that its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles; empty without words.
 
@@ -58,7 +45,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(h) - WORDS + 1
     if n < 1:
         x = np.array([(h * _PLACE[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)
@@ -153,62 +140,117 @@ def _linked(similar: tuple[int, int]):
     return run
 
 
-def _partners(b: pd.DataFrame, similar: tuple[int, int], limits: list[int], comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a pair of blocks that lies in its first one: the rows of the second whose signatures
-    make a link to it plausible and that are not in its component, most alike first.
+def _likely(b: pd.DataFrame, similar: tuple[int, int], limits: list[int], comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j) of the pairs of blocks in b, which lie one after the other: i in the first block and j in the
+    second, whose signatures make a link plausible and that are not in one component, most alike first for each i.
 
-    comp may change between two rows. A pair of members that can both come first is left to one of
-    its two orders, and every pair to the first band that it shares.
+    About PAIRS pairs are compared at once, of as many blocks as that takes; comp may change from one such turn to the next. A pair
+    of members that can both come first is left to one of its two orders, and every pair to the first band that it shares.
     """
     sig = np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(len(b), HASHES)
-    n, left, right = (b[c].to_numpy() for c in ("n", "left", "right"))
-    rank = np.empty(len(b), np.int64)
-    rank[sorted(range(len(b)), key=b["node"].tolist().__getitem__)] = np.arange(len(b))
-    # The band of this bucket: the first in which all its rows agree.
-    first = int((sig == sig[0]).reshape(len(b), -1, ROWS).all(2).all(0).argmax())
-    second = right == b["two"].iloc[0]
-    for i in np.flatnonzero(left == b["one"].iloc[0]):
-        others = np.flatnonzero(second & (comp != comp[i]) & ((left < 0) | (rank > rank[i])))
-        others = others[(n[others] * similar[1] >= n[i] * similar[0]) & (n[i] * similar[1] >= n[others] * similar[0])]
-        matches = np.zeros(len(others), np.int64)
+    n, left, right, one, two = (b[c].to_numpy() for c in ("n", "left", "right", "one", "two"))
+    rank = pd.factorize(b["node"], sort=True)[0]
+    starts = _starts(b)
+    group = np.zeros(len(b), np.int64)
+    group[starts[1:]] = 1
+    group = group.cumsum()
+    # The band of a bucket: the first in which all its rows agree.
+    same = (sig == sig[starts[group]]).reshape(len(b), -1, ROWS).all(2)
+    first = np.logical_and.reduceat(same, starts).argmax(1)
+    rows, seconds = np.flatnonzero(left == one), np.flatnonzero(right == two)
+    lo, hi = (np.searchsorted(group[seconds], group[rows], side) for side in ("left", "right"))
+    ends = np.cumsum(hi - lo)
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        count = hi[at:upto] - lo[at:upto]
+        i = np.repeat(rows[at:upto], count)
+        j = seconds[np.arange(len(i)) + np.repeat(lo[at:upto] - (np.cumsum(count) - count), count)]
+        keep = (comp[i] != comp[j]) & ((left[j] < 0) | (rank[j] > rank[i]))
+        keep &= (n[j] * similar[1] >= n[i] * similar[0]) & (n[i] * similar[1] >= n[j] * similar[0])
+        i, j = i[keep], j[keep]
+        matches = np.zeros(len(i), np.int64)
         for k, least in enumerate(limits):
             cols = slice(k * BATCH, (k + 1) * BATCH)
-            matches += (sig[others, cols] == sig[i, cols]).sum(1)
+            matches += (sig[i, cols] == sig[j, cols]).sum(1)
             keep = matches >= least
-            others, matches = others[keep], matches[keep]
-        earlier = sig[others, : first * ROWS] == sig[i, : first * ROWS]
-        keep = ~earlier.reshape(len(others), first, ROWS).all(2).any(1)
-        yield i, others[keep][np.argsort(-matches[keep], kind="stable")]
+            i, j, matches = i[keep], j[keep], matches[keep]
+        keep = (sig[i] == sig[j]).reshape(len(i), HASHES // ROWS, ROWS).all(2).argmax(1) >= first[group[i]]
+        i, j, matches = i[keep], j[keep], matches[keep]
+        order = np.lexsort((-matches, i))
+        yield i[order], j[order]
+        at = upto
+
+
+def _partners(b: pd.DataFrame, similar: tuple[int, int], limits: list[int], comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The pairs of _likely by their first row: each row that has any, and its others."""
+    for i, j in _likely(b, similar, limits, comp):
+        new = np.flatnonzero(i[1:] != i[:-1]) + 1
+        if len(i):
+            yield from zip(i[[0, *new]].tolist(), np.split(j, new), strict=True)
+
+
+def _starts(b: pd.DataFrame) -> np.ndarray:
+    """The first row of each pair of blocks."""
+    new = np.ones(len(b), bool)
+    new[1:] = False
+    for c in ("bucket", "one", "two"):
+        x = b[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _by_blocks(work: Callable[[pd.DataFrame], pd.DataFrame]):
+    """work on whole pairs of blocks, as many at once as have BLOCK_ROWS rows or BLOCK_BYTES in their sets; most have a few rows.
+
+    The rows of a pair of blocks come one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, size = [], 0, 0
+        for b in batches:
+            held.append(b)
+            rows, size = rows + len(b), size + (int(b["items"].map(len).sum()) if "items" in b else 0)
+            if not rows or (rows < BLOCK_ROWS and size < BLOCK_BYTES):
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            last = int(_starts(whole)[-1])
+            if last:
+                yield work(whole.iloc[:last])
+            held, rows, size = [whole.iloc[last:]], 0, 0
+        whole = pd.concat(held, ignore_index=True) if held else ()
+        if len(whole):
+            yield work(whole)
+
+    return run
 
 
 def _doubtful(similar: tuple[int, int], limits: list[int]):
-    """The members of a pair of blocks to which signatures leave a plausible link; each comes once."""
+    """The members of pairs of blocks to which signatures leave a plausible link; each comes once."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         comp, found = pd.factorize(b["component"])[0], np.zeros(len(b), bool)
-        for i, others in _partners(b, similar, limits, comp):
-            found[others] = True
-            found[i] |= len(others) > 0
+        for i, j in _likely(b, similar, limits, comp):
+            found[i] = found[j] = True
         return b.loc[found, ["bucket", "node", "n", "component"]]
 
     return run
 
 
 def _across(similar: tuple[int, int], limits: list[int]):
-    """Links between components within a pair of a bucket's blocks. A link found merges two
+    """Links between components within pairs of a bucket's blocks. A link found merges two
     components here, so theirs are not compared again."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         items, comp = [np.frombuffer(x, np.uint64) for x in b["items"]], pd.factorize(b["component"])[0]
-        out = []
+        node, out = b["node"].tolist(), []
         for i, others in _partners(b, similar, limits, comp):
-            for j in others:
+            for j in others.tolist():
                 if comp[j] == comp[i]:
                     continue
                 both = np.sort(np.concatenate((items[i], items[j])))
                 shared = int((both[1:] == both[:-1]).sum())
                 if similar[1] * shared >= similar[0] * (len(items[i]) + len(items[j]) - shared):
-                    out.append((b["node"].iloc[i], b["node"].iloc[j]))
+                    out.append((node[i], node[j]))
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -251,13 +293,18 @@ def near_dedup(
         F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)),
         lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))),
     )
-    banded = classes.select(F.col("set_key").alias("node"), "n", F.explode(bands).alias("bucket"))
+    # Most bands are met once, so a class goes by half of its key until they are left out. Two classes of one half would
+    # both be members of either's buckets, which adds comparisons and loses none.
+    half = F.xxhash64("set_key")
+    banded = classes.select(half.alias("half"), F.explode(bands).alias("bucket"))
+    shared = join_back(banded, ["bucket"], part_of("half"), F.count("*").alias("m"), where="m > 1").drop("m")
+    members = stage(shared.join(classes.select(half.alias("half"), F.col("set_key").alias("node"), "n"), "half").drop("half"), "buckets")
     own = part_of("node")
-    members = stage(join_back(banded, ["bucket"], own, F.count("*").alias("m"), where="m > 1").drop("m"), "buckets")
     nodes = members.select(F.col("node").alias("set_key")).distinct()
     candidates = stage(classes.join(nodes, "set_key", "left_semi"), "candidates")
+    reps = candidates.select(F.col("rep").alias("id")).distinct()
     sets = stage(
-        docs.join(candidates.select(F.col("rep").alias("id")).distinct(), "id")
+        likely_in(docs, "id", reps).join(reps, "id")
         .dropDuplicates(["id", "text"]).select("text").mapInPandas(_sets, "node binary, items binary"),
         "sets",
     )
@@ -273,7 +320,8 @@ def near_dedup(
         pairs = stage(pairs.withColumn("part", part_of("b")), "pairs")
         likely = both(pairs, sigs, "sig").mapInPandas(_plausible(limits), "a binary, b binary")
         likely = stage(likely.withColumn("part", part_of("b")), "survivors")
-        return both(likely, sets, "items").mapInPandas(_linked(similar), "a binary, b binary")
+        nodes = likely.select(F.explode(F.array("a", "b")).alias("node"))
+        return both(likely, likely_in(sets, "node", nodes), "items").mapInPandas(_linked(similar), "a binary, b binary")
 
     def placed(found: DataFrame | None) -> DataFrame:
         """The members of the buckets that hold several components still, with their component."""
@@ -323,14 +371,18 @@ def near_dedup(
         turns = F.when(F.col("left") < 0, each).otherwise(F.array_union(each, own_turns))
         return now.withColumn("turn", F.explode(turns)).select("*", "turn.*").drop("turn", "part", "largest", "lefts", "rights")
 
-    pair, row = ["bucket", "one", "two"], BLOCK_BYTES // BLOCK_ROWS
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+
+    row = BLOCK_BYTES // BLOCK_ROWS
     now = stage(placed(found).withColumn("part", own), "open")
-    doubtful = blocks(now, F.lit(row).cast("bigint"), sigs).groupBy(*pair).applyInPandas(
-        _doubtful(similar, limits), "bucket bigint, node binary, n bigint, component binary"
+    doubtful = together(blocks(now, F.lit(row).cast("bigint"), sigs)).mapInPandas(
+        _by_blocks(_doubtful(similar, limits)), "bucket bigint, node binary, n bigint, component binary"
     )
     doubtful = stage(doubtful.distinct().withColumn("part", own), "doubtful")
-    rest = blocks(doubtful, F.greatest(F.col("n") * 8, F.lit(row)).cast("bigint"), sigs, sets).groupBy(*pair).applyInPandas(
-        _across(similar, limits), "a binary, b binary"
+    few = [likely_in(table, "node", doubtful) for table in (sigs, sets)]
+    rest = together(blocks(doubtful, F.greatest(F.col("n") * 8, F.lit(row)).cast("bigint"), *few)).mapInPandas(
+        _by_blocks(_across(similar, limits)), "a binary, b binary"
     )
     links = links.union(stage(rest, "links"))
     found = stage(components(links), "components")

@@ -89,6 +89,24 @@ def join_back(rows: DataFrame, on: list[str], part: Column, *totals: Column, whe
     return rows.join(each_part(keys, "_met", "_part"), [*on, "_part"]).drop("_part")
 
 
+#: Bits of a filter of keys: 4 MB in all, in pieces of 4 KB.
+FILTER_BITS = 1 << 25
+
+
+def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is one of keys (the same column's name there), and a few others, before a join shuffles what is long.
+
+    A key is a bit of a fixed number of them, by hash; the bits are made by an aggregation and broadcast. With more keys
+    than bits most rows pass, so this bounds memory and never loses a row.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    piece, bit = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bits = keys.groupBy(piece.alias("_piece")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = rows.withColumn("_piece", piece).join(F.broadcast(bits), "_piece").where(F.getbit(byte, (bit % 8).cast("int")) == 1)
+    return kept.select(*rows.columns)
+
+
 def by_shuffle(table: DataFrame) -> DataFrame:
     """table, to be joined by a shuffle of both sides whatever size Spark takes it for: a vocabulary's Parquet is a fraction of
     what its words take once the driver has gathered and hashed them for a broadcast."""
