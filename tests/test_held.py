@@ -123,3 +123,39 @@ def test_a_batch_that_fails_is_written_again(feed):
     ingest.ingest(stream, feed.store, f"file://{feed.path}/again", sinks=[sink]).awaitTermination()
     assert tries == [0, 0] and feed.sums() == {("one", "m"): 3}
     assert feed.store.read().agg(F.max("last_seq")).first()[0] == 1
+
+
+def test_rows_of_one_batch_in_chunks_are_late_for_none_of_them(spark, feed):
+    """A group's rows come in chunks of any order. A slice ended by an earlier chunk of the same micro-batch is still that slice, to the store and to sinks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        q = feed.start(groups=1)
+    finally:
+        spark.conf.set(key, before)
+    # The slice that begins at 14 past the hour holds the first minute of the next quarter too.
+    hours, end = range(1, 6), 3600 * 9
+    counts = [("one", at(3600 * h + s), "m", "aggregate", 1) for s in (-119, -1, 0, 30) for h in (5, 2, 4, 1, 3)]
+    lasts = [("one", at(3600 * h + s), "l", "absolute", h + s) for s in (-30, -90) for h in (3, 1, 5, 2, 4)]
+    feed.put(("one", at(end), "m", "aggregate", 1), *counts, *lasts)
+    held.settle(q)
+    late = [("one", at(3600 - 60), "m", "aggregate", 100), ("one", at(3600 - 60), "m", "aggregate", 400), ("one", at(3600 - 61), "m", "aggregate", 200)]
+    feed.put(*late)
+    held.settle(q)
+    q.stop()
+    slices = [(at(3600 * h + s), "m", 2) for h in hours for s in (-120, 0)] + [(at(3600 * h - 120), "l", h - 90) for h in hours]
+    assert sorted((r[1], r[2], r[4]) for r in feed.out) == sorted(slices + [(f[1], f[2], f[4]) for f in late])
+    quarters = {(r.bucket_start, r.name): r.value for r in feed.store.read().where("period = 'fifteen_minute'").collect()}
+    expected = {(at(3600 * h + s), "m"): 2 for h in hours for s in (-960, -60)} | {(at(3600 * h - 960), "l"): h - 90 for h in hours}
+    expected[at(3600 - 60), "m"] += 500
+    expected[at(3600 - 960), "m"] += 200
+    assert quarters == expected
+
+
+def test_a_batch_of_empty_files_is_not_the_end(spark, feed):
+    for facts in [[], [("one", at(1), "m", "aggregate", 1)], [], [], [("one", at(900), "m", "aggregate", 2)]]:
+        spark.createDataFrame([(*f, n) for n, f in enumerate(facts)], FACT).coalesce(1).write.mode("append").parquet(f"file://{feed.path}/in")
+    q = feed.start(hold_ms=1)
+    held.drain(q)
+    assert feed.sums() == {("one", "m"): 3}

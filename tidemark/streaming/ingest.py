@@ -16,7 +16,7 @@ from ..functions.periods import SLICE_MS, slice_floor
 from ..operators.combine import last, total
 from ..operators.facts import AGGREGATE
 from ..operators.tiers import Store
-from .held import GROUPS, held, state_store
+from .held import GROUPS, held, state_store, whole
 
 
 def buffered(facts: DataFrame, width: int = SLICE_MS) -> DataFrame:
@@ -50,6 +50,8 @@ def ingest(
             return
         facts = to_facts(batch)
         facts = buffered(facts) if buffer else facts
+        if hold_ms is not None and not buffer:
+            facts = whole(facts) if sinks else facts.drop("late")  # the store adds parts up
         if once:
             facts = facts.persist()
         try:
