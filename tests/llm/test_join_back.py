@@ -42,3 +42,23 @@ def test_components_of_many_stars(spark):
     want = {n: 7 for n in (7, 9, 100, 5000)} | {20_000 + i: i % 3 * 1000 + 10 for i in range(3000)} | {n: n for n in (10, 1010, 2010)}
     assert got == want
     assert components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
+
+
+def test_components_run_few_tasks_where_partitions_are_many(spark):
+    """Each of many partitions holds little: neither tables nor aggregations are made more often than a round needs them."""
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in many}
+    edges = spark.createDataFrame([(i % 7, 100 + i) for i in range(2000)], "a bigint, b bigint").localCheckpoint()
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        spark.sparkContext.setJobGroup("components", "components")
+        assert components(edges).select("component").distinct().count() == 7
+        track = spark.sparkContext.statusTracker()
+        stages = {s for j in track.getJobIdsForGroup("components") for s in track.getJobInfo(j).stageIds}
+        done = sum(i.numCompletedTasks for s in stages if (i := track.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert done < 1100

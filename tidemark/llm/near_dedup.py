@@ -298,7 +298,7 @@ def near_dedup(
     half = F.xxhash64("set_key")
     banded = classes.select(half.alias("half"), F.explode(bands).alias("bucket"))
     shared = join_back(banded, ["bucket"], part_of("half"), F.count("*").alias("m"), where="m > 1").drop("m")
-    members = stage(shared.join(classes.select(half.alias("half"), F.col("set_key").alias("node"), "n"), "half").drop("half"), "buckets")
+    members = stage(shared.join(classes.select(half.alias("half"), F.col("set_key").alias("node"), "n"), "half").drop("half"), "buckets", narrow=True)
     own = part_of("node")
     nodes = members.select(F.col("node").alias("set_key")).distinct()
     candidates = stage(classes.join(nodes, "set_key", "left_semi"), "candidates")
@@ -317,34 +317,35 @@ def near_dedup(
 
     def verify(pairs: DataFrame) -> DataFrame:
         sigs = candidates.select(F.col("set_key").alias("node"), "sig")
-        pairs = stage(pairs.withColumn("part", part_of("b")), "pairs")
+        pairs = stage(pairs.withColumn("part", part_of("b")), "pairs", narrow=True)
         likely = both(pairs, sigs, "sig").mapInPandas(_plausible(limits), "a binary, b binary")
         likely = stage(likely.withColumn("part", part_of("b")), "survivors")
         nodes = likely.select(F.explode(F.array("a", "b")).alias("node"))
         return both(likely, likely_in(sets, "node", nodes), "items").mapInPandas(_linked(similar), "a binary, b binary")
 
-    def placed(found: DataFrame | None) -> DataFrame:
-        """The members of the buckets that hold several components still, with their component."""
+    def placed(found: DataFrame | None, *totals: Column) -> DataFrame:
+        """The members of the buckets that hold several components still, with their component and their bucket's totals."""
         if found is None:
-            return members.withColumn("component", F.col("node"))
-        now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = stage(now, "members")
+            now = members.withColumn("component", F.col("node"))
+        else:
+            now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            now = stage(now, "members", narrow=True)
         ends = F.min("component").alias("lo"), F.max("component").alias("hi")
-        return join_back(now, ["bucket"], own, *ends, where="lo < hi").drop("lo", "hi")
+        return join_back(now, ["bucket"], own, *ends, *totals, where="lo < hi").drop("lo", "hi")
 
-    def stars(now: DataFrame, turn: int) -> DataFrame:
+    def stars(found: DataFrame | None, turn: int) -> DataFrame:
         """Each bucket's members (b) against one of them (a), drawn by a hash, unless they are connected."""
         drawn = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("comp_a"))
-        pairs = join_back(now, ["bucket"], own, F.min(drawn).alias("c")).select("*", "c.*").where("component <> comp_a")
+        pairs = placed(found, F.min(drawn).alias("c")).select("*", "c.*").where("component <> comp_a")
         pairs = pairs.where((F.col("n_a") * similar[1] >= F.col("n") * similar[0]) & (F.col("n") * similar[1] >= F.col("n_a") * similar[0]))
         pairs = pairs.groupBy(F.least("a", "node").alias("lo"), F.greatest("a", "node").alias("hi")).agg(F.bool_or(F.col("a") < F.col("node")).alias("up"))
         return pairs.select(F.when(F.col("up"), F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("up"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
     links = found = None
     for i in range(STARS):
-        new = stage(verify(stars(placed(found), i)), "links")
+        new = stage(verify(stars(found, i)), "links")
         links = new if links is None else links.union(new)
-        found = stage(components(links), "components")
+        found = stage(components(links), "components", narrow=True)
     sigs = candidates.select(F.col("set_key").alias("node"), "sig")
 
     def blocks(now: DataFrame, load: Column, *values: DataFrame) -> DataFrame:
@@ -354,14 +355,15 @@ def near_dedup(
         So the largest component is sent once for each block of the others, not once for each of its own.
         load (long) is what a row adds to a block, which holds about BLOCK_BYTES.
         """
-        groups = now.groupBy("bucket", "component").agg(F.sum(load).alias("load"))
+        groups = now.groupBy("bucket", "component").agg(F.sum(load).alias("load"), parts_met("part").alias("met"))
         whole, top = F.sum("load"), F.max(F.struct("load", "component"))
         totals = groups.groupBy("bucket").agg(
             top["component"].alias("largest"),
             F.ceil((whole - top["load"]) / F.lit(BLOCK_BYTES)).cast("int").alias("lefts"),
             F.ceil(whole / F.lit(BLOCK_BYTES)).cast("int").alias("rights"),
+            F.bit_or("met").alias("met"),
         )
-        now = now.join(dealt(totals, now, "bucket"), ["bucket", "part"])
+        now = now.join(each_part(totals, "met", "part"), ["bucket", "part"])
         left = F.when(F.col("component") == F.col("largest"), -1).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.col("lefts"))).cast("int")
         now = now.withColumn("left", left).withColumn("right", F.pmod(F.xxhash64("node"), F.col("rights")).cast("int"))
         for table in values:
@@ -375,17 +377,17 @@ def near_dedup(
         return rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
 
     row = BLOCK_BYTES // BLOCK_ROWS
-    now = stage(placed(found).withColumn("part", own), "open")
+    now = stage(placed(found).withColumn("part", own), "open", narrow=True)
     doubtful = together(blocks(now, F.lit(row).cast("bigint"), sigs)).mapInPandas(
         _by_blocks(_doubtful(similar, limits)), "bucket bigint, node binary, n bigint, component binary"
     )
-    doubtful = stage(doubtful.distinct().withColumn("part", own), "doubtful")
+    doubtful = stage(doubtful.distinct().withColumn("part", own), "doubtful", narrow=True)
     few = [likely_in(table, "node", doubtful) for table in (sigs, sets)]
     rest = together(blocks(doubtful, F.greatest(F.col("n") * 8, F.lit(row)).cast("bigint"), *few)).mapInPandas(
         _by_blocks(_across(similar, limits)), "a binary, b binary"
     )
     links = links.union(stage(rest, "links"))
-    found = stage(components(links), "components")
+    found = stage(components(links), "components", narrow=True)
     smallest = classes.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "set_key", "rep", "met", F.coalesce("component", "set_key").alias("component")
     )

@@ -31,11 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Tasks a core that write a narrow table.
+WRITERS = 4
+
+
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: the lineage ends there,
-    so a lost executor costs a re-read, and the columns stay prunable."""
+    so a lost executor costs a re-read, and the columns stay prunable.
+
+    narrow: rows of keys and numbers. Several partitions of the last shuffle, one after the other, go into one task and
+    file, so that a table with little in each of many partitions is not as many small files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df = df.coalesce(WRITERS * spark.sparkContext.defaultParallelism) if narrow else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
